@@ -156,6 +156,7 @@ SELECT run_id, run_id || '-1' AS attempt_id, trade_date, nav * 1000000 AS total_
   SELECT *, exp(sum(CASE WHEN rn > 1 THEN ln(1 + r) ELSE 0 END)
     OVER (PARTITION BY run_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) AS nav FROM (
     SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY trade_date) AS rn FROM (
-      SELECT l_returnflag AS run_id, trade_date, floor((avg(l_discount) - avg(l_tax) - 1e-2) / 5.0003e0 * 1e6 + 5e-1) / 1e6 AS r,
-        count(*) AS position_count, floor(sum(l_tax) * 1e4 + 5e-1) / 1e4 AS fee_amount, floor(avg(l_discount) * 8.0003e0 * 1e6 + 5e-1) / 1e6 AS gross_exposure
-      FROM executions GROUP BY ALL)))""", ["executions"])
+      SELECT run_id, trade_date, floor(((d - t) / n - 1e0) / 500.03e0 * 1e6 + 5e-1) / 1e6 AS r, n AS position_count,
+        t / 100e0 AS fee_amount, floor(d / n * 0.080003e0 * 1e6 + 5e-1) / 1e6 AS gross_exposure FROM (
+        SELECT l_returnflag AS run_id, trade_date, sum(CAST(round(l_discount * 100) AS BIGINT))::BIGINT AS d,
+          sum(CAST(round(l_tax * 100) AS BIGINT))::BIGINT AS t, count(*) AS n FROM executions GROUP BY ALL))))""", ["executions"])

@@ -57,13 +57,13 @@ def safe_ratio(
 
 
 def price_limits(
-    df: DataFrame, rules: PriceLimitRules = PriceLimitRules(), rounding: str = "round"
+    df: DataFrame, rules: PriceLimitRules = PriceLimitRules(), rounding: str = "half_even"
 ) -> DataFrame:
     """Limit ratio by board, special treatment and date; limit prices at 2 dp.
 
-    ``rounding='bround'`` rounds halves to even.
+    ``rounding`` settles prices half a cent between two cents: ``half_even`` or ``half_up``.
     """
-    rounder = {"round": F.round, "bround": F.bround}[rounding]
+    cents = {"half_even": F.rint, "half_up": lambda c: F.floor(c + 0.5).cast("double")}[rounding]
     special = F.coalesce(F.col("is_st"), F.lit(False))
     before = F.col("trade_date") < F.lit(rules.special_change_date).cast("date")
     on_main = F.col("security_board").isin(*MAIN_BOARDS)
@@ -77,8 +77,8 @@ def price_limits(
     return df.select(
         "*",
         ratio.alias("price_limit_ratio"),
-        rounder(reference * (1 + ratio), 2).alias("limit_up_price"),
-        rounder(reference * (1 - ratio), 2).alias("limit_down_price"),
+        (cents(reference * (1 + ratio) * 100) / 100).alias("limit_up_price"),
+        (cents(reference * (1 - ratio) * 100) / 100).alias("limit_down_price"),
     )
 
 

@@ -266,11 +266,18 @@ def trades(spark, folder) -> DataFrame:
 def nav_daily(spark, folder) -> DataFrame:
     """NAV facts of one run per return flag and day."""
     x = executions(spark, folder)
-    daily = x.groupBy(F.col("l_returnflag").alias("run_id"), "trade_date").agg(
-        fixed((F.avg("l_discount") - F.avg("l_tax") - 0.01) / 5.0003, 6).alias("r"),
-        F.count(F.lit(1)).alias("position_count"),
-        fixed(F.sum("l_tax"), 4).alias("fee_amount"),
-        fixed(F.avg("l_discount") * 8.0003, 6).alias("gross_exposure"),
+    def hundredths(c: str) -> Column:
+        return F.sum(F.round(F.col(c) * 100).cast("long"))
+
+    sums = x.groupBy(F.col("l_returnflag").alias("run_id"), "trade_date").agg(
+        hundredths("l_discount").alias("d"), hundredths("l_tax").alias("t"), F.count(F.lit(1)).alias("position_count")
+    )
+    n = F.col("position_count")
+    daily = sums.select(
+        "run_id", "trade_date", "position_count",
+        fixed(((F.col("d") - F.col("t")) / n - 1.0) / 500.03, 6).alias("r"),
+        (F.col("t") / 100.0).alias("fee_amount"),
+        fixed(F.col("d") / n * 0.080003, 6).alias("gross_exposure"),
     )
     by_run = Window.partitionBy("run_id").orderBy("trade_date")
     up_to = by_run.rowsBetween(Window.unboundedPreceding, 0)

@@ -87,7 +87,7 @@ def main() -> int:
             "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         }
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(folder)
     failed = 0
     for name, fn in queries.items():

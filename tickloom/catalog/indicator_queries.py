@@ -181,16 +181,14 @@ def streaks(spark, folder):
 define("structure_bars", """
 SELECT *, row_number() OVER (PARTITION BY security_code ORDER BY trade_date) AS i FROM gap_bars WHERE low_price > 0 AND high_price >= low_price""", ["gap_bars"])
 define("structures", """
-SELECT security_code, trade_date, max((stage, l2, h1, -l1, higher_low_ratio, pullback_depth, rebound_ratio)) AS best FROM (
-  SELECT c.security_code, c.trade_date, b2.i AS l2, bh.i AS h1, b1.i AS l1, b2.low_price / b1.low_price AS higher_low_ratio,
-    (bh.high_price - b2.low_price) / (bh.high_price - b1.low_price) AS pullback_depth, c.high_price / b2.low_price AS rebound_ratio,
-    CASE WHEN c.high_price >= bh.high_price THEN 3 WHEN c.high_price / b2.low_price >= 1.03e0 THEN 2 ELSE 1 END AS stage
-  FROM structure_bars c JOIN (SELECT a.k AS k2, b.k AS k1, d.k AS k0 FROM range(1, 20) a(k), range(1, 20) b(k), range(1, 20) d(k) WHERE a.k < b.k AND b.k < d.k) o ON true
-  JOIN structure_bars b2 ON b2.security_code = c.security_code AND b2.i = c.i - k2
-  JOIN structure_bars bh ON bh.security_code = c.security_code AND bh.i = c.i - k1
-  JOIN structure_bars b1 ON b1.security_code = c.security_code AND b1.i = c.i - k0
-  WHERE bh.high_price / b1.low_price - 1 >= 0.08e0 AND bh.high_price - b1.low_price > 0 AND b2.low_price / b1.low_price >= 1.01e0
-    AND (bh.high_price - b2.low_price) / (bh.high_price - b1.low_price) BETWEEN 0.25e0 AND 0.75e0) GROUP BY ALL""", ["structure_bars"])
+SELECT security_code, trade_date, max((stage, p2, p1, -p0, l2 / l1, (h1 - l2) / (h1 - l1), h / l2)) AS best FROM (
+  SELECT security_code, trade_date, h, p0, p1, p2, ls[p0] AS l1, hs[p1] AS h1, ls[p2] AS l2,
+    CASE WHEN h >= hs[p1] THEN 3 WHEN h / ls[p2] >= 1.03e0 THEN 2 ELSE 1 END AS stage
+  FROM (SELECT security_code, trade_date, high_price AS h, list(high_price) OVER w AS hs, list(low_price) OVER w AS ls FROM structure_bars
+    WINDOW w AS (PARTITION BY security_code ORDER BY i ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING)) v,
+    (SELECT a.k AS p0, b.k AS p1, d.k AS p2 FROM range(1, 20) a(k), range(1, 20) b(k), range(1, 20) d(k) WHERE a.k < b.k AND b.k < d.k) o
+  WHERE p2 <= len(hs) AND hs[p1] / ls[p0] - 1 >= 0.08e0 AND hs[p1] - ls[p0] > 0 AND ls[p2] / ls[p0] >= 1.01e0
+    AND (hs[p1] - ls[p2]) / (hs[p1] - ls[p0]) BETWEEN 0.25e0 AND 0.75e0) GROUP BY ALL""", ["structure_bars"])
 
 
 @query("I13_n_structure", """

@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.catalog.tables import compose, fixed_sql
-from tickloom.sources.market import fixed
+from tickloom.catalog.tables import STEP, compose, shown_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int) -> DataFrame:
-    """Doubles at ``digits`` decimals, so both engines agree past their summation order."""
+    """Doubles at ``digits`` decimals, so both engines agree past their summation order.
+
+    The step lies a little off one half: values exactly between two grid points are common (half
+    a cent) and would fall either way with the order of a sum.
+    """
+    scale = float(10**digits)
     return df.select(
         *[
-            fixed(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            (F.floor(F.col(f.name) * scale + STEP) / scale).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )
@@ -39,7 +43,7 @@ def query(
         if sql is not None:
             body = compose(sql, uses)
             if doubles:
-                shown = ", ".join(f'{fixed_sql(chr(34) + c + chr(34), digits)} AS "{c}"' for c in doubles)
+                shown = ", ".join(f'{shown_sql(c, digits)} AS "{c}"' for c in doubles)
                 body = f"SELECT * REPLACE ({shown}) FROM ({body}) AS result"
             ORACLES[name] = body
         return fn

@@ -128,14 +128,11 @@ def anti(spark, folder):
 
 
 @query("J10_complete_attempts", """
-SELECT t.run_id, count(*) AS n FROM trades t WHERE attempt_id IN (SELECT attempt_id FROM (
-  SELECT attempt_id, max(trade_date) AS d FROM nav_daily GROUP BY 1) WHERE d >= (SELECT max(trade_date) - 3 FROM calendar)) GROUP BY 1""",
-    ["trades", "nav_daily", "calendar"])
+SELECT t.run_id, count(*) AS n FROM trades t WHERE attempt_id IN (SELECT attempt_id FROM nav_daily GROUP BY 1
+  HAVING min(drawdown) < -0.02 AND count(*) > 100) GROUP BY 1""", ["trades", "nav_daily"])
 def complete_attempts(spark, folder):
-    newest = market.calendar(spark, folder).agg(F.date_sub(F.max("trade_date"), 3).alias("limit_day"))
-    last = market.nav_daily(spark, folder).groupBy("run_id", "attempt_id").agg(F.max("trade_date").alias("d"))
-    snapshot = last.join(newest, F.col("d") >= F.col("limit_day"), "left").withColumn(
-        "status", F.when(F.col("limit_day").isNotNull(), "succeeded").otherwise("running")
+    snapshot = market.nav_daily(spark, folder).groupBy("run_id", "attempt_id").agg(
+        F.when((F.min("drawdown") < -0.02) & (F.count(F.lit(1)) > 100), "succeeded").otherwise("failed").alias("status")
     )
     return joins.complete_attempts(market.trades(spark, folder), snapshot).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -376,7 +373,7 @@ def with_prev(spark, folder):
 
 @query("W02_trade_calendar", "SELECT trade_date, prev_trade_date, next_trade_date, day_no::INT AS day_no FROM trade_days", ["trade_days"])
 def trade_calendar(spark, folder):
-    return tables.trade_calendar(market.calendar(spark, folder))
+    return tables.trade_calendar(market.calendar(spark, folder)).drop("day_count")
 
 
 @query("W03_with_expiry", """

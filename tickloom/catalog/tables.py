@@ -14,9 +14,12 @@ def code(key: str) -> str:
     return CODE.format(k=key)
 
 
-def fixed_sql(expr: str, digits: int) -> str:
-    """Rounding by plain double arithmetic, which both engines carry out bit for bit."""
-    return f"(floor({expr} * 1e{digits} + 5e-1) / 1e{digits})"
+STEP = 0.5137
+
+
+def shown_sql(column: str, digits: int) -> str:
+    """The rounding of ``registry.rounded`` in SQL; plain double arithmetic, the same bits."""
+    return f'(floor("{column}" * 1e{digits} + {STEP}e0) / 1e{digits})'
 
 
 QEND = "last_day(date_trunc('quarter', {d})::DATE + INTERVAL 2 MONTH)"

@@ -207,7 +207,7 @@ def with_prev(
 
 
 def trade_calendar(days: DataFrame, date: str = "trade_date") -> DataFrame:
-    """Trading days with neighbours and running number.
+    """Trading days with neighbours, running number and total.
 
     The only unpartitioned window in the package: its input is one row per calendar day.
     """
@@ -217,6 +217,7 @@ def trade_calendar(days: DataFrame, date: str = "trade_date") -> DataFrame:
         F.lag(date).over(window).alias("prev_trade_date"),
         F.lead(date).over(window).alias("next_trade_date"),
         F.row_number().over(window).alias("day_no"),
+        F.count(F.lit(1)).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("int").alias("day_count"),
     )
 
 
@@ -366,8 +367,10 @@ def key_diff(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """One row per id and metric."""
-    cast = df.select(*ids, *[F.col(m).cast("double").alias(m) for m in metrics])
-    return cast.unpivot(list(ids), list(metrics), "metric_name", "metric_value")
+    pairs = [
+        F.struct(F.lit(m).alias("metric_name"), F.col(m).cast("double").alias("metric_value")) for m in metrics
+    ]
+    return df.select(*ids, F.inline(F.array(*pairs)))
 
 
 def rank_catalog(spark: SparkSession, directions: dict[str, str] = PERFORMANCE_DIRECTIONS) -> DataFrame:

@@ -84,12 +84,12 @@ def performance(
     )
 
     def yearly(total: str) -> Column:
-        return F.pow(1 + F.col(total), days / n) - 1
+        return F.pow(1 + F.col(total), F.try_divide(F.lit(float(days)), n)) - 1
 
     base = a.select(
         "*", status.alias("metric_status"), yearly("hpr").alias("ann"), yearly("bench_hpr").alias("ann_b"),
         yearly("rf_hpr").alias("ann_f"), (F.col("sd") * days**0.5).alias("vol"),
-        (F.sqrt(F.col("shortfall_sq") / (n - 1)) * days**0.5).alias("down"),
+        (F.sqrt(F.try_divide(F.col("shortfall_sq"), n - 1)) * days**0.5).alias("down"),
         (F.col("tracking_sd") * days**0.5).alias("te"), F.when(F.col("var_b") != 0, F.col("cov") / F.col("var_b")).alias("beta_"),
     )
 

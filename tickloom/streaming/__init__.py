@@ -1 +1 @@
-"""streaming."""
+"""Carry-over of series state from one daily run to the next."""

@@ -17,7 +17,7 @@ EXTRACTED_ALIASES = {
     "relation": ("relation", "relevance", "相关性", "说明", "业务说明"),
     "source": ("source", "信源", "资料来源", "来源"),
 }
-PATH_DELIMITER = "/"
+PATH_DELIMITER = ","
 PATH_SEPARATORS = " > |>|，|、"
 IMAGE_PATTERN = "(?i)https?://[^\\s\"'<>]+?\\.(?:png|jpe?g)(?:\\?[^\\s\"'<>]*)?"
 LINK_PATTERN = "https?://[^\\s\"'<>]+"

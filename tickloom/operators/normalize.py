@@ -86,12 +86,18 @@ def struct_leaves(struct: T.StructType, steps: tuple[str, ...] = ()):
         if isinstance(f.dataType, T.StructType):
             yield from struct_leaves(f.dataType, path)
         else:
-            def getter(x, path=path):
-                for step in path:
-                    x = x[step]
-                return x
+            yield f.name, follow(path)
 
-            yield f.name, getter
+
+def follow(path: tuple[str, ...]):
+    """Getter of one leaf below an array element."""
+
+    def getter(x):
+        for step in path:
+            x = x[step]
+        return x
+
+    return getter
 
 
 def unknown_fields(df: DataFrame, payload: str, allowed: Sequence[str]) -> DataFrame:

@@ -84,7 +84,7 @@ def main() -> int:
     queries, oracles = load()
     spark = build_session(
         "compare", "local[8]", **{
-            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
         }
     )
     spark.sparkContext.setLogLevel("OFF")

@@ -83,7 +83,7 @@ MA_SQL = ", ".join(
 define("averages", f"SELECT security_code, trade_date, {MA_SQL} FROM gap_bars", ["gap_bars"])
 
 
-@query("I02_moving_averages", "SELECT * FROM averages", ["averages"], MA_COLUMNS, digits=4)
+@query("I02_moving_averages", "SELECT * FROM averages", ["averages"], MA_COLUMNS, digits=3)
 def moving_averages(spark, folder):
     b = market.gap_bars(spark, folder).select(*KEY, "close_price", "volume")
     return ind.moving_averages(b).select(*KEY, *MA_COLUMNS)
@@ -94,7 +94,7 @@ COMPOSITES = ("price_avg_ma_3_6_12_24", "price_avg_ma_14_28_57_114")
 
 @query("I03_composite_averages", """
 SELECT security_code, trade_date, (price_ma_3 + price_ma_6 + price_ma_12 + price_ma_24) / 4 AS price_avg_ma_3_6_12_24,
-  (price_ma_14 + price_ma_28 + price_ma_57 + price_ma_114) / 4 AS price_avg_ma_14_28_57_114 FROM averages""", ["averages"], COMPOSITES, digits=4)
+  (price_ma_14 + price_ma_28 + price_ma_57 + price_ma_114) / 4 AS price_avg_ma_14_28_57_114 FROM averages""", ["averages"], COMPOSITES, digits=3)
 def composites(spark, folder):
     b = market.gap_bars(spark, folder).select(*KEY, "close_price", "volume")
     return ind.moving_averages(b).select(*KEY, *COMPOSITES)

@@ -42,22 +42,41 @@ def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def valid_frame(valid: Column, n: int):
-    """Last ``n`` rows for which ``valid`` holds, the current one included."""
-    return Window.partitionBy(CODE, valid).orderBy(DATE).rowsBetween(-(n - 1), 0)
+def valid_order(valid: Column):
+    """Rows of a security in date order, valid and invalid ones apart."""
+    return Window.partitionBy(CODE, valid).orderBy(DATE)
 
 
 def over_valid(agg: Column, valid: Column, n: int) -> Column:
     """A frame aggregate that skips invalid rows and is NULL until ``n`` valid rows were seen."""
-    frame = valid_frame(valid, n)
-    return F.when(valid & (F.count(F.lit(1)).over(frame) == n), agg.over(frame))
+    order = valid_order(valid)
+    return F.when(valid & (F.row_number().over(order) >= n), agg.over(order.rowsBetween(-(n - 1), 0)))
+
+
+# Spark evaluates a sliding frame anew for every row. Up to this width that is cheap and exact;
+# wider means come from the difference of two running sums, as a sum that drops its oldest value.
+WIDEST_FRAME = 30
+
+
+def means(df: DataFrame, column: str, names: dict[int, str]) -> DataFrame:
+    """Means of the last ``n`` valid values for several ``n`` at once (I01); one sort serves them all."""
+    valid = F.col(column).isNotNull()
+    order = valid_order(valid)
+    narrow = [over_valid(F.avg(column), valid, n).alias(name) for n, name in names.items() if n <= WIDEST_FRAME]
+    wide = {n: name for n, name in names.items() if n > WIDEST_FRAME}
+    if not wide:
+        return df.select("*", *narrow)
+    running = F.sum(column).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto")
+    summed = df.select("*", *narrow, running, F.row_number().over(order).alias("_nth"))
+    dropped = {n: F.coalesce(F.lag("_upto", n).over(order), F.lit(0.0)) for n in wide}
+    return summed.select(
+        "*", *[F.when(valid & (F.col("_nth") >= n), (F.col("_upto") - dropped[n]) / n).alias(name) for n, name in wide.items()]
+    ).drop("_upto", "_nth")
 
 
 def sma(df: DataFrame, column: str, n: int, name: str | None = None) -> DataFrame:
     """Mean of the last ``n`` valid values."""
-    return df.withColumn(
-        name or f"sma_{n}", over_valid(F.avg(column), F.col(column).isNotNull(), n)
-    )
+    return means(df, column, {n: name or f"sma_{n}"})
 
 
 def rolling_stddev(df: DataFrame, column: str, n: int, name: str | None = None) -> DataFrame:
@@ -75,14 +94,8 @@ def moving_averages(
     volume_windows: Sequence[int] = VOLUME_MA_WINDOWS,
 ) -> DataFrame:
     """Price and volume moving averages and their composites."""
-    has_price, has_volume = F.col(price).isNotNull(), F.col(volume).isNotNull()
-    result = df.select(
-        "*",
-        *[over_valid(F.avg(price), has_price, n).alias(f"price_ma_{n}") for n in price_windows],
-    ).select(
-        "*",
-        *[over_valid(F.avg(volume), has_volume, n).alias(f"volume_ma_{n}") for n in volume_windows],
-    )
+    result = means(df, price, {n: f"price_ma_{n}" for n in price_windows})
+    result = means(result, volume, {n: f"volume_ma_{n}" for n in volume_windows})
     for members in COMPOSITE_MAS:
         if set(members) <= set(price_windows):
             total = F.col(f"price_ma_{members[0]}")

@@ -22,12 +22,47 @@ FROM = (Window.currentRow, Window.unboundedFollowing)
 AFTER = (1, Window.unboundedFollowing)
 
 SEQ_BLOCK_BITS = 20
+HOT_ROWS = 4_000_000
 SCAN_FUNCTIONS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def seq_block(date_col: str, seq_col: str) -> list[Column]:
-    """Block of at most 2**20 ledger rows: the sequence number is unique within a run."""
-    return [F.col(date_col), F.shiftright(F.col(seq_col).cast("long"), SEQ_BLOCK_BITS)]
+def seq_block(seq_col: str) -> Column:
+    """Block number of a ledger row: at most 2**20 rows, since a sequence number is unique in its run.
+
+    Sequence numbers rise with time, so ordering by block keeps the ledger order.
+    """
+    return F.shiftright(F.col(seq_col).cast("long"), SEQ_BLOCK_BITS)
+
+
+def with_blocks(df: DataFrame, keys: Sequence[str], block: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``_blk``: the block of rows whose key holds more than ``hot_rows`` rows, 0 for other keys.
+
+    Counting keys is one map-side combined aggregate. There are at most ``rows / hot_rows`` hot
+    keys, a bound that keeps the broadcast small: a million keys for 4e12 rows.
+    """
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(
+        *keys, F.lit(True).alias("_hot")
+    )
+    return df.join(F.broadcast(hot), list(keys), "left").withColumn(
+        "_blk", F.when(F.col("_hot"), block.cast("long")).otherwise(F.lit(0).cast("long"))
+    )
+
+
+def combine(fn: str, carry: Column, local: Column) -> Column:
+    if fn == "sum":
+        return F.coalesce(carry, F.lit(0.0)) + local
+    return F.greatest(carry, local) if fn == "max" else F.least(carry, local)
+
+
+def carried(rows: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[str, Column]]) -> DataFrame:
+    """What the earlier blocks of a key amount to, per block of the hot keys."""
+    totals = rows.where("_hot").groupBy(*keys, "_blk").agg(
+        *[SCAN_FUNCTIONS[fn](e).alias(f"_c_{n}") for n, (fn, e) in aggregates.items()]
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(*BEFORE)
+    return totals.select(
+        *keys, "_blk", *[SCAN_FUNCTIONS[fn](f"_c_{n}").over(earlier).alias(f"_c_{n}") for n, (fn, _) in aggregates.items()]
+    )
 
 
 def running(
@@ -35,49 +70,31 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     exprs: dict[str, tuple[str, Column]],
-    block: Sequence[Column] | None = None,
+    block: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add running ``sum``/``max``/``min`` columns over ``order`` within ``keys``.
 
-    ``block`` must be non-decreasing in ``order``. Leave it out only where the grain bounds the
-    rows of a key.
+    ``block`` is a number that never falls along ``order``; hot keys are scanned block by block.
+    Leave it out only where the grain bounds the rows of a key.
     """
     if block is None:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*UP_TO)
         return df.select(
             "*", *[SCAN_FUNCTIONS[fn](e).over(window).alias(n) for n, (fn, e) in exprs.items()]
         )
-    columns = df.columns
-    rows = df.select(
-        "*", F.struct(*block).alias("_blk"), *[e.alias(f"_v_{n}") for n, (_, e) in exprs.items()]
-    )
-    totals = rows.groupBy(*keys, "_blk").agg(
-        *[SCAN_FUNCTIONS[fn](f"_v_{n}").alias(f"_v_{n}") for n, (fn, _) in exprs.items()]
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(*BEFORE)
-    carry = totals.select(
-        *keys,
-        "_blk",
-        F.lit(0).alias("_live"),
-        *[SCAN_FUNCTIONS[fn](f"_v_{n}").over(earlier).alias(f"_v_{n}") for n, (fn, _) in exprs.items()],
-    )
-    inside = Window.partitionBy(*keys, "_blk").orderBy("_live", *order).rowsBetween(*UP_TO)
-    return (
-        rows.withColumn("_live", F.lit(1))
-        .unionByName(carry, allowMissingColumns=True)
-        .select(
-            *columns,
-            "_live",
-            *[SCAN_FUNCTIONS[fn](f"_v_{n}").over(inside).alias(n) for n, (fn, _) in exprs.items()],
-        )
-        .where("_live = 1")
-        .drop("_live")
+    rows = with_blocks(df, keys, block, hot_rows)
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(*UP_TO)
+    local = rows.select("*", *[SCAN_FUNCTIONS[fn](e).over(inside).alias(f"_l_{n}") for n, (fn, e) in exprs.items()])
+    joined = local.join(carried(rows, keys, exprs), [*keys, "_blk"], "left")
+    return joined.select(
+        *df.columns, *[combine(fn, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (fn, _) in exprs.items()]
     )
 
 
-def running_sum(df, keys, order, value: str, name: str, block=None) -> DataFrame:
+def running_sum(df, keys, order, value: str, name: str, block=None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Running sum of one column."""
-    return running(df, keys, order, {name: ("sum", F.col(value))}, block)
+    return running(df, keys, order, {name: ("sum", F.col(value))}, block, hot_rows)
 
 
 def block_of(column: Column, block) -> Column:

@@ -263,7 +263,7 @@ def position_balance(trades: DataFrame, keys=("run_id", "attempt_id", "security_
     signed = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
     return running(
         trades, keys, ["trade_date", "trade_seq"], {"position_balance_quantity": ("sum", signed)},
-        block or seq_block("trade_date", "trade_seq"),
+        seq_block("trade_seq") if block is None else block,
     )
 
 

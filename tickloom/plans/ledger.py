@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions import scalars
-from tickloom.operators.scans import AFTER, BEFORE, FROM, UP_TO, running, seq_block
+from tickloom.operators.scans import AFTER, BEFORE, FROM, HOT_ROWS, UP_TO, seq_block, with_blocks
 
 RUN = ("run_id", "attempt_id")
 SERIES = (*RUN, "security_code")
@@ -220,30 +220,47 @@ def signal_trades(
 # --- FIFO ------------------------------------------------------------------------------------
 
 
-def matched_ledger(trades: DataFrame, block: Sequence[Column] | None = None) -> DataFrame:
+def matched_ledger(trades: DataFrame, block: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Cumulative bought and matched quantity after every trade.
 
     A sell can use at most the open position; what exceeds it is dropped. With cumulative buys B
     and sells S, the dropped quantity so far is the running maximum of ``S - B``, floored at 0, so
-    the matched sells are ``S`` minus that: two ordered scans and no sequential loop.
+    the matched sells are ``S`` minus that: ordered scans and no sequential loop. Both scans run in
+    one pass over the blocks of a security; the sums and the peak of earlier blocks are added after.
     """
-    block = block if block is not None else seq_block("trade_date", "trade_seq")
-    order = ["trade_date", "trade_seq"]
+    rows = with_blocks(trades, SERIES, seq_block("trade_seq") if block is None else block, hot_rows)
     buy = F.col("side") == "buy"
-    summed = running(
-        trades, SERIES, order,
-        {
-            "bought_upto": ("sum", F.when(buy, F.col("quantity")).otherwise(0.0)),
-            "sold_upto": ("sum", F.when(buy, 0.0).otherwise(F.col("quantity"))),
-        },
-        block,
+    rows = rows.withColumn("_b", F.when(buy, F.col("quantity")).otherwise(0.0)).withColumn(
+        "_s", F.when(buy, 0.0).otherwise(F.col("quantity"))
     )
-    peaked = running(summed, SERIES, order, {"_peak": ("max", F.col("sold_upto") - F.col("bought_upto"))}, block)
-    dropped = F.greatest(F.col("_peak"), F.lit(0.0))
-    return peaked.withColumn("matched_upto", F.col("sold_upto") - dropped).drop("_peak")
+    inside = Window.partitionBy(*SERIES, "_blk").orderBy("trade_date", "trade_seq").rowsBetween(*UP_TO)
+    local = rows.select("*", F.sum("_b").over(inside).alias("_lb"), F.sum("_s").over(inside).alias("_ls")).withColumn(
+        "_lp", F.max(F.col("_ls") - F.col("_lb")).over(inside)
+    )
+    earlier = Window.partitionBy(*SERIES).orderBy("_blk").rowsBetween(*BEFORE)
+    blocks = local.where("_hot").groupBy(*SERIES, "_blk").agg(
+        F.sum("_b").alias("_tb"), F.sum("_s").alias("_ts"), F.max("_lp").alias("_tp")
+    ).select(
+        *SERIES, "_blk", "_tp", F.coalesce(F.sum("_tb").over(earlier), F.lit(0.0)).alias("_cb"),
+        F.coalesce(F.sum("_ts").over(earlier), F.lit(0.0)).alias("_cs"),
+    )
+    carry = blocks.select(
+        *SERIES, "_blk", "_cb", "_cs", F.max(F.col("_tp") + F.col("_cs") - F.col("_cb")).over(earlier).alias("_cp")
+    )
+    joined = local.join(carry, [*SERIES, "_blk"], "left").select(
+        *trades.columns,
+        (F.coalesce("_cb", F.lit(0.0)) + F.col("_lb")).alias("bought_upto"),
+        (F.coalesce("_cs", F.lit(0.0)) + F.col("_ls")).alias("sold_upto"),
+        F.greatest(
+            F.lit(0.0), F.col("_cp"), F.col("_lp") + F.coalesce("_cs", F.lit(0.0)) - F.coalesce("_cb", F.lit(0.0))
+        ).alias("_dropped"),
+    )
+    return joined.withColumn("matched_upto", F.col("sold_upto") - F.col("_dropped")).drop("_dropped")
 
 
-def fifo_closed_trades(trades: DataFrame, calendar: DataFrame, block_quantity: float = QUANTITY_BLOCK) -> DataFrame:
+def fifo_closed_trades(
+    trades: DataFrame, calendar: DataFrame, block_quantity: float = QUANTITY_BLOCK, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Closed lots, first in first out, with fees and gross split pro rata.
 
     On the axis of matched quantity every buy and every matched sell is an interval, and both sets
@@ -252,7 +269,7 @@ def fifo_closed_trades(trades: DataFrame, calendar: DataFrame, block_quantity: f
     with sells. A security's cuts are split into quantity blocks of at most ``block_quantity``
     units, each with the neighbours' edges carried in, so no lot history has to fit one task.
     """
-    ledger = matched_ledger(trades)
+    ledger = matched_ledger(trades, hot_rows=hot_rows)
     buy = F.col("side") == "buy"
     # A sell's matched part ends at matched_upto; a sell that matched nothing repeats the cut of
     # an earlier one and must not take it over, so the earliest seller at a cut wins.
@@ -263,8 +280,9 @@ def fifo_closed_trades(trades: DataFrame, calendar: DataFrame, block_quantity: f
         F.when(buy, F.col("bought_upto")).otherwise(F.col("matched_upto")).alias("cut"),
         F.when(buy, buyer).alias("buy"), F.when(~buy, seller).alias("sell"),
     )
-    cuts = ends.where("cut > 0").groupBy(*SERIES, "cut").agg(F.min("buy").alias("buy"), F.min("sell").alias("sell"))
-    cuts = cuts.withColumn("_blk", F.floor(F.col("cut") / block_quantity))
+    # One shuffle by security and block serves the merge of equal cuts, the edges and the scan.
+    placed = ends.where("cut > 0").withColumn("_blk", F.floor(F.col("cut") / block_quantity)).repartition(*SERIES, "_blk")
+    cuts = placed.groupBy(*SERIES, "_blk", "cut").agg(F.min("buy").alias("buy"), F.min("sell").alias("sell"))
     edges = cuts.groupBy(*SERIES, "_blk").agg(
         F.min_by("buy", F.when(F.col("buy").isNotNull(), F.col("cut"))).alias("first_buy"),
         F.min_by("sell", F.when(F.col("sell").isNotNull(), F.col("cut"))).alias("first_sell"),

@@ -10,6 +10,7 @@ starting from the carry.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -192,6 +193,48 @@ def asof_join(
     )
 
 
+@dataclass(frozen=True)
+class Side:
+    """One right side of ``asof_many``: its time column, the columns wanted and an optional expiry."""
+
+    table: DataFrame
+    time: str
+    columns: tuple[str, ...]
+    valid_to: str | None = None
+    tie_break: tuple[str, ...] = ()
+    unique: bool = True
+
+
+def asof_many(left: DataFrame, on: Sequence[str], left_time: str, sides: Sequence[Side]) -> DataFrame:
+    """Several backward as-of joins on one time axis with one shuffle and one sort.
+
+    All right sides are stacked with the left rows, and one window carries the latest record of
+    each side. For sides and a left with at most one row per key and day, so that a key's rows are
+    bounded by the calendar.
+    """
+    stacked = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"))
+    for i, side in enumerate(sides):
+        fields = list(dict.fromkeys([*side.tie_break, *side.columns, *([side.valid_to] if side.valid_to else [])]))
+        rows = side.table.where(F.col(side.time).isNotNull()).select(
+            *on, F.col(side.time).alias("_t"), F.struct(*fields).alias(f"_r{i}")
+        )
+        if not side.unique:
+            rows = rows.groupBy(*on, "_t").agg(F.max(f"_r{i}").alias(f"_r{i}"))
+        stacked = stacked.unionByName(rows.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    scan = Window.partitionBy(*on).orderBy("_t", "_side").rowsBetween(*UP_TO)
+    matched = stacked.select(
+        *left.columns, "_side", "_t", *[F.last(f"_r{i}", ignorenulls=True).over(scan).alias(f"_m{i}") for i in range(len(sides))]
+    ).where("_side = 1")
+    found = []
+    for i, side in enumerate(sides):
+        hit = F.col(f"_m{i}")
+        live = F.col("_t").isNotNull()
+        if side.valid_to:
+            live = live & (hit[side.valid_to].isNull() | (F.col("_t") <= hit[side.valid_to]))
+        found += [F.when(live, hit[c]).alias(c) for c in side.columns]
+    return matched.select(*left.columns, *found)
+
+
 def global_rank(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str = "rank_no"
 ) -> DataFrame:

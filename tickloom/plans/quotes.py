@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import codes, scalars
 from tickloom.operators import tables
 from tickloom.operators.joins import forward_fill, grid
-from tickloom.operators.scans import AFTER, UP_TO, asof_join
+from tickloom.operators.scans import AFTER, UP_TO, Side, asof_many
 
 CODE, DATE = "security_code", "trade_date"
 
@@ -53,14 +53,16 @@ def shares_history(equity: DataFrame, holders: DataFrame) -> DataFrame:
         equity.select(CODE, F.col("end_date").alias("effective_date")),
         major.select(CODE, F.col("end_date").alias("effective_date")),
     )
-    as_equity = asof_join(
-        points, equity.withColumnRenamed("end_date", "source_equity_end_date"), [CODE],
-        "effective_date", "source_equity_end_date", how="inner", block=None,
-    )
-    both = asof_join(
-        as_equity, major.withColumnRenamed("end_date", "source_freeholders_end_date"), [CODE],
-        "effective_date", "source_freeholders_end_date", right_unique=True, block=None,
-    )
+    both = asof_many(points, [CODE], "effective_date", [
+        Side(
+            equity.withColumn("source_equity_end_date", F.col("end_date")), "end_date",
+            ("source_equity_end_date", "total_shares", "unlimited_shares", "listed_a_shares", "limited_a_shares"), unique=False,
+        ),
+        Side(
+            major.withColumn("source_freeholders_end_date", F.col("end_date")), "end_date",
+            ("source_freeholders_end_date", "major_holder_a_float_shares", "major_holder_count"),
+        ),
+    ]).where(F.col("source_equity_end_date").isNotNull())
     listed, limited = F.col("listed_a_shares"), F.col("limited_a_shares")
     held = F.coalesce("major_holder_a_float_shares", F.lit(0.0))
     return tables.with_expiry(both, [CODE]).select(
@@ -139,19 +141,34 @@ def cumulative_dividends(events: DataFrame) -> DataFrame:
     return daily.select(CODE, "ex_dividend_date", F.sum("cash").over(window).alias("cumulative_cash"))
 
 
-def ttm_from_cumulative(df: DataFrame, cumulative: DataFrame, date: str = DATE) -> DataFrame:
-    """Trailing-year sum as the difference of two as-of running sums."""
-    now = asof_join(
-        df, cumulative.select(CODE, F.col("ex_dividend_date").alias("_ex"), F.col("cumulative_cash").alias("current_cumulative")),
-        [CODE], date, "_ex", columns=["current_cumulative"], right_unique=True, block=None,
-    ).withColumn("ttm_start_date", scalars.add_years(date, -1))
-    both = asof_join(
-        now, cumulative.select(CODE, F.col("ex_dividend_date").alias("_ex"), F.col("cumulative_cash").alias("previous_cumulative")),
-        [CODE], "ttm_start_date", "_ex", columns=["previous_cumulative"], right_unique=True, block=None,
+def year_after(column: str):
+    """First day whose date one year earlier is on or after the given one."""
+    leap = (F.month(column) == 2) & (F.dayofmonth(column) == 29)
+    return F.when(leap, F.make_date(F.year(column) + 1, F.lit(3), F.lit(1))).otherwise(scalars.add_years(column, 1))
+
+
+def cumulative_sides(cumulative: DataFrame) -> list[Side]:
+    """The running sum as it stood now and one year ago, both on today's time axis."""
+    now = cumulative.select(CODE, "ex_dividend_date", F.col("cumulative_cash").alias("current_cumulative"))
+    before = cumulative.select(
+        CODE, year_after("ex_dividend_date").alias("_known"), F.col("ex_dividend_date").alias("_ex"),
+        F.col("cumulative_cash").alias("previous_cumulative"),
     )
-    return both.withColumn(
+    return [
+        Side(now, "ex_dividend_date", ("current_cumulative",)),
+        Side(before, "_known", ("previous_cumulative",), tie_break=("_ex",), unique=False),
+    ]
+
+
+def with_ttm_cash(df: DataFrame) -> DataFrame:
+    return df.withColumn(
         "ttm_cash", F.col("current_cumulative") - F.coalesce("previous_cumulative", F.lit(0.0))
-    ).drop("current_cumulative", "previous_cumulative", "ttm_start_date")
+    ).drop("current_cumulative", "previous_cumulative")
+
+
+def ttm_from_cumulative(df: DataFrame, cumulative: DataFrame, date: str = DATE) -> DataFrame:
+    """Trailing-year sum as the difference of two as-of running sums."""
+    return with_ttm_cash(asof_many(df, [CODE], date, cumulative_sides(cumulative)))
 
 
 def quotes_unadj(
@@ -173,16 +190,15 @@ def quotes_unadj(
         "*", F.when(on_time, F.lag("close_price").over(window)).alias("prev_close_price_unadj"),
         F.when(on_time, F.lag("volume").over(window)).alias("prev_volume"),
     ).drop("prev_trade_date")
-    with_shares = asof_join(
-        base, shares.select(CODE, "effective_date", "expiry_date", "shares", "float_shares_a", "free_float_shares"),
-        [CODE], DATE, "effective_date", columns=["shares", "float_shares_a", "free_float_shares"],
-        valid_to="expiry_date", right_unique=True, block=None,
-    )
-    static = asof_join(
-        with_shares, annual_dividends(events), [CODE], DATE, "latest_ex_dividend_date",
-        columns=["latest_annual_cash_dividend_per_share"], tie_break=["report_date"], block=None,
-    )
-    full = scalars.price_limits(ttm_from_cumulative(static, cumulative_dividends(events)), limits, rounding)
+    matched = asof_many(base, [CODE], DATE, [
+        Side(shares, "effective_date", ("shares", "float_shares_a", "free_float_shares"), valid_to="expiry_date"),
+        Side(
+            annual_dividends(events), "latest_ex_dividend_date", ("latest_annual_cash_dividend_per_share",),
+            tie_break=("report_date",), unique=False,
+        ),
+        *cumulative_sides(cumulative_dividends(events)),
+    ])
+    full = scalars.price_limits(with_ttm_cash(matched), limits, rounding)
     close = F.when(F.col("close_price") >= 0, F.col("close_price"))
 
     def cap(shares_column: str):
@@ -249,25 +265,15 @@ def financial_valuation(
     """Valuation ratios per security and report period (D05). Statements are unique per key."""
     key = [CODE, "report_date"]
     periods = tables.union_distinct(income_ytd.select(*key), balance.select(*key))
-    priced = asof_join(
-        periods, quotes.select(CODE, F.col(DATE).alias("_day"), "close_price"), [CODE], "report_date", "_day",
-        columns=["close_price"], right_unique=True, block=None,
-    )
-    counted = asof_join(
-        priced, shares.select(CODE, "effective_date", "expiry_date", "total_shares"), [CODE], "report_date", "effective_date",
-        columns=["total_shares"], valid_to="expiry_date", right_unique=True, block=None,
-    )
     annual = income_ytd.where(F.col("report_type") == scalars.ANNUAL_REPORT).select(
-        CODE, F.col("report_date").alias("_annual"), F.col("parent_netprofit").alias("annual_parent_netprofit")
-    )
-    yearly = asof_join(
-        counted, annual, [CODE], "report_date", "_annual", columns=["annual_parent_netprofit"], right_unique=True, block=None
-    )
-    sheets = balance.select(CODE, F.col("report_date").alias("_sheet"), "total_assets", "total_parent_equity", "share_capital")
-    latest = asof_join(
-        yearly, sheets, [CODE], "report_date", "_sheet", columns=["total_assets", "total_parent_equity", "share_capital"],
-        right_unique=True, block=None,
+        CODE, "report_date", F.col("parent_netprofit").alias("annual_parent_netprofit")
     )
+    latest = asof_many(periods, [CODE], "report_date", [
+        Side(quotes, DATE, ("close_price",)),
+        Side(shares, "effective_date", ("total_shares",), valid_to="expiry_date"),
+        Side(annual, "report_date", ("annual_parent_netprofit",)),
+        Side(balance, "report_date", ("total_assets", "total_parent_equity", "share_capital")),
+    ])
     trailing = tables.ttm(income_quarter.select(*key, "parent_netprofit"), "parent_netprofit", month_end_aware).select(
         *key, F.col("ttm_parent_netprofit")
     )

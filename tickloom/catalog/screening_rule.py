@@ -36,7 +36,6 @@ WINDOW w AS (PARTITION BY security_code ORDER BY trade_date)"""
 def signal_base(spark, folder):
     """Averages of the rule and their previous-day values."""
     b = market.bars(spark, folder).select("security_code", "trade_date", "close_price", "volume")
-    for n in (20, 60):
-        b = indicators.sma(b, "close_price", n, f"price_ma_{n}")
-    b = indicators.sma(b, "volume", 5, "volume_ma_5")
+    b = indicators.placed_means(indicators.by_security(b), "close_price", {n: f"price_ma_{n}" for n in (20, 60)})
+    b = indicators.placed_means(b, "volume", {5: "volume_ma_5"})
     return tables.with_prev(b, PREVIOUS)

@@ -42,6 +42,12 @@ def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def by_security(df: DataFrame) -> DataFrame:
+    """One placement by security. It serves every window over (security, validity) and the grouped
+    map after them, which would each ask for a shuffle of their own otherwise."""
+    return df.repartition(CODE)
+
+
 def valid_order(valid: Column):
     """Rows of a security in date order, valid and invalid ones apart."""
     return Window.partitionBy(CODE, valid).orderBy(DATE)
@@ -60,18 +66,23 @@ WIDEST_FRAME = 30
 
 def means(df: DataFrame, column: str, names: dict[int, str]) -> DataFrame:
     """Means of the last ``n`` valid values for several ``n`` at once (I01); one sort serves them all."""
-    valid = F.col(column).isNotNull()
+    return placed_means(by_security(df), column, names)
+
+
+def placed_means(df: DataFrame, column: str, names: dict[int, str]) -> DataFrame:
+    flagged = df.withColumn("_ok", F.col(column).isNotNull())
+    valid = F.col("_ok")
     order = valid_order(valid)
     narrow = [over_valid(F.avg(column), valid, n).alias(name) for n, name in names.items() if n <= WIDEST_FRAME]
     wide = {n: name for n, name in names.items() if n > WIDEST_FRAME}
     if not wide:
-        return df.select("*", *narrow)
+        return flagged.select("*", *narrow).drop("_ok")
     running = F.sum(column).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto")
-    summed = df.select("*", *narrow, running, F.row_number().over(order).alias("_nth"))
+    summed = flagged.select("*", *narrow, running, F.row_number().over(order).alias("_nth"))
     dropped = {n: F.coalesce(F.lag("_upto", n).over(order), F.lit(0.0)) for n in wide}
     return summed.select(
         "*", *[F.when(valid & (F.col("_nth") >= n), (F.col("_upto") - dropped[n]) / n).alias(name) for n, name in wide.items()]
-    ).drop("_upto", "_nth")
+    ).drop("_upto", "_nth", "_ok")
 
 
 def sma(df: DataFrame, column: str, n: int, name: str | None = None) -> DataFrame:
@@ -81,9 +92,8 @@ def sma(df: DataFrame, column: str, n: int, name: str | None = None) -> DataFram
 
 def rolling_stddev(df: DataFrame, column: str, n: int, name: str | None = None) -> DataFrame:
     """Population standard deviation of the last ``n`` valid values."""
-    return df.withColumn(
-        name or f"stddev_{n}", over_valid(F.stddev_pop(column), F.col(column).isNotNull(), n)
-    )
+    flagged = by_security(df).withColumn("_ok", F.col(column).isNotNull())
+    return flagged.withColumn(name or f"stddev_{n}", over_valid(F.stddev_pop(column), F.col("_ok"), n)).drop("_ok")
 
 
 def moving_averages(
@@ -94,8 +104,8 @@ def moving_averages(
     volume_windows: Sequence[int] = VOLUME_MA_WINDOWS,
 ) -> DataFrame:
     """Price and volume moving averages and their composites."""
-    result = means(df, price, {n: f"price_ma_{n}" for n in price_windows})
-    result = means(result, volume, {n: f"volume_ma_{n}" for n in volume_windows})
+    result = placed_means(by_security(df), price, {n: f"price_ma_{n}" for n in price_windows})
+    result = placed_means(result, volume, {n: f"volume_ma_{n}" for n in volume_windows})
     for members in COMPOSITE_MAS:
         if set(members) <= set(price_windows):
             total = F.col(f"price_ma_{members[0]}")
@@ -108,14 +118,15 @@ def moving_averages(
 
 def bollinger(df: DataFrame, column: str = "close_price", configs=BOLLINGER_CONFIGS) -> DataFrame:
     """Middle band and ``k`` population sigmas around it."""
-    valid = F.col(column).isNotNull()
+    flagged = by_security(df).withColumn("_ok", F.col(column).isNotNull())
+    valid = F.col("_ok")
     mids = [over_valid(F.avg(column), valid, n).alias(f"boll_mid_{n}") for n, _ in configs]
     sigmas = [over_valid(F.stddev_pop(column), valid, n).alias(f"_sigma_{n}") for n, _ in configs]
     bands = []
     for n, k in configs:
         bands.append((F.col(f"boll_mid_{n}") + k * F.col(f"_sigma_{n}")).alias(f"boll_upper_{n}"))
         bands.append((F.col(f"boll_mid_{n}") - k * F.col(f"_sigma_{n}")).alias(f"boll_lower_{n}"))
-    return df.select("*", *mids, *sigmas).select("*", *bands).drop(*[f"_sigma_{n}" for n, _ in configs])
+    return flagged.select("*", *mids, *sigmas).select("*", *bands).drop("_ok", *[f"_sigma_{n}" for n, _ in configs])
 
 
 def bar_is_valid(high: str, low: str, close: str) -> Column:
@@ -129,15 +140,16 @@ def rsv(
     df: DataFrame, n: int = KDJ_WINDOWS[0], high="high_price", low="low_price", close="close_price",
 ) -> DataFrame:
     """Place of the close in the range of the last ``n`` valid bars, flat = 50."""
-    valid = F.coalesce(bar_is_valid(high, low, close), F.lit(False))
-    framed = df.select(
+    flagged = by_security(df).withColumn("_ok", F.coalesce(bar_is_valid(high, low, close), F.lit(False)))
+    valid = F.col("_ok")
+    framed = flagged.select(
         "*",
         over_valid(F.max(high), valid, n).alias("_top"),
         over_valid(F.min(low), valid, n).alias("_bottom"),
     )
     spread = F.col("_top") - F.col("_bottom")
     value = F.when(spread == 0, 50.0).otherwise((F.col(close) - F.col("_bottom")) / spread * 100)
-    return framed.withColumn("rsv", value).drop("_top", "_bottom")
+    return framed.withColumn("rsv", value).drop("_top", "_bottom", "_ok")
 
 
 def close_direction(close: str, previous: str) -> Column:

@@ -32,7 +32,9 @@ def raw_code(key: Column) -> Column:
     turn = key % 4
     market = F.when(turn.isin(0, 3), "sh.").otherwise("sz.")
     start = F.when(turn == 0, "600").when(turn == 1, "000").when(turn == 2, "300").otherwise("688")
-    return F.concat(market, start, F.format_string("%03d", F.floor(key / 4)))
+    number = F.shiftright(key, 2)
+    digits = F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))
+    return F.concat(market, start, digits)
 
 
 def security_code(key: Column) -> Column:

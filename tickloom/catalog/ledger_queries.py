@@ -281,7 +281,9 @@ FROM (SELECT run_id, attempt_id, trade_date, total_equity, total_equity / first_
   FROM nav_daily WHERE trade_date >= DATE '1998-06-15' WINDOW w AS (PARTITION BY run_id ORDER BY trade_date))""", ["nav_daily"],
     ("nav", "total_equity", "daily_return", "drawdown"), digits=3)
 def rebase_nav(spark, folder):
-    return ledger.rebase_nav(market.nav_daily(spark, folder), "1998-06-15").select(
+    n = market.nav_daily(spark, folder)
+    starts = n.where("trade_date >= date'1998-06-15'").groupBy("run_id", "attempt_id").agg(F.min("trade_date").alias("live_start_date"))
+    return ledger.rebase_nav(n, starts).select(
         "run_id", "attempt_id", "trade_date", "nav", "total_equity", "daily_return", "drawdown"
     )
 
@@ -398,7 +400,7 @@ SELECT trade_date, count(*) AS signal_count, string_agg(p.rank_no || ':' || p.se
 FROM pool p LEFT JOIN basics b ON b.security_code = p.security_code WHERE rank_no <= 5 GROUP BY 1""", ["pool", "basics"])
 def signals_by_date(spark, folder):
     sig = screening.signals(signal_base(spark, folder), RULE, CATALOG, *RANGE)
-    nested = screening.signals_by_date(sig, market.basics(spark, folder))
+    nested = screening.signals_by_date(sig, market.basics(spark, folder), RULE.top_n)
     text = F.transform("signals", lambda x: F.concat_ws(":", x["rank_no"].cast("string"), x["security_code"], x["security_name"]))
     return nested.select("trade_date", "signal_count", F.array_join(text, ",").alias("signals"))
 

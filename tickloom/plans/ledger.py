@@ -233,9 +233,11 @@ def matched_ledger(trades: DataFrame, block: Column | None = None, hot_rows: int
     rows = rows.withColumn("_b", F.when(buy, F.col("quantity")).otherwise(0.0)).withColumn(
         "_s", F.when(buy, 0.0).otherwise(F.col("quantity"))
     )
-    inside = Window.partitionBy(*SERIES, "_blk").orderBy("trade_date", "trade_seq").rowsBetween(*UP_TO)
-    local = rows.select("*", F.sum("_b").over(inside).alias("_lb"), F.sum("_s").over(inside).alias("_ls")).withColumn(
-        "_lp", F.max(F.col("_ls") - F.col("_lb")).over(inside)
+    ordered = Window.partitionBy(*SERIES, "_blk").orderBy("trade_date", "trade_seq")
+    inside = ordered.rowsBetween(*UP_TO)
+    short = F.col("_ls") - F.col("_lb")
+    local = rows.select("*", F.sum("_b").over(inside).alias("_lb"), F.sum("_s").over(inside).alias("_ls")).select(
+        "*", F.max(short).over(inside).alias("_lp"), F.max(short).over(ordered.rowsBetween(*BEFORE)).alias("_lq")
     )
     earlier = Window.partitionBy(*SERIES).orderBy("_blk").rowsBetween(*BEFORE)
     blocks = local.where("_hot").groupBy(*SERIES, "_blk").agg(
@@ -247,13 +249,14 @@ def matched_ledger(trades: DataFrame, block: Column | None = None, hot_rows: int
     carry = blocks.select(
         *SERIES, "_blk", "_cb", "_cs", F.max(F.col("_tp") + F.col("_cs") - F.col("_cb")).over(earlier).alias("_cp")
     )
+    bought, sold = F.coalesce("_cb", F.lit(0.0)), F.coalesce("_cs", F.lit(0.0))
+
+    def dropped(local_peak: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col("_cp"), F.col(local_peak) + sold - bought)
+
     joined = local.join(carry, [*SERIES, "_blk"], "left").select(
-        *trades.columns,
-        (F.coalesce("_cb", F.lit(0.0)) + F.col("_lb")).alias("bought_upto"),
-        (F.coalesce("_cs", F.lit(0.0)) + F.col("_ls")).alias("sold_upto"),
-        F.greatest(
-            F.lit(0.0), F.col("_cp"), F.col("_lp") + F.coalesce("_cs", F.lit(0.0)) - F.coalesce("_cb", F.lit(0.0))
-        ).alias("_dropped"),
+        *trades.columns, (bought + F.col("_lb")).alias("bought_upto"), (sold + F.col("_ls")).alias("sold_upto"),
+        dropped("_lp").alias("_dropped"), (dropped("_lp") - dropped("_lq")).alias("dropped_quantity"),
     )
     return joined.withColumn("matched_upto", F.col("sold_upto") - F.col("_dropped")).drop("_dropped")
 
@@ -271,11 +274,11 @@ def fifo_closed_trades(
     """
     ledger = matched_ledger(trades, hot_rows=hot_rows)
     buy = F.col("side") == "buy"
-    # A sell's matched part ends at matched_upto; a sell that matched nothing repeats the cut of
-    # an earlier one and must not take it over, so the earliest seller at a cut wins.
+    # A sell's matched part ends at matched_upto. Sells that matched nothing are left out, so that
+    # cuts rise strictly on each side and a cut has at most one buy and one sell.
     seller = F.struct("trade_date", "trade_seq", "quantity", "gross_amount", "total_fee", "reason")
     buyer = F.struct("trade_date", "trade_seq", "quantity", "gross_amount", "total_fee")
-    ends = ledger.where("quantity > 0").select(
+    ends = ledger.where(F.col("quantity") - F.when(buy, 0.0).otherwise(F.col("dropped_quantity")) > EPSILON).select(
         *SERIES,
         F.when(buy, F.col("bought_upto")).otherwise(F.col("matched_upto")).alias("cut"),
         F.when(buy, buyer).alias("buy"), F.when(~buy, seller).alias("sell"),
@@ -480,11 +483,17 @@ def run_totals(nav: DataFrame, trades: DataFrame, initial_cash: float) -> DataFr
     )
 
 
-def rebase_nav(nav: DataFrame, live_start: str) -> DataFrame:
-    """NAV from a live start on, relative to that day's equity (X15); a run without a usable base fails."""
-    start = F.lit(live_start).cast("date")
-    live = nav.where(F.col("trade_date") >= start)
-    base = nav.groupBy(*RUN).agg(F.max(F.when(F.col("trade_date") == start, F.col("total_equity"))).alias("_base"))
+def rebase_nav(nav: DataFrame, live_start: str | DataFrame) -> DataFrame:
+    """NAV from a live start on, relative to that day's equity (X15); a run without a usable base fails.
+
+    ``live_start`` is one date, or a frame with ``live_start_date`` per run.
+    """
+    if isinstance(live_start, DataFrame):
+        dated = nav.join(live_start.select(*RUN, F.col("live_start_date").alias("_start")), list(RUN))
+    else:
+        dated = nav.withColumn("_start", F.lit(live_start).cast("date"))
+    live = dated.where(F.col("trade_date") >= F.col("_start")).drop("_start")
+    base = dated.groupBy(*RUN).agg(F.max(F.when(F.col("trade_date") == F.col("_start"), F.col("total_equity"))).alias("_base"))
     checked = live.join(base, list(RUN)).withColumn(
         "_base",
         F.when(F.col("_base") > 0, F.col("_base")).otherwise(

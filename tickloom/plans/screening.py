@@ -72,10 +72,10 @@ def pool_page(
     return page.orderBy("rank_no").offset(offset).limit(limit)
 
 
-def signals_by_date(sig: DataFrame, names: DataFrame, top_n: int = 100) -> DataFrame:
-    """Signals of each date as a list ordered by rank, with display names.
+def signals_by_date(sig: DataFrame, names: DataFrame, top_n: int) -> DataFrame:
+    """Top-N signals of each date as a list ordered by rank, with display names.
 
-    A date's list holds at most the rule's top-N signals.
+    ``top_n`` is the rule's own, so a list is as short as a date's signals.
     """
     shown = sig.where(F.col("rank_no") <= top_n).join(names.select("security_code", "security_name"), "security_code", "left")
     listed = F.array_sort(F.collect_list(F.struct("rank_no", "security_code", "security_name", "score")))

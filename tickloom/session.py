@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "50000",
 }
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def build_session(app: str = "tickloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults this package is tuned for; ``conf`` wins over them."""
@@ -39,8 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="tickloom-")
+        folder = _LOCAL_FOLDERS[application]
     return folder
 
 

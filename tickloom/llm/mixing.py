@@ -17,7 +17,7 @@ from tickloom.llm.common import word_count, written
 
 BLOCK_WORDS = 256
 #: Rows that one task ranks or sums at a time.
-GROUP_ROWS = 8192
+GROUP_ROWS = 1024
 #: Bits of a van der Corput point.
 POINT_BITS = 48
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.llm.common import table
 
@@ -28,3 +29,27 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
     documents, _ = mix_sources(table(spark, folder, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_find_pii")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from tickloom.llm.pii import BASE_KINDS, find_pii
+
+    found = find_pii(table(spark, folder, "documents"))
+
+    def shown(column: str):
+        one = F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
+        return F.array_join(one, ",")
+
+    counts = [F.size(F.filter("base_spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(shown("base_spans"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from tickloom.llm.quality_rules import quality_rules
+
+    judged = quality_rules(table(spark, folder, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "perplexity"
+    )

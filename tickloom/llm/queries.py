@@ -41,7 +41,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         one = F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
         return F.array_join(one, ",")
 
-    counts = [F.size(F.filter("base_spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    def number(kind: str):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(shown("base_spans"), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
 

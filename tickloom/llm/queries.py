@@ -56,3 +56,69 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "perplexity"
     )
+
+
+@query("op1_bpe")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from tickloom.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = decode(encode(table(spark, folder, "documents"), path), path)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op10_near_duplicates")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from tickloom.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from tickloom.llm.quality_classifier import classify
+
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_nearest")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from tickloom.llm.nearest import nearest
+
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+OP5_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
+FROM turns GROUP BY conv_id
+"""
+
+
+@query("op5_chat_windows")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from tickloom.llm.chat import read_back, windows
+
+    talk = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text")
+    )
+    read = read_back(windows(talk.union(planted)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )

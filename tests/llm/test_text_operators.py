@@ -1,0 +1,313 @@
+"""Encoding, personal data, quality rules, classifier and language-model scores against plain Python."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tickloom.llm import bpe, chunks, lm_scoring, pii, quality_classifier, quality_rules
+from tickloom.llm.queries import QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path("word_bpe_49k.json")
+ODD = [
+    (1, "it's <|endoftext|>x <|startoftext|> Ünïcode  Å İSTANBUL ΣΑΣ"), (2, None), (3, ""), (4, " \n\x0b\x1c\x85 a\x1fb"), (5, "don't  'S </w> 12 3 ½ ²"),
+    (5, "don't  'S </w> 12 3 ½ ²"), (None, "日本語 テスト\t🙂🙂"), (7, "x" * 3000), (8, "e ́ q 가"), (9, "word " * 5000),
+]
+# the operators' own column names, taken by other columns of the input
+CLASHES = ("ids", "size", "kept", "spans", "lang", "source", "part", "chunk", "data", "key", "row", "samples", "score", "y", "mark")
+
+
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id bigint, text string").withColumns({c: F.lit("?") for c in CLASHES})
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id bigint, text string, lang string, source string")
+
+
+def docs(spark):
+    return spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+def by_id(rows):
+    return {r.doc_id: r for r in rows}
+
+
+# --- encoding --------------------------------------------------------------------------------
+
+
+def test_bpe_query_equals_library(spark):
+    tokenizer = Tokenizer.from_file(PATH)
+    got = by_id(QUERIES["op1_bpe"](spark, FOLDER).collect())
+    for r in docs(spark).collect():
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        text = tokenizer.decode(ids, skip_special_tokens=False)
+        assert tuple(got[r.doc_id]) == (r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_bpe_odd_texts_round_trip(spark):
+    tokenizer = Tokenizer.from_file(PATH)
+    got = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in bpe.decode(bpe.encode(odd(spark), PATH), PATH).collect())
+    want = Counter()
+    for i, text in ODD:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        want[i, tuple(ids), tokenizer.decode(ids, skip_special_tokens=False)] += 1
+    assert got == want
+    assert bpe.encode(empty(spark), PATH).count() == 0
+
+
+def test_decode_leaves_out_unknown_ids(spark):
+    rows = spark.createDataFrame([(1, [320, 999_999, -1, 49407]), (2, None), (3, [])], "doc_id int, ids array<int>")
+    assert [r.decoded for r in bpe.decode(rows, PATH).orderBy("doc_id").collect()] == ["a</w> <|endoftext|>", "", ""]
+
+
+def test_small_chunks_answer_alike(spark, monkeypatch):
+    monkeypatch.setattr(chunks.pack, "__defaults__", (2000,))
+    assert chunks.pack(docs(spark).select("doc_id", "text")).count() > 20
+    tokenizer = Tokenizer.from_file(PATH)
+    got = by_id(bpe.encode(docs(spark), PATH).collect())
+    assert all(got[r.doc_id].ids == tokenizer.encode(r.text, add_special_tokens=False).ids for r in docs(spark).collect())
+
+
+# --- personal data ---------------------------------------------------------------------------
+
+
+def plain_base(text):
+    """The contract's patterns as they stand."""
+    found = []
+    for kind, pattern in (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card":
+                doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+                if not 14 <= len(digits) <= 19 or sum(d - 9 * (d > 9) for d in doubled) % 10:
+                    continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            found.append((m.start(), m.end(), kind))
+    order = ["email", "ip", "card", "phone"]
+    return sorted(found, key=lambda s: (s[0], order.index(s[2])))
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    rnd = random.Random(3)
+    parts = ["a.b+c@x-y.com", "@", "a@b", "a@b.c@d.e.", "1.2.3.4", "1.2.3.4.5.6.7.8.9", "300.1.1.1", "001.02.3.255", "4111 1111-1111 1111", "4111111111111111", "+49 (30) 123.456-78", "+1", "+12", "é", " ", "-", ".", "7", "\n", "%", "1234567890123456789012"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 9)))
+        assert pii.base_spans(text) == plain_base(text), text
+    for r in docs(spark).collect():
+        assert pii.base_spans(r.text) == plain_base(r.text)
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 300_000, "a@" * 150_000, "+1 " * 100_000, "1 " * 150_000):
+        pii.candidates(text, pii.base_spans(text))
+
+
+def test_pii_query(spark):
+    got = by_id(QUERIES["op4_find_pii"](spark, FOLDER).collect())
+    for r in docs(spark).collect():
+        base = plain_base(r.text)
+        shown = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        g = got[r.doc_id]
+        counts = Counter(k for *_, k in base)
+        assert (g.n_email, g.n_ip, g.n_card, g.n_phone) == tuple(counts[k] for k in pii.BASE_KINDS)
+        assert g.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert set(filter(None, shown.split(","))) <= set(g.spans.split(","))
+
+
+PERSONAL = [
+    "call me at phone (030) 555-1234 today", "her ssn 123-45-6789 leaked", "my token ghp_A1b2C3d4E5f6G7h8I9j0K1l2 is live", "mr Peter Meyer signed",
+    "mail anna [at] gmail [dot] com now", "iban DE89 3704 0044 0532 0130 00 please",
+]
+HARMLESS = ["version 1234567 of page 7654321 total", "order 12 34 56 78 90 12", "sha 0123456789abcdef0123456789abcdef01234567 commit", "the cat sat on the mat"]
+
+
+def test_weak_supervision_adds_spans_and_spares_others(spark):
+    rows = [(i, t) for i, t in enumerate((PERSONAL + HARMLESS) * 20)]
+    table = spark.createDataFrame(rows, "doc_id int, text string")
+    model = pii.span_model(table)
+    found = {r.doc_id: [s.kind for s in r.spans] for r in pii.find_pii(table, model).collect() if r.doc_id < len(PERSONAL) + len(HARMLESS)}
+    added = [bool(found[i]) for i in range(len(found))]
+    assert sum(added[: len(PERSONAL)]) >= 5
+    assert not any(added[len(PERSONAL) :])
+
+
+def test_reliabilities_prefer_agreement():
+    truth = pii.reliabilities([("secret", "1111", 50), ("secret", "0000", 50), ("secret", "----", 5), ("secret", "1-1-", 20)])
+    assert truth["secret", "1111"] > 0.95 > 0.05 > truth["secret", "0000"]
+    assert pii.train([]) == {}
+
+
+def test_redact_and_odd_texts(spark):
+    table = spark.createDataFrame([(1, "a@b.co é +491234567890", "k"), (2, None, "k"), (3, "", None), (3, "", None)], "doc_id int, text string, more string")
+    assert [tuple(r) for r in pii.redact(table).orderBy("doc_id").collect()] == [(1, "<EMAIL> é <PHONE>", "k"), (2, None, "k"), (3, "", None), (3, "", None)]
+    assert pii.find_pii(odd(spark)).count() == len(ODD)
+    assert pii.find_pii(empty(spark)).count() == 0
+
+
+# --- quality rules ---------------------------------------------------------------------------
+
+
+def plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    seen = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), sum(len(re.findall(r"[#*$%&|<>]", w)) for w in words), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(spark):
+    got = by_id(QUERIES["op8_quality_rules"](spark, FOLDER).collect())
+    for r in docs(spark).collect():
+        g = got[r.doc_id]
+        want = plain_counts(r.text)
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == want
+        assert g.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (g.base_failed and g.kept)
+
+
+def test_odd_texts_are_judged(spark):
+    table = odd(spark).withColumn("lang", F.when(F.col("doc_id") > 4, "en"))
+    got = quality_rules.quality_rules(table).collect()
+    assert sorted((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == sorted(plain_counts(t) for _, t in ODD)
+    assert all(r.nats is None for r in got if r.n_words == 0)
+    assert quality_rules.quality_rules(empty(spark)).count() == 0
+
+
+def test_repeated_words_with_many_distinct(monkeypatch):
+    rnd = random.Random(5)
+    for n in (3, 4, 5, 50, 500):
+        words = [rnd.choice("abcde") for _ in range(n)]
+        assert quality_rules.repeated_words([w.encode() for w in words]) == plain_counts(" ".join(words))[4]
+
+
+def test_kneser_ney_against_plain_python():
+    """Probabilities by the textbook formula with counts in dictionaries; they add up to one."""
+    data = b"abracadabra abracadabra banana bandana" * 3
+    keys = quality_rules.trigram_keys(data)
+    grams, counts = np.unique(keys, return_counts=True)
+    model = quality_rules.KneserNey.fit(grams.astype(np.int64), counts)
+    c3 = dict(zip(grams.tolist(), counts.tolist()))
+    c2 = Counter(k & 0xFFFF for k in c3)
+    c1 = Counter(k & 0xFF for k in c2)
+
+    def discounted(table, context_bits):
+        d = quality_rules.discounts(np.array(list(table.values())))
+        total, left = Counter(), Counter()
+        for k, c in table.items():
+            total[k >> 8 & context_bits] += c
+            left[k >> 8 & context_bits] += d[min(c, 3)]
+        return d, total, left
+
+    def p(key):
+        w, v, uv = key & 0xFF, key >> 8 & 0xFF, key >> 8
+        d1, t1, l1 = discounted(c1, 0)
+        one = (c1[w] - d1[min(c1[w], 3)]) / t1[0] + l1[0] / t1[0] / 256
+        d2, t2, l2 = discounted(c2, 0xFF)
+        two = (c2[key & 0xFFFF] - d2[min(c2[key & 0xFFFF], 3)]) / t2[v] + l2[v] / t2[v] * one if t2[v] else one
+        d3, t3, l3 = discounted(c3, 0xFFFF)
+        c = c3.get(key, 0)
+        return (c - d3[min(c, 3)]) / t3[uv] + l3[uv] / t3[uv] * two if t3[uv] else two
+
+    some = [*grams.tolist()[:20], 0x616263, 0x7A7A7A, 0x62617A]
+    got = np.exp(model.lookup(np.array(some, np.uint32)))
+    assert got == pytest.approx([p(k) for k in some], rel=1e-4)
+    assert np.exp(model.lookup(np.arange(0x616200, 0x616300, dtype=np.uint32)).astype(float)).sum() == pytest.approx(1, rel=1e-4)
+    assert (model.dense()[keys] == model.lookup(keys)).all()
+
+
+def test_gibberish_falls_outside_the_band(spark):
+    rnd = random.Random(1)
+    plain = [" ".join(rnd.choice("the cat sat on a mat and ran to its home by the old green door".split()) for _ in range(80)) for _ in range(300)]
+    noise = ["".join(chr(rnd.randrange(33, 127)) if rnd.random() > 0.2 else " " for _ in range(600)) for _ in range(3)]
+    table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(plain + noise)], "doc_id int, text string, lang string")
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(table).where("NOT base_failed").collect()}
+    assert not any(kept[i] for i in range(300, 303) if i in kept)
+    assert sum(kept[i] for i in range(300) if i in kept) >= 0.98 * sum(1 for i in kept if i < 300)
+
+
+# --- classifier ------------------------------------------------------------------------------
+
+
+def test_classifier_on_labels_it_has_not_seen(spark):
+    """Labels of two thirds of the documents train; the rest is held out."""
+    folder = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    seen, unseen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0), labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+    got = quality_classifier.classify(table, seen)
+    held = got.join(unseen, "doc_id").select("quality", "kept").collect()
+    assert len(held) > 50
+    assert sum((r.quality == 1) == r.kept for r in held) >= 0.97 * len(held)
+    assert got.count() == table.count()
+
+
+def test_classifier_edges(spark):
+    table = odd(spark)
+    none = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 0, 0)], "doc_id bigint, quality int, toxic int")
+    got = quality_classifier.classify(table, none).collect()
+    assert len(got) == len(ODD) and all(r.kept and r.score is None for r in got)
+    assert quality_classifier.keep_good(table, none).columns == table.columns
+    many = spark.createDataFrame([(i, f"good words here {i}" if i % 2 else "## ## ##", "en", None, "?") for i in range(60)], "doc_id bigint, text string, lang string, source string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, 0), (1, 0), (1, 0)], "doc_id bigint, quality int")
+    kept = quality_classifier.keep_good(many, labels)
+    assert kept.columns == many.columns
+    assert {r.doc_id % 2 for r in kept.collect()} == {1}
+    assert quality_classifier.classify(empty(spark), labels).count() == 0
+
+
+# --- language-model scores -------------------------------------------------------------------
+
+
+def plain_scores(rows, order=3, backoff=0.4):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    counts = [Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1)) for n in range(1, order + 1)]
+    total = sum(map(len, words))
+    out = []
+    for (i, _), w in zip(rows, words):
+        own = [Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) for n in range(1, order + 1)]
+
+        def others(gram):
+            return counts[len(gram) - 1][gram] - own[len(gram) - 1][gram]
+
+        def s(gram):
+            if len(gram) == 1:
+                left = total - len(w)
+                return others(gram) / left if others(gram) else 1 / (left + 1)
+            return others(gram) / others(gram[:-1]) if others(gram) else backoff * s(gram[1:])
+
+        out.append((i, len(w), sum(math.log(s(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(len(w)))))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_stupid_backoff_against_counters(spark, order):
+    rows = [(r.doc_id, r.text) for r in docs(spark).collect()] + [(-1, None), (-2, ""), (-3, " \n "), (-4, "one"), (-5, "one two"), (-6, "one two one two one two")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("?") for c in CLASHES}).repartition(5)
+    got = by_id(lm_scoring.score(table, order).collect())
+    for i, n, total in plain_scores(rows, order):
+        assert got[i].n_words == n
+        assert got[i].log_score == pytest.approx(total, rel=1e-9, abs=1e-9)
+        assert got[i].mean_log_score == (pytest.approx(total / n, rel=1e-9) if n else None)
+
+
+def test_scores_of_repeated_rows_and_no_rows(spark):
+    got = lm_scoring.score(odd(spark)).collect()
+    assert len(got) == len(ODD)
+    assert len({r.log_score for r in got if r.doc_id == 5}) == 1
+    assert lm_scoring.score(empty(spark)).count() == 0

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import word_count, written
+from tickloom.llm.common import WORD, word_count, written
 
 BLOCK_WORDS = 256
 #: Rows that one task ranks or sums at a time.
@@ -153,3 +153,20 @@ def mix_sources(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
     return documents, pieces
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs`` as the mix of ``mix_sources`` takes them, all columns.
+
+    A document stands once for each pass that takes it, and not at all if none does. Where a source's
+    target ends inside a document, its text is cut to the words taken, joined by single spaces.
+    """
+    key = F.md5(F.concat_ws("\u0000", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, source_col, text_col)]).cast("binary"))
+    keyed = docs.withColumn("_key", F.concat(key, F.col(source_col).isNull().cast("string")))
+    _, pieces = mix_sources(keyed, id_col="_key", text_col=text_col, source_col=source_col, **how)
+    drawn = pieces.groupBy("row_no", F.col("doc_id").alias("_drawn"), "epoch").agg(F.min("first_word").alias("_first"), F.sum("n_words").alias("_n"))
+    drawn = written(drawn.drop("row_no", "epoch"), "mixing-drawn")
+    joined = keyed.dropDuplicates(["_key"]).join(drawn, F.col("_key") == F.col("_drawn"))
+    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), (F.col("_first") + 1).cast("int"), F.col("_n").cast("int"))
+    cut = F.when(F.col("_n") < word_count(F.col(text_col)), F.array_join(words, " ")).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm import chat, licenses
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,20 +96,36 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
+CHAT_MARKS = len(chat.START + chat.TEXT + chat.END)
+ESCAPES = " + ".join(["length({0}) - length(replace({0}, chr(92), ''))", *[f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in chat.CONTROLS]])
+
 OP5_SQL = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')
-)
+), sized AS (
+  SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 1 AS tokens,
+    {CHAT_MARKS} + length(role) + length(text) + {ESCAPES.format("role")} + {ESCAPES.format("text")} AS shown FROM turns
+), placed AS (
+  SELECT *, pos // {chat.BUDGET} AS span FROM (
+    SELECT *, (sum(tokens) OVER w - tokens)::BIGINT AS pos, row_number() OVER w = 1 AND role = 'system' AS opens FROM sized
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+), spans AS (SELECT conv_id, span, min(pos) AS start FROM placed GROUP BY ALL
+), shown AS (
+  SELECT conv_id, sum(shown)::BIGINT AS formatted_chars FROM (
+    SELECT conv_id, shown FROM placed
+    UNION ALL SELECT p.conv_id, p.shown FROM placed p JOIN spans s ON s.conv_id = p.conv_id AND s.span = p.span + 1 WHERE p.pos >= s.start - {chat.HISTORY} AND NOT p.opens
+    UNION ALL SELECT p.conv_id, p.shown FROM placed p JOIN spans s ON s.conv_id = p.conv_id AND p.pos < s.start WHERE p.opens) GROUP BY conv_id)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
-FROM turns GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  any_value(formatted_chars) AS formatted_chars
+FROM turns JOIN shown USING (conv_id) GROUP BY conv_id
 """
 
 
-@query("op5_chat_windows")
+@query("op5_chat_windows", OP5_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     from tickloom.llm.chat import read_back, windows
 
@@ -122,3 +139,72 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+@query("op3_lm_score")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from tickloom.llm.lm_scoring import score
+
+    return score(table(spark, folder, "documents"))
+
+
+TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{notice}')" for i, (name, notice) in enumerate(licenses.TEMPLATES))
+TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+(?:[.\-/][\p{{L}}\p{{N}}]+)*')"
+
+
+def terms_sql(keys: str, text: str, source: str) -> str:
+    """Counts of the words and pairs of neighbours of each row."""
+    return f"""SELECT {keys}, term, count(*) AS tf FROM (
+    SELECT {keys}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (
+      SELECT {keys}, {TERMS.format(text)} AS w FROM {source})) GROUP BY ALL"""
+
+
+OP6_SQL = f"""
+WITH files AS (
+  SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS folder, coalesce(text, '') AS text FROM documents
+), spoken AS (
+  SELECT doc_id, folder, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, unnest(list_filter(list_transform(
+    string_split(regexp_replace(text, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '{licenses.CUE}'))) AS passage
+  FROM files WHERE regexp_matches(text, '{licenses.CUE}')
+), passages AS (SELECT passage, count(*) AS n FROM spoken GROUP BY 1
+), counted AS ({terms_sql("passage, n", "passage", "passages")}
+), frequency AS (SELECT term, sum(n) AS df FROM counted GROUP BY 1
+), total AS (SELECT coalesce(sum(n), 0) AS docs FROM passages
+), weighed AS (SELECT passage, term, tf * (ln((1e0 + docs) / (1 + df)) + 1) AS w FROM counted JOIN frequency USING (term), total
+), notices AS ({terms_sql("template, licence", "notice", f"(VALUES {TEMPLATE_ROWS}) t(template, licence, notice)")}
+), own AS (SELECT template, licence, term, tf * (ln((1e0 + docs) / (1 + coalesce(df, 0))) + 1) AS v FROM notices LEFT JOIN frequency USING (term), total
+), scored AS (
+  SELECT passage, template, licence, round(sum(w * v) / (any_value(norm) * any_value(size)), 9) AS similarity FROM weighed JOIN own USING (term)
+  JOIN (SELECT passage, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY 1) USING (passage)
+  JOIN (SELECT template, sqrt(sum(v * v)) AS size FROM own GROUP BY 1) USING (template) GROUP BY passage, template, licence
+), best AS (
+  SELECT passage, licence, similarity FROM scored WHERE similarity >= {licenses.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY passage ORDER BY similarity DESC, template) = 1
+), noticed AS (
+  SELECT doc_id, folder, max(struct_pack(similarity, licence)) AS b,
+    sum(len(regexp_extract_all(passage, '[^\\x20\\x09-\\x0D]+'))) >= {licenses.FILE_SHARE} * any_value(words) AS covers
+  FROM spoken JOIN best USING (passage) GROUP BY doc_id, folder
+), covering AS (
+  SELECT folder, b.licence AS licence FROM noticed WHERE covers QUALIFY row_number() OVER (PARTITION BY folder ORDER BY b.similarity DESC, b.licence) = 1
+)
+SELECT f.doc_id, f.folder || '/' || f.doc_id AS path, coalesce(n.b.licence, c.licence) AS licence, n.b.similarity AS similarity,
+  CASE WHEN n.doc_id IS NOT NULL THEN 'own' WHEN c.folder IS NOT NULL THEN 'directory' END AS origin,
+  CASE WHEN n.doc_id IS NULL THEN c.folder END AS inherited_from
+FROM files f LEFT JOIN noticed n ON n.doc_id = f.doc_id LEFT JOIN covering c ON c.folder = f.folder
+"""
+
+
+@query("op6_license_scan", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from tickloom.llm.licenses import scan_licenses
+
+    # documents carry no path: they lie by source and language
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    return scan_licenses(table(spark, folder, "documents").withColumn("path", path))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, folder)

@@ -23,6 +23,8 @@ ORDER = 3
 BACKOFF = 0.4
 #: Bits of an n-gram hash. Two of a billion n-grams share a hash about once in 4.5 million.
 HASH_BITS = 52
+#: Smaller chunks than for words: a worker holds all n-grams of one.
+CHUNK_BYTES = 8_000_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
@@ -85,7 +87,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_col:
     n_parts = parts(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     all_words = source.agg(F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0))).first()[0]
-    chunks = pack(source)
+    chunks = pack(source, CHUNK_BYTES)
 
     def request(data: bytes) -> Iterator[tuple[int, bytes]]:
         grams = Grams(data, order)

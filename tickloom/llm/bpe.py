@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.chunks import answer, ask, meet, pack, parts, squeeze, unpack, unsqueeze
-from tickloom.llm.common import per_batch
+
+#: Rows decoded at a time, which bounds what a worker holds.
+DECODE_ROWS = 500
 
 
 def number_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -28,8 +30,8 @@ def number_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarra
     for i, text in enumerate(texts):
         words = text.split()
         counts[i] = len(words)
-        codes.append(np.fromiter([place.setdefault(w, len(place)) for w in words], np.int64, len(words)))
-    return list(place), np.concatenate(codes) if codes else np.zeros(0, np.int64), counts
+        codes.append(np.fromiter([place.setdefault(w, len(place)) for w in words], np.int32, len(words)))
+    return list(place), np.concatenate(codes) if codes else np.zeros(0, np.int32), counts
 
 
 def by_part(words: list[bytes], n_parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +99,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         flat = np.concatenate(pool) if pool else np.zeros(0, np.uint32)
         per_word = lengths[codes]
         ends = np.cumsum(per_word)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.repeat(base[codes] - (ends - per_word), per_word) + np.arange(total)
-        word_ends = np.concatenate([[0], np.cumsum(counts)])
-        id_ends = np.concatenate([[0], ends])[word_ends]
-        ids = pa.ListArray.from_arrays(pa.array(id_ends, pa.int32()), pa.array(flat[places].astype(np.int32)))
+        id_ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        places = np.repeat((base[codes] - (ends - per_word)).astype(np.int32), per_word)
+        places += np.arange(len(places), dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(id_ends, pa.int32()), pa.array(flat[places].view(np.int32)))
         return pa.table([doc_ids, ids], names=["doc_id", "ids"])
 
     answers = answer(ask(chunks, request), resolve)
@@ -140,7 +141,9 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_co
             texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found), " ")
             return pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, out_col])
 
-        yield from per_batch(work)(batches)
+        for batch in batches:
+            for start in range(0, batch.num_rows, DECODE_ROWS):
+                yield work(batch.slice(start, DECODE_ROWS))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{fields}, `{out_col}` string")

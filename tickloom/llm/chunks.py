@@ -22,7 +22,7 @@ from tickloom.llm.common import raw_texts
 from tickloom.session import scratch_path
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 12_000_000
 
 
 def squeeze(data: bytes) -> bytes:

@@ -212,3 +212,28 @@ def test_scan_reads_only_needed_columns(spark):
     plan = signal_base(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     scan = plan[plan.rindex("ReadSchema"):].split("\n")[0]
     assert "l_returnflag" not in scan and "l_tax" not in scan
+
+
+STRICT = {
+    "sma": lambda df, **k: ind.sma(df, "close_price", 3, **k), "stddev": lambda df, **k: ind.rolling_stddev(df, "close_price", 3, **k),
+    "averages": ind.moving_averages, "bollinger": ind.bollinger, "ema": ind.ema, "ema2": ind.ema2, "rsi": ind.rsi, "macd": ind.macd,
+}
+
+
+@pytest.mark.parametrize("name", sorted(STRICT))
+@pytest.mark.parametrize("bad", [float("nan"), float("inf")])
+def test_non_finite_input_is_an_error(spark, name, bad):
+    rows = [("A", dt.date(2020, 1, 1) + dt.timedelta(days=i), bad if i == 5 else float(i), 1.0) for i in range(10)]
+    df = spark.createDataFrame(rows, "security_code string, trade_date date, close_price double, volume double")
+    with pytest.raises(Exception, match="must be finite"):
+        STRICT[name](df).collect()
+    if name in ("sma", "stddev", "averages", "bollinger"):  # recurrences always check
+        STRICT[name](df, strict=False).collect()
+
+
+def test_a_run_from_the_lookback_gives_the_same_bits(spark):
+    rnd = random.Random(3)
+    days = [dt.date(2018, 1, 1) + dt.timedelta(days=i) for i in range(600)]
+    df = spark.createDataFrame([("A", d, rnd.random() * 1e6, rnd.random()) for d in days], "security_code string, trade_date date, close_price double, volume double")
+    late = ind.moving_averages(df.where(f"trade_date >= date'{days[300]}'")).where(f"trade_date >= date'{days[560]}'").orderBy("trade_date").collect()
+    assert late == ind.moving_averages(df).where(f"trade_date >= date'{days[560]}'").orderBy("trade_date").collect()

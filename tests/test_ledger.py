@@ -50,28 +50,66 @@ def fifo(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("block, hot", [(2.0**20, 10**9), (1000.0, 5)])
-def test_fifo_against_queue(spark, seed, block, hot):
-    """Raw ledgers with sells beyond the position; small blocks force the carries."""
-    rows = random_trades(seed)
+@pytest.fixture
+def many_partitions(spark):
+    """Small tables stay in as many partitions as there are shuffle partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e9 / 500])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fifo_against_queue(spark, many_partitions, seed, scale):
+    """Raw ledgers with sells beyond the position, over several blocks, for tiny and huge quantities."""
+    rows = [(*r[:6], r[6] * scale, *r[7:]) for r in random_trades(seed)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = ledger.fifo_closed_trades(df, calendar(spark), block, hot).collect()
-    want = fifo(rows)
-    found = {(r.security_code, r.entry_trade_seq, r.exit_trade_seq): (r.quantity, r.realized_pnl, r.holding_days) for r in got}
+    got = ledger.fifo_closed_trades(df, calendar(spark)).collect()
+    want = fifo([(*r[:6], round(r[6] * 1e8), *r[7:]) for r in rows])
+    found = {(r.security_code, r.entry_trade_seq, r.exit_trade_seq): (r.quantity * 1e8, r.realized_pnl, r.holding_days) for r in got}
     assert found.keys() == want.keys()
     for key, value in want.items():
-        assert found[key] == pytest.approx(value, abs=1e-6)
+        assert found[key] == pytest.approx(value, rel=1e-9, abs=1e-6)
     assert len({r.closed_trade_id for r in got}) == len(got)
 
 
-def test_hot_ledger_blocks(spark):
-    """Sequence numbers far apart, so that the matched scan runs over many blocks."""
-    rows = [(*r[:4], r[4] << 20, *r[5:]) for r in random_trades(4)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    a = ledger.matched_ledger(df, hot_rows=1).select("trade_seq", "bought_upto", "sold_upto", "matched_upto")
-    b = ledger.matched_ledger(df).select("trade_seq", "bought_upto", "sold_upto", "matched_upto")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+@pytest.mark.parametrize("renumber", [lambda n: n << 40, lambda n: 10_000 - n, lambda n: (n * 7919) % 10_007])
+def test_ledger_follows_dates_first(spark, many_partitions, renumber):
+    """Sparse sequence numbers, and numbers that don't rise with the dates, change nothing."""
+    rows = random_trades(4)
+    plain = ledger.matched_ledger(spark.createDataFrame(rows, SCHEMA)).orderBy("trade_date").select("bought_upto", "sold_upto", "matched_upto").collect()
+    other = [(*r[:4], renumber(r[4]), *r[5:]) for r in rows]
+    assert ledger.matched_ledger(spark.createDataFrame(other, SCHEMA)).orderBy("trade_date").select("bought_upto", "sold_upto", "matched_upto").collect() == plain
+
+
+def test_open_lots_are_segments_without_sell(spark, many_partitions):
+    rows = random_trades(5)
+    segments = ledger.fifo_segments(spark.createDataFrame(rows, SCHEMA))
+    still = {(r.security_code, r.entry_trade_seq): r.q for r in ledger.lots_of(segments).where("exit_date IS NULL").groupBy("security_code", "entry_trade_seq").agg(F.sum("lot_quantity").alias("q")).collect()}
+    used = {}
+    for (code, entry, _), (q, _, _) in fifo(rows).items():
+        used[code, entry] = used.get((code, entry), 0) + q
+    left = {(r[2], r[4]): r[6] - used.get((r[2], r[4]), 0) for r in rows if r[5] == "buy"}
+    assert still == pytest.approx({k: v for k, v in left.items() if v > 0})
+
+
+def test_crossing_on_the_entry_day_and_unpriced_holdings(spark):
+    """A lot entered on a crossing day exits; a held day without a close counts as a holding and a warning."""
+    days = [D0 + dt.timedelta(days=i) for i in range(4)]
+    bars = spark.createDataFrame(
+        [("A", d, 10.0, c, c, 10.0) for d, c in zip(days, [11.0, 9.0, 8.5, 8.0], strict=True)],
+        "security_code string, trade_date date, open_price_backward_adj double, close_price_backward_adj double, close_price_forward_adj double, m double",
+    )
+    held = spark.createDataFrame([("r", "r-1", "A", days[1], 10.0, days[i], i - 1) for i in (1, 2, 3)], "run_id string, attempt_id string, security_code string, entry_date date, entry_price double, trade_date date, holding_days int")
+    rule = ledger.IndicatorStop("m", "cross_below_metric")
+    event = ledger.exit_events(held, bars, calendar(spark, 4), [rule]).first()
+    assert (event.trigger_date, event.exit_reason) == (days[1], "indicator_stop_loss")
+    trades = spark.createDataFrame([("r", "r-1", c, days[0], n, "buy", 10.0, 100.0, 0.0, "x") for n, c in enumerate("AB")], SCHEMA)
+    prices = spark.createDataFrame([("A", d, 11.0) for d in days] + [("B", days[0], 9.0)], "security_code string, trade_date date, close_price double")
+    cal = calendar(spark, 4)
+    positions = ledger.position_days(ledger.lots_of(ledger.fifo_segments(trades)), prices, cal, keep_unpriced=True)
+    nav = ledger.nav_series(trades, positions, cal, 1000.0).orderBy("trade_date").collect()
+    assert [(r.position_count, r.warning_count, r.position_market_value) for r in nav] == [(2, 0, 200.0), *[(2, 1, 110.0)] * 3]
 
 
 def test_small_ledger_by_hand(spark):

@@ -158,3 +158,30 @@ def test_upsert_keeps_the_later_version(spark, tmp_path):
     io.upsert_results(base, path, ["run_id", "trade_date", "code"])
     io.upsert_results(base.where("v = 2").withColumn("v", F.lit(7.0)).withColumn("version", F.lit(2)), path, ["run_id", "trade_date", "code"])
     assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1.0, 7.0]
+
+
+@pytest.mark.parametrize("rows, message", [
+    ([("2020-01-02", "c", "1.5"), ("2020-01-03", "c", "n/a")], "not a number"),
+    ([("2020-01-02", "c", "1.5"), ("2020-01-02", "c", "1.6")], "repeated"),
+    ([("2020-01-02", "d", "1.5")], "another curve"),
+])
+def test_strict_yield_curve_raises(spark, rows, message):
+    from tickloom.operators import normalize
+
+    df = spark.createDataFrame(rows, "work_date string, curve_name string, y string").selectExpr("cast(work_date as date) work_date", "curve_name", "y")
+    with pytest.raises(Exception, match=message):
+        normalize.normalize_yield_curve(df, {"y": "y1"}, "c", 2020).collect()
+
+
+def test_failed_sync_keeps_the_old_snapshot(spark, tmp_path):
+    """Duplicate keys are found in the staged copy: the table stays readable and no staging folder is left."""
+    from tickloom.sources import contracts, io
+
+    path = str(tmp_path / "table")
+    good = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    contract = contracts.contract_of(good, "table", grain=("k",))
+    io.sync_snapshot(good, path, contract)
+    with pytest.raises(io.DataError):
+        io.sync_snapshot(spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int"), path, contract)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 2)]
+    assert [f.name for f in tmp_path.iterdir()] == ["table"]

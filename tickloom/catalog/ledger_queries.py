@@ -8,6 +8,7 @@ from tickloom.catalog.screening_rule import CATALOG, RULE, SIGNALS, signal_base
 from tickloom.catalog.scalar_queries import SCORE
 from tickloom.catalog.table_queries import TARGETS, targets
 from tickloom.catalog.tables import define
+from tickloom.functions import scalars
 from tickloom.operators import indicators, tables
 from tickloom.plans import ledger, performance, quotes, reports, screening
 from tickloom.sources import market
@@ -91,7 +92,7 @@ def held_lots(spark, folder):
 SELECT run_id, attempt_id, security_code, entry_date, min(trade_date) FILTER (reason IS NOT NULL) AS trigger_date,
   arg_min(reason, trade_date) FILTER (reason IS NOT NULL) AS exit_reason, count(*) FILTER (ma IS NULL) AS missing_indicator_days FROM (
   SELECT *, CASE WHEN gain <= -0.5e0 THEN 'fixed_stop_loss' WHEN gain >= 1e0 THEN 'take_profit' WHEN holding_days >= 30 AND gain < 0.05e0 THEN 'time_stop_loss'
-    WHEN holding_days > 0 AND close_price < ma AND prev_close >= prev_ma THEN 'indicator_stop_loss' END AS reason FROM (
+    WHEN close_price < ma AND prev_close >= prev_ma THEN 'indicator_stop_loss' END AS reason FROM (
     SELECT 'held' AS run_id, 'held-1' AS attempt_id, security_code, trade_date, first_value(trade_date) OVER w AS entry_date, close_price, ma,
       CASE WHEN on_time THEN prev_close END AS prev_close, CASE WHEN on_time THEN prev_ma END AS prev_ma,
       close_price / first_value(open_price) OVER w - 1 AS gain, day_no - first_value(day_no) OVER w AS holding_days FROM (
@@ -104,7 +105,48 @@ def exit_events(spark, folder):
     return ledger.exit_events(held_lots(spark, folder), adjusted_bars(spark, folder), days(spark, folder), RULES)
 
 
-@query("X06_signal_trades")
+FEES = scalars.FeeConfig()
+define("exit_bars", """
+SELECT *, CASE WHEN on_time THEN lag_close END AS prev_close, CASE WHEN on_time THEN lag_ma END AS prev_ma FROM (
+  SELECT *, lag(trade_date) OVER c = prev_trade_date AS on_time, lag(close_price) OVER c AS lag_close, lag(ma) OVER c AS lag_ma,
+    lead(trade_date) OVER c AS next_date, lead(open_price) OVER c AS next_open FROM (
+    SELECT b.security_code, b.trade_date, open_price, close_price, d.day_no, d.prev_trade_date,
+      CASE WHEN row_number() OVER c >= 20 THEN avg(close_price) OVER (c ROWS 19 PRECEDING) END AS ma
+    FROM bars b JOIN trade_days d USING (trade_date) WINDOW c AS (PARTITION BY security_code ORDER BY trade_date))
+  WINDOW c AS (PARTITION BY security_code ORDER BY trade_date))""", ["bars", "trade_days"])
+define("candidates", f"""
+SELECT security_code, entry_date, open_price, arg_min(next_date, trade_date) FILTER (reason IS NOT NULL) AS exit_date,
+  arg_min(next_open, trade_date) FILTER (reason IS NOT NULL) AS exit_price, arg_min(reason, trade_date) FILTER (reason IS NOT NULL) AS reason FROM (
+  SELECT e.security_code, e.trade_date AS entry_date, e.open_price, h.trade_date, h.next_date, h.next_open,
+    CASE WHEN h.close_price / (e.open_price * {1 + FEES.slippage_bps / 10000!r}) - 1 <= -0.5e0 THEN 'fixed_stop_loss'
+      WHEN h.close_price / (e.open_price * {1 + FEES.slippage_bps / 10000!r}) - 1 >= 1e0 THEN 'take_profit'
+      WHEN h.day_no - e.day_no >= 30 AND h.close_price / (e.open_price * {1 + FEES.slippage_bps / 10000!r}) - 1 < 0.05e0 THEN 'time_stop_loss'
+      WHEN h.close_price < h.ma AND h.prev_close >= h.prev_ma THEN 'indicator_stop_loss' END AS reason
+  FROM (SELECT DISTINCT p.security_code, d.next_trade_date FROM pool p JOIN trade_days d ON d.trade_date = p.trade_date WHERE p.rank_no <= 1) s
+  JOIN exit_bars e ON e.security_code = s.security_code AND e.trade_date = s.next_trade_date
+  JOIN exit_bars h ON h.security_code = e.security_code AND h.trade_date >= e.trade_date) GROUP BY ALL""", ["pool", "trade_days", "exit_bars"])
+COSTS = ("quantity", "reference_price", "execution_price", "gross_amount", "commission", "stamp_duty", "transfer_fee", "total_fee", "slippage_cost")
+
+
+@query("X06_signal_trades", f"""
+WITH RECURSIVE following AS (
+  SELECT e.security_code, e.entry_date, min(n.entry_date) AS next_entry FROM candidates e
+  JOIN candidates n ON n.security_code = e.security_code AND n.entry_date >= e.exit_date GROUP BY ALL
+), chain AS (
+  SELECT security_code, min(entry_date) AS entry_date FROM candidates GROUP BY 1
+  UNION ALL SELECT c.security_code, f.next_entry FROM chain c JOIN following f ON f.security_code = c.security_code AND f.entry_date = c.entry_date
+), lots AS (
+  SELECT l.*, floor(1000000e0 / open_price / 100) * 100 AS quantity FROM candidates l JOIN chain c ON c.security_code = l.security_code AND c.entry_date = l.entry_date
+), legs AS (
+  SELECT security_code, entry_date, quantity, 'buy' AS side, entry_date AS trade_date, open_price AS reference_price, 'signal' AS reason,
+    open_price * {1 + FEES.slippage_bps / 10000!r} AS execution_price FROM lots WHERE quantity > 0
+  UNION ALL SELECT security_code, entry_date, quantity, 'sell', exit_date, exit_price, reason, exit_price * {1 - FEES.slippage_bps / 10000!r} FROM lots
+  WHERE quantity > 0 AND exit_date IS NOT NULL
+)
+SELECT 'rule-1' AS run_id, 'rule-1-1' AS attempt_id, *, commission + stamp_duty + transfer_fee AS total_fee, abs(execution_price - reference_price) * quantity AS slippage_cost FROM (
+  SELECT *, greatest(gross_amount * {min(FEES.commission_rate, FEES.commission_rate_max)!r}, {float(FEES.commission_min)!r}) AS commission,
+    CASE side WHEN 'sell' THEN gross_amount * {FEES.stamp_duty_rate!r} ELSE 0 END AS stamp_duty, gross_amount * {FEES.transfer_fee_rate!r} AS transfer_fee FROM (
+    SELECT *, execution_price * quantity AS gross_amount FROM legs))""", ["candidates"], COSTS, digits=4)
 def signal_trades(spark, folder):
     sig = signals(spark, folder).select(
         F.lit("rule-1").alias("run_id"), F.lit("rule-1-1").alias("attempt_id"), "security_code", F.col("trade_date").alias("signal_date")
@@ -231,37 +273,46 @@ SELECT *, cost_basis / quantity AS average_entry_price, quantity * close_price A
 
 
 def positions(spark, folder):
-    lots = ledger.lots_of(market.trades(spark, folder), closed(spark, folder))
-    return ledger.position_days(lots, market.bars(spark, folder), days(spark, folder))
+    return positions_of(spark, folder, ledger.fifo_segments(market.trades(spark, folder)))
+
+
+def positions_of(spark, folder, segments, keep_unpriced=False):
+    return ledger.position_days(ledger.lots_of(segments), market.bars(spark, folder), days(spark, folder), keep_unpriced=keep_unpriced)
 
 
 @query("X12_position_days", "SELECT * FROM positions", ["positions"], (
-    "quantity", "cost_basis", "average_entry_price", "close_price", "market_value", "unrealized_pnl", "unrealized_return", "holding_days"), digits=3)
+    "quantity", "cost_basis", "average_entry_price", "close_price", "market_value", "unrealized_pnl", "unrealized_return", "holding_days"), digits=3, fine=("unrealized_return",))
 def position_days(spark, folder):
     return positions(spark, folder)
 
 
+define("held", """
+SELECT l.run_id, l.security_code, d.trade_date FROM lots l
+JOIN trade_days d ON d.trade_date >= l.entry_date AND (l.exit_date IS NULL OR d.trade_date < l.exit_date) GROUP BY ALL""", ["lots", "trade_days"])
 define("nav_from_trades", f"""
 SELECT run_id, attempt_id, trade_date, cash_balance, position_market_value, total_equity, total_equity / {CASH} AS nav,
   total_equity / lag(total_equity) OVER w - 1 AS daily_return, total_equity / greatest({CASH}, max(total_equity) OVER (w ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown,
-  position_market_value / total_equity AS gross_exposure, position_count, traded / total_equity AS turnover, fee_amount FROM (
+  position_market_value / total_equity AS gross_exposure, position_count, traded / total_equity AS turnover, fee_amount, warning_count FROM (
   SELECT *, cash_balance + position_market_value AS total_equity FROM (
     SELECT r.run_id, r.attempt_id, d.trade_date, {CASH} + sum(coalesce(flow, 0)) OVER (PARTITION BY r.run_id ORDER BY d.trade_date ROWS UNBOUNDED PRECEDING) AS cash_balance,
-      coalesce(v.mv, 0) AS position_market_value, coalesce(v.n, 0) AS position_count, coalesce(traded, 0) AS traded, coalesce(fee, 0) AS fee_amount
+      coalesce(v.mv, 0) AS position_market_value, coalesce(v.n, 0) AS position_count, coalesce(v.unpriced, 0) AS warning_count, coalesce(traded, 0) AS traded, coalesce(fee, 0) AS fee_amount
     FROM (SELECT run_id, attempt_id, min(trade_date) AS first_day FROM trades GROUP BY ALL) r
     JOIN trade_days s ON s.trade_date = r.first_day JOIN trade_days d ON d.day_no >= greatest(s.day_no - 1, 1)
     LEFT JOIN (SELECT run_id, trade_date, sum(CASE WHEN side = 'buy' THEN -(gross_amount + total_fee) ELSE gross_amount - total_fee END) AS flow,
       sum(gross_amount) AS traded, sum(total_fee) AS fee FROM trades GROUP BY ALL) f ON f.run_id = r.run_id AND f.trade_date = d.trade_date
-    LEFT JOIN (SELECT run_id, trade_date, sum(market_value) AS mv, count(*) AS n FROM positions GROUP BY ALL) v ON v.run_id = r.run_id AND v.trade_date = d.trade_date))
-WINDOW w AS (PARTITION BY run_id ORDER BY trade_date)""", ["trades", "positions", "trade_days"])
+    LEFT JOIN (SELECT h.run_id, h.trade_date, sum(p.market_value) AS mv, count(*) AS n, count(*) - count(p.market_value) AS unpriced FROM held h
+      LEFT JOIN positions p ON p.run_id = h.run_id AND p.security_code = h.security_code AND p.trade_date = h.trade_date GROUP BY ALL) v ON v.run_id = r.run_id AND v.trade_date = d.trade_date))
+WINDOW w AS (PARTITION BY run_id ORDER BY trade_date)""", ["trades", "positions", "held", "trade_days"])
 
 
 def nav(spark, folder):
-    return ledger.nav_series(market.trades(spark, folder), positions(spark, folder), days(spark, folder), CASH)
+    t = market.trades(spark, folder)
+    return ledger.nav_series(t, positions_of(spark, folder, ledger.fifo_segments(t), keep_unpriced=True), days(spark, folder), CASH)
 
 
 @query("X13_nav_series", "SELECT * FROM nav_from_trades", ["nav_from_trades"], (
-    "cash_balance", "position_market_value", "total_equity", "nav", "daily_return", "drawdown", "gross_exposure", "turnover", "fee_amount"), digits=2)
+    "cash_balance", "position_market_value", "total_equity", "nav", "daily_return", "drawdown", "gross_exposure", "turnover", "fee_amount"), digits=2,
+    fine=("nav", "daily_return", "drawdown", "gross_exposure", "turnover"))
 def nav_series(spark, folder):
     return nav(spark, folder)
 
@@ -270,7 +321,7 @@ def nav_series(spark, folder):
 SELECT n.run_id, n.attempt_id, arg_max(total_equity, trade_date) AS ending_equity, arg_max(total_equity, trade_date) / 1e6 - 1 AS total_return,
   least(min(drawdown), 0) AS max_drawdown, (SELECT count(*) FROM trades t WHERE t.run_id = n.run_id) AS trade_count,
   (SELECT sum(total_fee) FROM trades t WHERE t.run_id = n.run_id) AS total_fee FROM nav_daily n GROUP BY ALL""", ["nav_daily", "trades"],
-    ("ending_equity", "total_return", "max_drawdown", "total_fee"), digits=3)
+    ("ending_equity", "total_return", "max_drawdown", "total_fee"), digits=3, fine=("total_return", "max_drawdown"))
 def run_totals(spark, folder):
     return ledger.run_totals(market.nav_daily(spark, folder), market.trades(spark, folder), 1e6)
 
@@ -279,7 +330,7 @@ def run_totals(spark, folder):
 SELECT run_id, attempt_id, trade_date, nav, total_equity, daily_return, nav / greatest(1, max(nav) OVER (PARTITION BY run_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown
 FROM (SELECT run_id, attempt_id, trade_date, total_equity, total_equity / first_value(total_equity) OVER w AS nav, total_equity / lag(total_equity) OVER w - 1 AS daily_return
   FROM nav_daily WHERE trade_date >= DATE '1998-06-15' WINDOW w AS (PARTITION BY run_id ORDER BY trade_date))""", ["nav_daily"],
-    ("nav", "total_equity", "daily_return", "drawdown"), digits=3)
+    ("nav", "total_equity", "daily_return", "drawdown"), digits=3, fine=("nav", "daily_return", "drawdown"))
 def rebase_nav(spark, folder):
     n = market.nav_daily(spark, folder)
     starts = n.where("trade_date >= date'1998-06-15'").groupBy("run_id", "attempt_id").agg(F.min("trade_date").alias("live_start_date"))
@@ -304,7 +355,8 @@ def nav_vs_benchmark(spark, folder):
 def facts(spark, folder):
     """Positions of the derived ledger and a NAV frame that carries turnover."""
     n = market.nav_daily(spark, folder).withColumn("turnover", F.col("gross_exposure"))
-    return market.trades(spark, folder), positions(spark, folder), closed(spark, folder), n
+    segments = ledger.fifo_segments(market.trades(spark, folder))
+    return market.trades(spark, folder), positions_of(spark, folder, segments), ledger.closed_trades(segments, days(spark, folder)), n
 
 
 define("last_days", "SELECT run_id, max(trade_date) AS trade_date, arg_max(total_equity, trade_date) AS total_equity FROM nav_daily GROUP BY 1", ["nav_daily"])
@@ -450,12 +502,13 @@ def security_display(spark, folder):
 @query("X30_dashboard", f"""
 SELECT n.run_id, n.attempt_id, max(n.trade_date) AS latest_date, arg_max(n.nav, n.trade_date) AS latest_nav, arg_max(n.daily_return, n.trade_date) AS recent_change,
   arg_max(p.excess_return, n.trade_date) FILTER (p.excess_return IS NOT NULL) AS excess_return,
-  avg(CASE WHEN daily_return > 0 THEN 1e0 WHEN daily_return IS NOT NULL THEN 0e0 END) AS win_rate, any_value(f.annualized_return) AS annualized_return,
-  any_value(f.max_drawdown) AS max_drawdown, any_value(f.sharpe_ratio) AS sharpe_ratio, any_value(g.top_targets) AS top_targets
+  avg(CASE WHEN daily_return > 0 THEN 1e0 WHEN daily_return IS NOT NULL THEN 0e0 END) AS win_rate, {", ".join(f"any_value(f.{m}) AS {m}" for m in performance.METRICS)},
+  any_value(g.top_targets) AS top_targets
 FROM nav_daily n JOIN nav_points p ON p.run_id = n.run_id AND p.trade_date = n.trade_date JOIN perf f ON f.run_id = n.run_id
-JOIN (SELECT run_id, string_agg(security_code, ',' ORDER BY rank_no) AS top_targets FROM ({TARGETS}) t WHERE rank_no <= 5 AND signal_date = (SELECT max(trade_date) FROM trades x
-  WHERE x.side = 'buy' AND x.run_id = t.run_id) GROUP BY 1) g ON g.run_id = n.run_id GROUP BY n.run_id, n.attempt_id""", ["nav_daily", "nav_points", "perf", "trades"],
-    ("latest_nav", "recent_change", "excess_return", "win_rate", "annualized_return", "max_drawdown", "sharpe_ratio"), digits=6)
+JOIN (SELECT run_id, string_agg(t.security_code || coalesce(' ' || b.security_name, ''), ',' ORDER BY rank_no) AS top_targets FROM ({TARGETS}) t
+  LEFT JOIN basics b ON b.security_code = t.security_code WHERE rank_no <= 5 AND signal_date = (SELECT max(trade_date) FROM trades x
+  WHERE x.side = 'buy' AND x.run_id = t.run_id) GROUP BY 1) g ON g.run_id = n.run_id GROUP BY n.run_id, n.attempt_id""", ["nav_daily", "nav_points", "perf", "trades", "basics"],
+    ("latest_nav", "recent_change", "excess_return", "win_rate", *performance.METRICS), digits=6)
 def dashboard(spark, folder):
     return reports.dashboard(
         market.nav_daily(spark, folder), market.benchmark_returns(spark, folder), perf(spark, folder), targets(spark, folder), market.basics(spark, folder)

@@ -18,6 +18,7 @@ DOUBLES = {
 }
 
 for table_name, doubles in DOUBLES.items():
-    query(f"table_{table_name}", f"SELECT * FROM {table_name}", [table_name], doubles, digits=2 if table_name == "nav_daily" else 4)(
+    query(f"table_{table_name}", f"SELECT * FROM {table_name}", [table_name], doubles, digits=2 if table_name == "nav_daily" else 4,
+        fine=("nav", "daily_return", "drawdown", "gross_exposure") if table_name == "nav_daily" else ())(
         getattr(market, table_name)
     )

@@ -119,6 +119,13 @@ def normalize_yield_curve(spark, folder):
     return norm.normalize_yield_curve(mixed, {"one_year_yield_pct": "y1"}, "treasury", 1998, strict=False)
 
 
+@query("R07_strict_yield_curve", """
+SELECT work_date, curve_name, one_year_yield_pct AS y1 FROM yields""", ["yields"], ("y1",))
+def strict_yield_curve(spark, folder):
+    """The strict path on sound rows of every year."""
+    return norm.normalize_yield_curve(market.yields(spark, folder), {"one_year_yield_pct": "y1"}, "treasury")
+
+
 @query("R08_normalize_extracted_rows", """
 SELECT DISTINCT conv_id, role AS stock_name, 'a,' || role || ',turn' AS theme_path, trim(text) AS relation, CASE WHEN turn % 2 = 0 THEN 'web' ELSE '' END AS source FROM conversations""")
 def normalize_extracted_rows(spark, folder):
@@ -244,12 +251,14 @@ def expression(spark, folder):
 
 
 @query("Q05_complete", """
-SELECT DISTINCT trade_date FROM calendar WHERE trade_date NOT IN (SELECT trade_date FROM bars WHERE security_code LIKE '688%')""", ["calendar", "bars"])
+SELECT DISTINCT o_orderdate::DATE AS trade_date FROM orders WHERE o_orderdate::DATE NOT IN (SELECT trade_date FROM bars)""", ["bars"])
 def complete(spark, folder):
-    return q.check_complete(market.bars(spark, folder).where("security_code like '688%'"), market.calendar(spark, folder))
+    """The days of the order book as the calendar: some have no bar."""
+    days = market.table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("trade_date")).distinct()
+    return q.check_complete(market.bars(spark, folder), days)
 
 
-@query("Q06_cardinality", "SELECT true AS within_limit")
+@query("Q06_cardinality", "SELECT count(DISTINCT event_type) <= 20 AS within_limit FROM events")
 def cardinality(spark, folder):
     return q.check_cardinality(market.table(spark, folder, "events"), "event_type", 20).select("within_limit")
 
@@ -324,7 +333,8 @@ def contract_formats(spark, folder):
 
 
 @query("J11_previous_volume", """
-SELECT u.security_code, u.trade_date, u.prev_volume FROM unadj_pairs u WHERE u.prev_volume IS DISTINCT FROM u.volume""", ["unadj_pairs"], ("prev_volume",))
+SELECT q.security_code, q.trade_date, p.volume AS prev_volume FROM quotes q LEFT JOIN trade_days d ON d.trade_date = q.trade_date
+LEFT JOIN quotes p ON p.security_code = q.security_code AND p.trade_date = d.prev_trade_date WHERE p.volume IS DISTINCT FROM q.volume""", ["quotes", "trade_days"], ("prev_volume",))
 def previous_volume(spark, folder):
     """Rows whose previous trading day's volume differs from the day's own, NULL included."""
     staged = quotes.stage_quotes(market.raw_quotes(spark, folder))

@@ -67,7 +67,7 @@ def asof_join(spark, folder):
     """Raw ledger rows to reports: a security's trades are split by month, whatever their number."""
     t = market.trades(spark, folder).select("run_id", "security_code", "trade_date", "trade_seq")
     r = market.reports(spark, folder).select("security_code", "report_date", "total_assets")
-    return scans.asof_join(t, r, ["security_code"], "trade_date", "report_date", block="month")
+    return scans.asof_join(t, r, ["security_code"], "trade_date", "report_date", block="month", right_unique=True)
 
 
 @query("J04_asof_inner", """
@@ -387,12 +387,9 @@ def with_expiry(spark, folder):
 SELECT run_id, trade_date, trade_seq, security_code, sum(gross_amount) OVER (PARTITION BY run_id ORDER BY trade_date, trade_seq, security_code ROWS UNBOUNDED PRECEDING) AS turnover
 FROM trades""", ["trades"], ("turnover",), digits=2)
 def running_sum(spark, folder):
-    """A run is a third of all trades: as a hot key it is scanned in blocks of sequence numbers."""
+    """A run is a third of all trades, so it is scanned in blocks."""
     t = market.trades(spark, folder).select("run_id", "trade_date", "trade_seq", "security_code", "gross_amount")
-    summed = scans.running_sum(
-        t, ["run_id"], ["trade_date", "trade_seq", "security_code"], "gross_amount", "turnover", scans.seq_block("trade_seq"), hot_rows=1000
-    )
-    return summed.drop("gross_amount")
+    return scans.running_sum(t, ["run_id"], ["trade_date", "trade_seq", "security_code"], "gross_amount", "turnover").drop("gross_amount")
 
 
 def unadj_input(spark, folder):

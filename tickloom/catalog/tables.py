@@ -147,7 +147,7 @@ define("trades", """
 SELECT *, gross_amount / quantity AS execution_price,
   CASE side WHEN 'sell' THEN 'time_stop_loss' ELSE 'signal' END AS reason FROM (
   SELECT l_returnflag AS run_id, l_returnflag || '-1' AS attempt_id, security_code, trade_date,
-    date_diff('day', DATE '1990-01-01', trade_date)::BIGINT * 1099511627776 + (l_orderkey * 8 + l_linenumber) * 2 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END AS trade_seq,
+    date_diff('day', DATE '1990-01-01', trade_date)::BIGINT * 281474976710656 + (l_orderkey * 8 + l_linenumber) * 2 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END AS trade_seq,
     CASE l_linestatus WHEN 'O' THEN 'sell' ELSE 'buy' END AS side, sum(l_quantity) AS quantity,
     sum(l_extendedprice) AS gross_amount, floor(sum(l_extendedprice * l_tax) / 99.97e0 * 1e4 + 5e-1) / 1e4 AS total_fee
   FROM executions GROUP BY ALL)""", ["executions"])

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.operators.quality import require_finite
+
 CODE, DATE = "security_code", "trade_date"
 
 # Indicator windows and pattern thresholds.
@@ -59,40 +61,33 @@ def over_valid(agg: Column, valid: Column, n: int) -> Column:
     return F.when(valid & (F.row_number().over(order) >= n), agg.over(order.rowsBetween(-(n - 1), 0)))
 
 
-# Spark evaluates a sliding frame anew for every row. Up to this width that is cheap and exact;
-# wider means come from the difference of two running sums, as a sum that drops its oldest value.
-WIDEST_FRAME = 30
+def checked(df: DataFrame, columns: Sequence[str], strict: bool) -> DataFrame:
+    """``df``, failing at a NaN or infinity in the columns if ``strict``; NULL is a missing value and passes."""
+    return require_finite(df, columns) if strict else df
+
 
+def means(df: DataFrame, column: str, names: dict[int, str], strict: bool = True) -> DataFrame:
+    """Means of the last ``n`` valid values for several ``n`` at once (I01); one sort serves them all.
 
-def means(df: DataFrame, column: str, names: dict[int, str]) -> DataFrame:
-    """Means of the last ``n`` valid values for several ``n`` at once (I01); one sort serves them all."""
-    return placed_means(by_security(df), column, names)
+    Every width is a frame of its own, so a value depends on its ``n`` rows alone: a run that starts
+    ``n`` valid rows earlier gives the same bits as the full history.
+    """
+    return placed_means(by_security(checked(df, [column], strict)), column, names)
 
 
 def placed_means(df: DataFrame, column: str, names: dict[int, str]) -> DataFrame:
     flagged = df.withColumn("_ok", F.col(column).isNotNull())
-    valid = F.col("_ok")
-    order = valid_order(valid)
-    narrow = [over_valid(F.avg(column), valid, n).alias(name) for n, name in names.items() if n <= WIDEST_FRAME]
-    wide = {n: name for n, name in names.items() if n > WIDEST_FRAME}
-    if not wide:
-        return flagged.select("*", *narrow).drop("_ok")
-    running = F.sum(column).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto")
-    summed = flagged.select("*", *narrow, running, F.row_number().over(order).alias("_nth"))
-    dropped = {n: F.coalesce(F.lag("_upto", n).over(order), F.lit(0.0)) for n in wide}
-    return summed.select(
-        "*", *[F.when(valid & (F.col("_nth") >= n), (F.col("_upto") - dropped[n]) / n).alias(name) for n, name in wide.items()]
-    ).drop("_upto", "_nth", "_ok")
-
-
-def sma(df: DataFrame, column: str, n: int, name: str | None = None) -> DataFrame:
+    return flagged.select("*", *[over_valid(F.avg(column), F.col("_ok"), n).alias(name) for n, name in names.items()]).drop("_ok")
+
+
+def sma(df: DataFrame, column: str, n: int, name: str | None = None, strict: bool = True) -> DataFrame:
     """Mean of the last ``n`` valid values."""
-    return means(df, column, {n: name or f"sma_{n}"})
+    return means(df, column, {n: name or f"sma_{n}"}, strict)
 
 
-def rolling_stddev(df: DataFrame, column: str, n: int, name: str | None = None) -> DataFrame:
+def rolling_stddev(df: DataFrame, column: str, n: int, name: str | None = None, strict: bool = True) -> DataFrame:
     """Population standard deviation of the last ``n`` valid values."""
-    flagged = by_security(df).withColumn("_ok", F.col(column).isNotNull())
+    flagged = by_security(checked(df, [column], strict)).withColumn("_ok", F.col(column).isNotNull())
     return flagged.withColumn(name or f"stddev_{n}", over_valid(F.stddev_pop(column), F.col("_ok"), n)).drop("_ok")
 
 
@@ -102,9 +97,10 @@ def moving_averages(
     volume: str = "volume",
     price_windows: Sequence[int] = PRICE_MA_WINDOWS,
     volume_windows: Sequence[int] = VOLUME_MA_WINDOWS,
+    strict: bool = True,
 ) -> DataFrame:
     """Price and volume moving averages and their composites."""
-    result = placed_means(by_security(df), price, {n: f"price_ma_{n}" for n in price_windows})
+    result = placed_means(by_security(checked(df, [price, volume], strict)), price, {n: f"price_ma_{n}" for n in price_windows})
     result = placed_means(result, volume, {n: f"volume_ma_{n}" for n in volume_windows})
     for members in COMPOSITE_MAS:
         if set(members) <= set(price_windows):
@@ -116,9 +112,9 @@ def moving_averages(
     return result
 
 
-def bollinger(df: DataFrame, column: str = "close_price", configs=BOLLINGER_CONFIGS) -> DataFrame:
+def bollinger(df: DataFrame, column: str = "close_price", configs=BOLLINGER_CONFIGS, strict: bool = True) -> DataFrame:
     """Middle band and ``k`` population sigmas around it."""
-    flagged = by_security(df).withColumn("_ok", F.col(column).isNotNull())
+    flagged = by_security(checked(df, [column], strict)).withColumn("_ok", F.col(column).isNotNull())
     valid = F.col("_ok")
     mids = [over_valid(F.avg(column), valid, n).alias(f"boll_mid_{n}") for n, _ in configs]
     sigmas = [over_valid(F.stddev_pop(column), valid, n).alias(f"_sigma_{n}") for n, _ in configs]

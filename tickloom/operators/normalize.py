@@ -115,12 +115,20 @@ def normalize_yield_curve(
 ) -> DataFrame:
     """Curve rows under our tenor names.
 
-    Another curve, another year and a repeated date are contract breaks: an error in strict mode,
-    otherwise such rows are left out and one row per date stays.
+    Another curve, another year, a repeated date and text that is no number are contract breaks: an
+    error in strict mode. Otherwise such rows are left out, one row per date stays, and the number is NULL.
     """
     wrong_curve = ~F.col(curve_column).eqNullSafe(F.lit(curve))
     wrong_year = (F.year(date) != year) if year is not None else F.lit(False)
-    values = [F.nullif(F.trim(F.col(s).cast("string")), F.lit("")).try_cast("double").alias(n) for s, n in tenors.items()]
+    def value(source: str) -> Column:
+        text = F.nullif(F.trim(F.col(source).cast("string")), F.lit(""))
+        number = text.try_cast("double")
+        if strict:
+            bad = F.raise_error(F.concat(F.lit(f"{source} is not a number: "), text)).cast("double")
+            number = F.when(text.isNotNull() & number.isNull(), bad).otherwise(number)
+        return number
+
+    values = [value(s).alias(n) for s, n in tenors.items()]
     if strict:
         guarded = df.withColumn(
             date, F.when(wrong_curve | wrong_year, F.raise_error(F.lit("row of another curve or year")).cast("date")).otherwise(F.col(date))

@@ -2,9 +2,10 @@
 
 A plain ``Window.partitionBy(key)`` puts every row of a key into one task. That is fine where the
 grain bounds the group (one row per security and trading day), and wrong for ledgers and raw
-facts. The operators here split a key into ordered *blocks*: each block is aggregated map-side to
-one carry row, the carries are scanned per key, and the rows are then scanned inside their block,
-starting from the carry.
+facts. There the rows are sorted by key and order over the whole cluster, and each stretch of a key
+in one partition is a *block*: it is aggregated to one carry row, the carries of a key (at most one
+per partition) are scanned, and the rows are scanned inside their block, starting from the carry.
+The blocks follow the whole order and the number of rows, whatever values the order columns hold.
 """
 
 from __future__ import annotations
@@ -22,31 +23,25 @@ BEFORE = (Window.unboundedPreceding, -1)
 FROM = (Window.currentRow, Window.unboundedFollowing)
 AFTER = (1, Window.unboundedFollowing)
 
-SEQ_BLOCK_BITS = 20
-HOT_ROWS = 4_000_000
 SCAN_FUNCTIONS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def seq_block(seq_col: str) -> Column:
-    """Block number of a ledger row: at most 2**20 rows, since a sequence number is unique in its run.
+def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` sorted over the cluster by ``keys`` and ``order``, on a reliable checkpoint, with ``_blk``: the partition a row lies in.
 
-    Sequence numbers rise with time, so ordering by block keeps the ledger order.
+    Partitions are ranges of the whole sort key of about equal row counts, so a hot key spans many.
     """
-    return F.shiftright(F.col(seq_col).cast("long"), SEQ_BLOCK_BITS)
+    placed = checkpoint(df.orderBy(*keys, *order).withColumn("_blk", F.monotonically_increasing_id()))
+    return placed.withColumn("_blk", F.shiftrightunsigned("_blk", 33))
 
 
-def with_blocks(df: DataFrame, keys: Sequence[str], block: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_blk``: the block of rows whose key holds more than ``hot_rows`` rows, 0 for other keys.
-
-    Counting keys is one map-side combined aggregate. There are at most ``rows / hot_rows`` hot
-    keys, a bound that keeps the broadcast small: a million keys for 4e12 rows.
-    """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(
-        *keys, F.lit(True).alias("_hot")
-    )
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_blk", F.when(F.col("_hot"), block.cast("long")).otherwise(F.lit(0).cast("long"))
-    )
+def with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Carry rows joined to the rows of their block; keys may be null."""
+    renamed = carry.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, "_blk")], *[c for c in carry.columns if c not in (*keys, "_blk")])
+    same = rows["_blk"] == renamed["_k__blk"]
+    for c in keys:
+        same = same & rows[c].eqNullSafe(renamed[f"_k_{c}"])
+    return rows.join(renamed, same, "left").drop(*[f"_k_{c}" for c in (*keys, "_blk")])
 
 
 def combine(fn: str, carry: Column, local: Column) -> Column:
@@ -56,10 +51,8 @@ def combine(fn: str, carry: Column, local: Column) -> Column:
 
 
 def carried(rows: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[str, Column]]) -> DataFrame:
-    """What the earlier blocks of a key amount to, per block of the hot keys."""
-    totals = rows.where("_hot").groupBy(*keys, "_blk").agg(
-        *[SCAN_FUNCTIONS[fn](e).alias(f"_c_{n}") for n, (fn, e) in aggregates.items()]
-    )
+    """What the earlier blocks of a key amount to, per block: a row per key and partition at most."""
+    totals = rows.groupBy(*keys, "_blk").agg(*[SCAN_FUNCTIONS[fn](e).alias(f"_c_{n}") for n, (fn, e) in aggregates.items()])
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(*BEFORE)
     return totals.select(
         *keys, "_blk", *[SCAN_FUNCTIONS[fn](f"_c_{n}").over(earlier).alias(f"_c_{n}") for n, (fn, _) in aggregates.items()]
@@ -67,35 +60,30 @@ def carried(rows: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[st
 
 
 def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    exprs: dict[str, tuple[str, Column]],
-    block: Column | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs: dict[str, tuple[str, Column]], bounded: bool = False
 ) -> DataFrame:
     """Add running ``sum``/``max``/``min`` columns over ``order`` within ``keys``.
 
-    ``block`` is a number that never falls along ``order``; hot keys are scanned block by block.
-    Leave it out only where the grain bounds the rows of a key.
+    ``order`` must be unique within a key. ``bounded`` says that the grain bounds the rows of a key,
+    so that one window does.
     """
-    if block is None:
+    if bounded:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*UP_TO)
         return df.select(
             "*", *[SCAN_FUNCTIONS[fn](e).over(window).alias(n) for n, (fn, e) in exprs.items()]
         )
-    rows = with_blocks(df, keys, block, hot_rows)
+    rows = in_blocks(df, keys, order)
     inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(*UP_TO)
     local = rows.select("*", *[SCAN_FUNCTIONS[fn](e).over(inside).alias(f"_l_{n}") for n, (fn, e) in exprs.items()])
-    joined = local.join(carried(rows, keys, exprs), [*keys, "_blk"], "left")
+    joined = with_carry(local, carried(rows, keys, exprs), keys)
     return joined.select(
         *df.columns, *[combine(fn, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (fn, _) in exprs.items()]
     )
 
 
-def running_sum(df, keys, order, value: str, name: str, block=None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_sum(df, keys, order, value: str, name: str, bounded: bool = False) -> DataFrame:
     """Running sum of one column."""
-    return running(df, keys, order, {name: ("sum", F.col(value))}, block, hot_rows)
+    return running(df, keys, order, {name: ("sum", F.col(value))}, bounded)
 
 
 def block_of(column: Column, block) -> Column:

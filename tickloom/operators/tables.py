@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.scans import UP_TO, asof_join, running, seq_block
+from tickloom.operators.scans import UP_TO, asof_join, running
 
 # Rank direction of each portfolio metric.
 PERFORMANCE_DIRECTIONS = {
@@ -253,18 +253,14 @@ def rank_signals(
 
 
 def with_pool_count(df: DataFrame, by: Sequence[str] = ("trade_date",)) -> DataFrame:
-    """Number of hits of the date on every row (W09), counted by key and joined back."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("pool_count"))
-    return df.join(counts, list(by))
+    """Number of hits of the date on every row (W09). A date's pool is bounded by the universe, so one window does."""
+    return df.withColumn("pool_count", F.count(F.lit(1)).over(Window.partitionBy(*by)))
 
 
-def position_balance(trades: DataFrame, keys=("run_id", "attempt_id", "security_code"), block=None) -> DataFrame:
+def position_balance(trades: DataFrame, keys=("run_id", "attempt_id", "security_code")) -> DataFrame:
     """Running position per run and security (W11), over all trades before any period filter."""
     signed = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
-    return running(
-        trades, keys, ["trade_date", "trade_seq"], {"position_balance_quantity": ("sum", signed)},
-        seq_block("trade_seq") if block is None else block,
-    )
+    return running(trades, keys, ["trade_date", "trade_seq"], {"position_balance_quantity": ("sum", signed)})
 
 
 def lookback_start(df: DataFrame, n: int, upto: str, key="security_code", date="trade_date") -> DataFrame:

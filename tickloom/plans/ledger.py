@@ -5,19 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickloom.functions import scalars
-from tickloom.operators.scans import AFTER, BEFORE, FROM, HOT_ROWS, UP_TO, seq_block, with_blocks
+from tickloom.operators.scans import AFTER, BEFORE, FROM, UP_TO, in_blocks, with_carry
 
 RUN = ("run_id", "attempt_id")
 SERIES = (*RUN, "security_code")
 EPSILON = 1e-9
-QUANTITY_BLOCK = float(1 << 20)
 
 
 def next_open_signals(signals: DataFrame, calendar: DataFrame, end: str, date: str = "signal_date") -> DataFrame:
@@ -85,9 +81,15 @@ def exit_events(
     """First triggered exit of every lot; on one day the first rule in the list wins.
 
     ``positions`` has one row per lot and held day with ``entry_price`` and ``holding_days``. A
-    crossing needs the bar of the trading day before and is not judged on the entry day.
+    crossing needs the bar of the trading day before, which is the market's and not the lot's: it is
+    judged on the entry day too.
     """
-    held = positions.join(with_previous_bar(bars, calendar, rules), ["security_code", "trade_date"])
+    judged = judge(positions.join(with_previous_bar(bars, calendar, rules), ["security_code", "trade_date"]), rules)
+    return judged.groupBy(*lot).agg(*first_trigger(), F.count_if("missing").alias("missing_indicator_days"))
+
+
+def judge(held: DataFrame, rules: Sequence) -> DataFrame:
+    """``held`` (a lot, a day, its bar and the bar before) with the day's exit reason and whether an indicator is missing."""
     gain = F.col("close_price_backward_adj") / F.col("entry_price") - 1
     close = indicator_close()
     reason = F.lit(None).cast("string")
@@ -104,99 +106,62 @@ def exit_events(
             missing = missing | (close.isNotNull() & value.isNull())
             hit = close < value
             if rule.operator == "cross_below_metric":
-                hit = hit & (F.col("holding_days") > 0) & (F.col("_prev_close") >= F.col(f"_prev_{rule.metric}"))
+                hit = hit & (F.col("_prev_close") >= F.col(f"_prev_{rule.metric}"))
         reason = F.when(hit & gain.isNotNull(), REASONS[type(rule)]).otherwise(reason)
-    judged = held.select(*lot, "trade_date", reason.alias("reason"), missing.alias("missing"))
-    return judged.groupBy(*lot).agg(
-        F.min(F.when(F.col("reason").isNotNull(), F.col("trade_date"))).alias("trigger_date"),
-        F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("trade_date"))).alias("exit_reason"),
-        F.count_if("missing").alias("missing_indicator_days"),
-    )
+    return held.select("*", reason.alias("reason"), missing.alias("missing"))
+
+
+def first_trigger() -> list[Column]:
+    when = F.when(F.col("reason").isNotNull(), F.col("trade_date"))
+    return [F.min(when).alias("trigger_date"), F.min_by("reason", when).alias("exit_reason")]
 
 
 # --- uncapped trades -------------------------------------------------------------------------
 
 
-def lot_walk(table: pa.Table, rules: Sequence) -> list[tuple[int, int | None, str | None]]:
-    """Entry row, exit row and reason of the lots of one run and security, in date order."""
-    def column(name: str) -> np.ndarray:
-        return table.column(name).to_numpy(zero_copy_only=False).astype(float)
-
-    opens, closes = column("open_price_backward_adj"), column("close_price_backward_adj")
-    forward = column("close_price_forward_adj")
-    shown = np.where(np.isnan(forward), closes, forward)
-    metrics = {r.metric: column(r.metric) for r in rules if isinstance(r, IndicatorStop)}
-    entries = table.column("is_entry").to_numpy(zero_copy_only=False).astype(bool)
-    day = table.column("day_no").to_numpy(zero_copy_only=False)
-    lots, held, pending = [], None, None
-    for t in range(len(opens)):
-        if held is not None and pending is not None and opens[t] == opens[t]:
-            lots.append((held, t, pending))
-            held = pending = None
-        if held is None and entries[t] and opens[t] == opens[t]:
-            held = t
-        if held is None or pending is not None or closes[t] != closes[t]:
-            continue
-        gain = closes[t] / opens[held] - 1.0
-        for rule in rules:
-            if isinstance(rule, StopLoss):
-                hit = gain <= -rule.loss
-            elif isinstance(rule, TakeProfit):
-                hit = gain >= rule.profit
-            elif isinstance(rule, TimeStop):
-                hit = day[t] - day[held] >= rule.holding_days and gain < rule.max_return
-            else:
-                value = metrics[rule.metric]
-                hit = shown[t] < value[t]
-                if rule.operator == "cross_below_metric":
-                    hit = hit and t > held and day[t] - day[t - 1] == 1 and shown[t - 1] >= value[t - 1]
-            if hit:
-                pending = REASONS[type(rule)]
-                break
-    if held is not None:
-        lots.append((held, None, None))
-    return lots
-
-
-def signal_lots(signals: DataFrame, bars: DataFrame, calendar: DataFrame, rules: Sequence) -> DataFrame:
+def signal_lots(
+    signals: DataFrame, bars: DataFrame, calendar: DataFrame, rules: Sequence, slippage_bps: float = scalars.FeeConfig.slippage_bps
+) -> DataFrame:
     """Lots of an uncapped portfolio: a signal opens one at the next open unless one is open.
 
-    ``signals`` carry ``execution_date``. A run and security has at most one bar per trading day,
-    so its walk is bounded by the calendar; bars before its first entry are left out.
+    ``signals`` carry ``execution_date``. Every signal with an open on that day is a candidate; one
+    join to the bars of its security finds its first exit trigger, measured against the slipped entry
+    price, and the open after it. Of the candidates of a run and security, in order of date, those are
+    lots that start when the lot before has ended. A security has at most one bar per trading day and
+    a run at most one candidate per security and day, so each candidate's join is bounded by the calendar.
     """
-    entries = signals.where("execution_date is not null").select(
-        *SERIES, F.col("execution_date").alias("trade_date")
-    ).distinct()
-    first = entries.groupBy(*SERIES).agg(F.min("trade_date").alias("_from"))
-    metrics = list(dict.fromkeys(r.metric for r in rules if isinstance(r, IndicatorStop)))
-    prices = bars.select(
-        "security_code", "trade_date", "open_price_backward_adj", "close_price_backward_adj", "close_price_forward_adj", *metrics
-    ).join(calendar.select("trade_date", "day_no"), "trade_date")
-    walked = first.join(prices, "security_code").where(F.col("trade_date") >= F.col("_from")).drop("_from").join(
-        entries.withColumn("is_entry", F.lit(True)), [*SERIES, "trade_date"], "left"
-    ).fillna(False, ["is_entry"])
-    schema = T.StructType([
-        *[T.StructField(c, T.StringType()) for c in SERIES],
-        T.StructField("entry_date", T.DateType()), T.StructField("entry_price", T.DoubleType()),
-        T.StructField("exit_date", T.DateType()), T.StructField("exit_price", T.DoubleType()),
-        T.StructField("exit_reason", T.StringType()), T.StructField("holding_days", T.IntegerType()),
-    ])
-
-    def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by("trade_date")
-        lots = lot_walk(table, rules)
-        enter = pa.array([a for a, _, _ in lots], pa.int64())
-        leave = pa.array([b for _, b, _ in lots], pa.int64())
-        price, dates, day = table.column("open_price_backward_adj"), table.column("trade_date"), table.column("day_no")
-        spans = [None if b is None else day[b].as_py() - day[a].as_py() for a, b, _ in lots]
-        return pa.table({
-            **{c: pa.array([table.column(c)[0].as_py()] * len(lots), pa.string()) for c in SERIES},
-            "entry_date": dates.take(enter), "entry_price": price.take(enter),
-            "exit_date": dates.take(leave), "exit_price": price.take(leave),
-            "exit_reason": pa.array([r for _, _, r in lots], pa.string()), "holding_days": pa.array(spans, pa.int32()),
-        })
-
-    return walked.groupBy(*SERIES).applyInArrow(walk, schema)
+    entries = signals.where("execution_date is not null").select(*SERIES, F.col("execution_date").alias("entry_date")).distinct()
+    ahead = Window.partitionBy("security_code").orderBy("trade_date").rowsBetween(*AFTER)
+    opened = F.col("open_price_backward_adj").isNotNull()
+    numbered = with_previous_bar(bars, calendar, rules).join(calendar.select("trade_date", "day_no"), "trade_date")
+    numbered = numbered.withColumn("_next", F.first(
+        F.when(opened, F.struct(F.col("trade_date").alias("exit_date"), F.col("open_price_backward_adj").alias("exit_price"), F.col("day_no").alias("exit_no"))),
+        ignorenulls=True,
+    ).over(ahead))
+    first = numbered.where(opened).select(
+        "security_code", F.col("trade_date").alias("entry_date"), F.col("open_price_backward_adj").alias("reference_price"), F.col("day_no").alias("entry_no")
+    )
+    candidates = entries.join(first, ["security_code", "entry_date"]).withColumn("entry_price", F.col("reference_price") * (1 + slippage_bps / 10000.0))
+    held = candidates.join(numbered, "security_code").where("trade_date >= entry_date").withColumn("holding_days", F.col("day_no") - F.col("entry_no"))
+    when = F.when(F.col("reason").isNotNull(), F.col("trade_date"))
+    exits = judge(held, rules).groupBy(*SERIES, "entry_date", "reference_price", "entry_no").agg(
+        F.min_by("reason", when).alias("reason"), F.min_by("_next", when).alias("next")
+    )
+    # A trigger without a later open leaves the lot open.
+    out = F.col("next.exit_date")
+    lot = F.struct(
+        "entry_date", F.col("reference_price").alias("entry_price"), out.alias("exit_date"), F.col("next.exit_price").alias("exit_price"),
+        F.when(out.isNotNull(), F.col("reason")).alias("exit_reason"), (F.col("next.exit_no") - F.col("entry_no")).cast("int").alias("holding_days"),
+    )
+    ordered = exits.groupBy(*SERIES).agg(F.sort_array(F.collect_list(lot)).alias("c"))
+    start = F.struct(F.lit("0001-01-01").cast("date").alias("free"), F.filter("c", lambda x: F.lit(False)).alias("lots"))
+
+    def take(state: Column, one: Column) -> Column:
+        taken = F.struct(F.coalesce(one["exit_date"], F.lit("9999-12-31").cast("date")).alias("free"), F.concat(state["lots"], F.array(one)).alias("lots"))
+        return F.when(one["entry_date"] >= state["free"], taken).otherwise(state)
+
+    chosen = ordered.select(*SERIES, F.explode(F.aggregate("c", start, take)["lots"]).alias("lot"))
+    return chosen.select(*SERIES, "lot.*")
 
 
 def signal_trades(
@@ -204,7 +169,7 @@ def signal_trades(
     fees: scalars.FeeConfig = scalars.FeeConfig(), notional: float = 1_000_000.0, lot_size: int = 100,
 ) -> DataFrame:
     """Buy and sell trades of the uncapped lots with costs."""
-    lots = signal_lots(signals, bars, calendar, rules).withColumn(
+    lots = signal_lots(signals, bars, calendar, rules, fees.slippage_bps).withColumn(
         "quantity", scalars.floor_to_lot(F.lit(notional) / F.col("entry_price"), lot_size)
     ).where("quantity > 0")
     legs = F.explode(F.array(
@@ -220,72 +185,76 @@ def signal_trades(
 # --- FIFO ------------------------------------------------------------------------------------
 
 
-def matched_ledger(trades: DataFrame, block: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Cumulative bought and matched quantity after every trade.
+def exact(column: Column | str) -> Column:
+    """Quantity on an exact axis, so that equal ends are equal however they were summed."""
+    return (F.col(column) if isinstance(column, str) else column).cast("decimal(32,8)")
+
+
+def matched_ledger(trades: DataFrame) -> DataFrame:
+    """Cumulative bought and matched quantity after every trade, to eight decimals.
 
     A sell can use at most the open position; what exceeds it is dropped. With cumulative buys B
     and sells S, the dropped quantity so far is the running maximum of ``S - B``, floored at 0, so
     the matched sells are ``S`` minus that: ordered scans and no sequential loop. Both scans run in
     one pass over the blocks of a security; the sums and the peak of earlier blocks are added after.
     """
-    rows = with_blocks(trades, SERIES, seq_block("trade_seq") if block is None else block, hot_rows)
+    rows = in_blocks(trades, SERIES, ["trade_date", "trade_seq"])
     buy = F.col("side") == "buy"
-    rows = rows.withColumn("_b", F.when(buy, F.col("quantity")).otherwise(0.0)).withColumn(
-        "_s", F.when(buy, 0.0).otherwise(F.col("quantity"))
+    amount = F.col("quantity").cast("decimal(20,8)")
+    zero = exact(F.lit(0))
+    rows = rows.withColumn("_b", F.when(buy, amount).otherwise(F.lit(0).cast("decimal(20,8)"))).withColumn(
+        "_s", F.when(buy, F.lit(0).cast("decimal(20,8)")).otherwise(amount)
     )
     ordered = Window.partitionBy(*SERIES, "_blk").orderBy("trade_date", "trade_seq")
     inside = ordered.rowsBetween(*UP_TO)
-    short = F.col("_ls") - F.col("_lb")
-    local = rows.select("*", F.sum("_b").over(inside).alias("_lb"), F.sum("_s").over(inside).alias("_ls")).select(
+    short = exact(F.col("_ls") - F.col("_lb"))
+    local = rows.select("*", exact(F.sum("_b").over(inside)).alias("_lb"), exact(F.sum("_s").over(inside)).alias("_ls")).select(
         "*", F.max(short).over(inside).alias("_lp"), F.max(short).over(ordered.rowsBetween(*BEFORE)).alias("_lq")
     )
     earlier = Window.partitionBy(*SERIES).orderBy("_blk").rowsBetween(*BEFORE)
-    blocks = local.where("_hot").groupBy(*SERIES, "_blk").agg(
+    blocks = local.groupBy(*SERIES, "_blk").agg(
         F.sum("_b").alias("_tb"), F.sum("_s").alias("_ts"), F.max("_lp").alias("_tp")
     ).select(
-        *SERIES, "_blk", "_tp", F.coalesce(F.sum("_tb").over(earlier), F.lit(0.0)).alias("_cb"),
-        F.coalesce(F.sum("_ts").over(earlier), F.lit(0.0)).alias("_cs"),
+        *SERIES, "_blk", "_tp", F.coalesce(exact(F.sum("_tb").over(earlier)), zero).alias("_cb"),
+        F.coalesce(exact(F.sum("_ts").over(earlier)), zero).alias("_cs"),
     )
     carry = blocks.select(
-        *SERIES, "_blk", "_cb", "_cs", F.max(F.col("_tp") + F.col("_cs") - F.col("_cb")).over(earlier).alias("_cp")
+        *SERIES, "_blk", "_cb", "_cs", F.max(exact(F.col("_tp") + F.col("_cs") - F.col("_cb"))).over(earlier).alias("_cp")
     )
-    bought, sold = F.coalesce("_cb", F.lit(0.0)), F.coalesce("_cs", F.lit(0.0))
+    bought, sold = F.coalesce("_cb", zero), F.coalesce("_cs", zero)
 
     def dropped(local_peak: str) -> Column:
-        return F.greatest(F.lit(0.0), F.col("_cp"), F.col(local_peak) + sold - bought)
+        return F.greatest(zero, F.col("_cp"), exact(F.col(local_peak) + sold - bought))
 
-    joined = local.join(carry, [*SERIES, "_blk"], "left").select(
-        *trades.columns, (bought + F.col("_lb")).alias("bought_upto"), (sold + F.col("_ls")).alias("sold_upto"),
-        dropped("_lp").alias("_dropped"), (dropped("_lp") - dropped("_lq")).alias("dropped_quantity"),
+    joined = with_carry(local, carry, SERIES).select(
+        *trades.columns, exact(bought + F.col("_lb")).alias("bought_upto"), exact(sold + F.col("_ls")).alias("sold_upto"),
+        dropped("_lp").alias("_dropped"), exact(dropped("_lp") - dropped("_lq")).alias("dropped_quantity"),
     )
-    return joined.withColumn("matched_upto", F.col("sold_upto") - F.col("_dropped")).drop("_dropped")
+    return joined.withColumn("matched_upto", exact(F.col("sold_upto") - F.col("_dropped"))).drop("_dropped")
 
 
-def fifo_closed_trades(
-    trades: DataFrame, calendar: DataFrame, block_quantity: float = QUANTITY_BLOCK, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Closed lots, first in first out, with fees and gross split pro rata.
+def fifo_segments(trades: DataFrame) -> DataFrame:
+    """First in, first out: stretches of quantity with their buy and their sell, which is NULL for what is still open.
 
     On the axis of matched quantity every buy and every matched sell is an interval, and both sets
     tile the axis. Their ends cut it into segments; a segment belongs to the first buy and the
     first sell that end at or after it. So lots are found by sorting the cuts, not by pairing buys
-    with sells. A security's cuts are split into quantity blocks of at most ``block_quantity``
-    units, each with the neighbours' edges carried in, so no lot history has to fit one task.
+    with sells. The cuts of a security are scanned in blocks of rows, each with the neighbours' edges
+    carried in, so no lot history has to fit one task.
     """
-    ledger = matched_ledger(trades, hot_rows=hot_rows)
+    ledger = matched_ledger(trades)
     buy = F.col("side") == "buy"
     # A sell's matched part ends at matched_upto. Sells that matched nothing are left out, so that
     # cuts rise strictly on each side and a cut has at most one buy and one sell.
     seller = F.struct("trade_date", "trade_seq", "quantity", "gross_amount", "total_fee", "reason")
     buyer = F.struct("trade_date", "trade_seq", "quantity", "gross_amount", "total_fee")
-    ends = ledger.where(F.col("quantity") - F.when(buy, 0.0).otherwise(F.col("dropped_quantity")) > EPSILON).select(
+    moved = exact("quantity") - F.when(buy, exact(F.lit(0))).otherwise(F.col("dropped_quantity"))
+    ends = ledger.where(moved > 0).select(
         *SERIES,
         F.when(buy, F.col("bought_upto")).otherwise(F.col("matched_upto")).alias("cut"),
         F.when(buy, buyer).alias("buy"), F.when(~buy, seller).alias("sell"),
     )
-    # One shuffle by security and block serves the merge of equal cuts, the edges and the scan.
-    placed = ends.where("cut > 0").withColumn("_blk", F.floor(F.col("cut") / block_quantity)).repartition(*SERIES, "_blk")
-    cuts = placed.groupBy(*SERIES, "_blk", "cut").agg(F.min("buy").alias("buy"), F.min("sell").alias("sell"))
+    cuts = in_blocks(ends.groupBy(*SERIES, "cut").agg(F.min("buy").alias("buy"), F.min("sell").alias("sell")), SERIES, ["cut"])
     edges = cuts.groupBy(*SERIES, "_blk").agg(
         F.min_by("buy", F.when(F.col("buy").isNotNull(), F.col("cut"))).alias("first_buy"),
         F.min_by("sell", F.when(F.col("sell").isNotNull(), F.col("cut"))).alias("first_sell"),
@@ -299,17 +268,27 @@ def fifo_closed_trades(
         F.last("last_cut").over(blocks.rowsBetween(*BEFORE)).alias("prev_cut"),
     )
     inside = Window.partitionBy(*SERIES, "_blk").orderBy("cut")
-    segments = cuts.select(
+    local = cuts.select(
         *SERIES, "_blk", "cut",
         F.first("buy", ignorenulls=True).over(inside.rowsBetween(*FROM)).alias("buy"),
         F.first("sell", ignorenulls=True).over(inside.rowsBetween(*FROM)).alias("sell"),
         F.lag("cut").over(inside).alias("below"),
-    ).join(carry, [*SERIES, "_blk"], "left").select(
+    )
+    return with_carry(local, carry, SERIES).select(
         *SERIES, F.coalesce("buy", "next_buy").alias("buy"), F.coalesce("sell", "next_sell").alias("sell"),
-        (F.col("cut") - F.coalesce("below", "prev_cut", F.lit(0.0))).alias("quantity"),
-    ).where(F.col("buy").isNotNull() & F.col("sell").isNotNull() & (F.col("quantity") > EPSILON))
+        (F.col("cut") - F.coalesce("below", "prev_cut", exact(F.lit(0)))).cast("double").alias("quantity"),
+    ).where(F.col("buy").isNotNull())
+
+
+def fifo_closed_trades(trades: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Closed lots, first in first out, with fees and gross split pro rata."""
+    return closed_trades(fifo_segments(trades), calendar)
+
+
+def closed_trades(segments: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The segments that have a sell, with amounts, result and trading days held."""
     share_in, share_out = F.col("quantity") / F.col("buy.quantity"), F.col("quantity") / F.col("sell.quantity")
-    lots = segments.select(
+    lots = segments.where("sell IS NOT NULL").select(
         *SERIES,
         F.concat_ws("-", "attempt_id", F.lit("closed"), F.col("sell.trade_seq"), F.col("buy.trade_seq")).alias("closed_trade_id"),
         F.concat_ws("-", "attempt_id", F.lit("lot"), F.col("buy.trade_seq")).alias("position_lot_id"),
@@ -362,25 +341,23 @@ def trade_metrics(closed: DataFrame, keys=RUN) -> DataFrame:
 # --- positions and NAV -----------------------------------------------------------------------
 
 
-def lots_of(trades: DataFrame, closed: DataFrame) -> DataFrame:
-    """Every lot with its holding range: closed parts and what is still open."""
-    used = closed.groupBy(*SERIES, "entry_trade_seq").agg(F.sum("quantity").alias("_used"))
-    left_over = F.col("quantity") - F.coalesce("_used", F.lit(0.0))
-    still = trades.where("side = 'buy'").select(
-        *SERIES, F.col("trade_seq").alias("entry_trade_seq"), F.col("trade_date").alias("entry_date"), "quantity", "gross_amount", "total_fee"
-    ).join(used, [*SERIES, "entry_trade_seq"], "left").where(left_over > EPSILON).select(
-        *SERIES, "entry_trade_seq", "entry_date", F.lit(None).cast("date").alias("exit_date"), left_over.alias("lot_quantity"),
-        ((F.col("gross_amount") + F.col("total_fee")) * left_over / F.col("quantity")).alias("cost_basis"),
+def lots_of(segments: DataFrame) -> DataFrame:
+    """Every lot with its holding range; the exit of an open one is NULL."""
+    cost = (F.col("buy.gross_amount") + F.col("buy.total_fee")) * F.col("quantity") / F.col("buy.quantity")
+    return segments.select(
+        *SERIES, F.col("buy.trade_seq").alias("entry_trade_seq"), F.col("buy.trade_date").alias("entry_date"),
+        F.col("sell.trade_date").alias("exit_date"), F.col("quantity").alias("lot_quantity"), cost.alias("cost_basis"),
     )
-    return still.unionByName(closed.select(
-        *SERIES, "entry_trade_seq", "entry_date", "exit_date", F.col("quantity").alias("lot_quantity"),
-        (F.col("entry_gross_amount") + F.col("entry_fee")).alias("cost_basis"),
-    ))
 
 
-def position_days(lots: DataFrame, bars: DataFrame, calendar: DataFrame, close: str = "close_price") -> DataFrame:
+def position_days(
+    lots: DataFrame, bars: DataFrame, calendar: DataFrame, close: str = "close_price", keep_unpriced: bool = False
+) -> DataFrame:
     """Mark to market of every run and security per trading day it is held.
 
+    Days without a close have no row; ``keep_unpriced`` keeps them, with NULL values, for the counts
+    of ``nav_series``.
+
     Lots become +quantity on their entry day and -quantity on their exit day; a running sum of
     those changes gives the position, carried over the trading days up to the next change. Nothing
     is unfolded per lot and day.
@@ -415,7 +392,7 @@ def position_days(lots: DataFrame, bars: DataFrame, calendar: DataFrame, close:
     )
     priced = held.join(
         bars.select("security_code", "trade_date", F.col(close).alias("close_price")).where(F.col("close_price").isNotNull()),
-        ["security_code", "trade_date"],
+        ["security_code", "trade_date"], "left" if keep_unpriced else "inner",
     )
     value = F.col("quantity") * F.col("close_price")
     return priced.select(
@@ -429,7 +406,9 @@ def position_days(lots: DataFrame, bars: DataFrame, calendar: DataFrame, close:
 def nav_series(trades: DataFrame, positions: DataFrame, calendar: DataFrame, initial_cash: float) -> DataFrame:
     """Cash, equity, return, drawdown, exposure and turnover per run and trading day.
 
-    The day before a run's first trade seeds the series with the initial cash.
+    The day before a run's first trade seeds the series with the initial cash. ``position_count``
+    counts every holding of ``positions`` (from ``position_days`` with ``keep_unpriced``), and
+    ``warning_count`` those without a close, which add no value.
     """
     buy = F.col("side") == "buy"
     flow = F.when(buy, -(F.col("gross_amount") + F.col("total_fee"))).otherwise(F.col("gross_amount") - F.col("total_fee"))
@@ -437,7 +416,8 @@ def nav_series(trades: DataFrame, positions: DataFrame, calendar: DataFrame, ini
         F.sum(flow).alias("flow"), F.sum("gross_amount").alias("traded"), F.sum("total_fee").alias("fee_amount")
     )
     values = positions.groupBy(*RUN, "trade_date").agg(
-        F.sum("market_value").alias("position_market_value"), F.count(F.lit(1)).alias("position_count")
+        F.sum("market_value").alias("position_market_value"), F.count(F.lit(1)).alias("position_count"),
+        F.count_if(F.col("close_price").isNull()).alias("warning_count"),
     )
     numbers = calendar.select("trade_date", "day_no")
     first = flows.groupBy(*RUN).agg(F.min("trade_date").alias("trade_date")).join(
@@ -447,7 +427,7 @@ def nav_series(trades: DataFrame, positions: DataFrame, calendar: DataFrame, ini
         *RUN, F.explode(F.sequence(F.greatest(F.col("day_no") - 1, F.lit(1)), F.col("day_count"))).alias("day_no")
     ).join(numbers, "day_no").drop("day_no")
     daily = days.join(flows, [*RUN, "trade_date"], "left").join(values, [*RUN, "trade_date"], "left").fillna(
-        0, ["flow", "traded", "fee_amount", "position_market_value", "position_count"]
+        0, ["flow", "traded", "fee_amount", "position_market_value", "position_count", "warning_count"]
     )
     by_run = Window.partitionBy(*RUN).orderBy("trade_date")
     cash = F.lit(initial_cash) + F.sum("flow").over(by_run.rowsBetween(*UP_TO))
@@ -456,7 +436,7 @@ def nav_series(trades: DataFrame, positions: DataFrame, calendar: DataFrame, ini
         *RUN, "trade_date", "cash_balance", "position_market_value", "total_equity", (F.col("total_equity") / initial_cash).alias("nav"),
         "daily_return", "drawdown",
         F.coalesce(scalars.safe_ratio("position_market_value", "total_equity"), F.lit(0.0)).alias("gross_exposure"), "position_count",
-        F.coalesce(scalars.safe_ratio("traded", "total_equity"), F.lit(0.0)).alias("turnover"), "fee_amount",
+        F.coalesce(scalars.safe_ratio("traded", "total_equity"), F.lit(0.0)).alias("turnover"), "fee_amount", "warning_count",
     )
 
 

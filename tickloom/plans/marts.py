@@ -29,13 +29,14 @@ def trend_mart(averages: DataFrame, bands: DataFrame, macd: DataFrame, previous:
 
 
 def quotes_mart(
-    quotes: DataFrame, adjusted: DataFrame, valuation: DataFrame, kdj: DataFrame, asof_col: str = "report_date"
+    quotes: DataFrame, valuation: DataFrame, kdj: DataFrame, adjusted: DataFrame | None = None, asof_col: str = "report_date"
 ) -> DataFrame:
     """Quotes with adjusted prices, the latest valuation and KDJ.
 
+    Adjusted prices are columns of ``quotes`` (``with_adjusted``) or come from a stored table.
     ``asof_col`` is the valuation date; ``report_date`` looks ahead of publication by design.
     """
-    with_adjusted = add_columns(quotes, adjusted)
+    with_adjusted = quotes if adjusted is None else add_columns(quotes, adjusted)
     values = [c for c in valuation.columns if c not in ("security_code", asof_col)]
     valued = asof_join(
         with_adjusted, valuation.withColumnRenamed(asof_col, "valuation_date"), ["security_code"], "trade_date", "valuation_date",

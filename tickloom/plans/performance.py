@@ -151,10 +151,9 @@ def metric_rank(long: DataFrame, directions: DataFrame, groups: Sequence[str], i
 
 def performance_rank(perf: DataFrame, groups: Sequence[str] = (), keys=RUN) -> DataFrame:
     """Ranks of the succeeded performance metrics."""
-    long = unpivot_metrics(perf, [*keys, *groups], METRICS)
-    good = performance_status(perf, keys).where("metric_status = 'succeeded'").select(*keys, "metric_name")
-    ranked = long.join(good, [*keys, "metric_name"], "left_semi")
-    return metric_rank(ranked, rank_catalog(perf.sparkSession), groups, keys)
+    # A metric of a succeeded run that could not be divided is NULL, which the rank leaves out.
+    long = unpivot_metrics(perf.where("metric_status = 'succeeded'"), [*keys, *groups], METRICS)
+    return metric_rank(long, rank_catalog(perf.sparkSession), groups, keys)
 
 
 def trade_rank(metrics: DataFrame, groups: Sequence[str] = (), keys=RUN) -> DataFrame:

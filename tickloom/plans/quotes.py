@@ -177,6 +177,8 @@ def quotes_unadj(
 ) -> DataFrame:
     """Unadjusted daily quotes with share counts, limits, caps and dividend yields.
 
+    Only days after ``first_date`` are read; other first days can be passed.
+
     Every input holds one row per security and day, so the as-of scans are bounded by the calendar
     and all of them, like the adjustment windows after, use the security as their only shuffle key.
     """
@@ -219,14 +221,13 @@ def quotes_unadj(
     )
 
 
-def adjustment_factors(quotes: DataFrame) -> DataFrame:
-    """Backward and forward adjustment ratios and factors."""
+def with_factors(quotes: DataFrame) -> DataFrame:
+    """``quotes`` with backward and forward adjustment ratios and factors, from windows on its own partitioning."""
     before, reported = F.col("prev_close_price_unadj"), F.col("prev_close_price")
     valid = F.coalesce((before > 0) & (reported > 0), F.lit(False))
     ordered = Window.partitionBy(CODE).orderBy(DATE)
     ratios = quotes.select(
-        CODE, DATE, "prev_close_price_unadj", "prev_close_price",
-        F.when(valid, before / reported).otherwise(1.0).alias("backward_adjustment_ratio"),
+        "*", F.when(valid, before / reported).otherwise(1.0).alias("backward_adjustment_ratio"),
         F.when(valid, reported / before).otherwise(1.0).alias("forward_adjustment_ratio"),
     )
     return ratios.select(
@@ -238,24 +239,35 @@ def adjustment_factors(quotes: DataFrame) -> DataFrame:
     )
 
 
+def adjustment_factors(quotes: DataFrame) -> DataFrame:
+    """Backward and forward adjustment ratios and factors."""
+    return with_factors(quotes.select(CODE, DATE, "prev_close_price_unadj", "prev_close_price"))
+
+
 ADJUSTED_PRICES = ("open_price", "high_price", "low_price", "close_price", "prev_close_price")
 
 
+def adjusted_columns() -> list:
+    return [
+        (F.col(p) * F.col(f"{way}_adjustment_factor")).alias(f"{p}_{way}_adj") for way in ("backward", "forward") for p in ADJUSTED_PRICES
+    ]
+
+
+def with_adjusted(quotes: DataFrame) -> DataFrame:
+    """``quotes`` with its prices adjusted in both directions, in the same pass."""
+    return with_factors(quotes).select(*quotes.columns, *adjusted_columns())
+
+
 def quotes_adj(quotes: DataFrame, factors: DataFrame | None = None) -> DataFrame:
     """Adjusted prices in both directions.
 
-    Without a stored factor table the factors are computed on the quotes' own partitioning, so no
-    join is needed; a given table is joined on its unique key.
+    Without a stored factor table the factors are windows over the quotes themselves; a given table
+    is joined on its unique key.
     """
     if factors is None:
-        factors = adjustment_factors(quotes.select(CODE, DATE, "prev_close_price_unadj", "prev_close_price"))
+        return with_factors(quotes).select(CODE, DATE, *adjusted_columns())
     chosen = factors.select(CODE, DATE, "backward_adjustment_factor", "forward_adjustment_factor")
-    joined = quotes.select(CODE, DATE, *ADJUSTED_PRICES).join(chosen, [CODE, DATE])
-    return joined.select(
-        CODE, DATE,
-        *[(F.col(p) * F.col("backward_adjustment_factor")).alias(f"{p}_backward_adj") for p in ADJUSTED_PRICES],
-        *[(F.col(p) * F.col("forward_adjustment_factor")).alias(f"{p}_forward_adj") for p in ADJUSTED_PRICES],
-    )
+    return quotes.select(CODE, DATE, *ADJUSTED_PRICES).join(chosen, [CODE, DATE]).select(CODE, DATE, *adjusted_columns())
 
 
 def financial_valuation(

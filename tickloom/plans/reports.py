@@ -12,6 +12,7 @@ from tickloom.operators.joins import left_any
 from tickloom.operators.scans import UP_TO
 from tickloom.operators.tables import daily_win_rate, latest_targets, position_balance, rebalance_counts
 from tickloom.plans.ledger import RUN, SERIES, closed_trade_view
+from tickloom.plans.performance import METRICS
 
 PERIOD_YEARS = {"1y": 1, "2y": 2, "3y": 3}
 
@@ -211,7 +212,7 @@ def security_display(basics: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def dashboard(nav: DataFrame, benchmark: DataFrame, perf: DataFrame, targets: DataFrame, names: DataFrame) -> DataFrame:
-    """One row per run: latest NAV and change, excess, win rate, metrics, first five targets."""
+    """One row per run: latest NAV and change, excess, win rate, all metrics, first five targets with names."""
     latest = nav.groupBy(*RUN).agg(
         F.max("trade_date").alias("latest_date"), F.max_by("nav", "trade_date").alias("latest_nav"),
         F.max_by("daily_return", "trade_date").alias("recent_change"),
@@ -223,7 +224,9 @@ def dashboard(nav: DataFrame, benchmark: DataFrame, perf: DataFrame, targets: Da
     best = left_any(latest_targets(targets, 5), names.select("security_code", "security_name"), ["security_code"], right_unique=True)
     # At most five targets a run reach the list.
     listed = best.groupBy("run_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "security_code"))), lambda x: x["security_code"]), ",").alias("top_targets")
+        F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("rank_no", "security_code", "security_name"))), lambda x: F.concat_ws(" ", x["security_code"], x["security_name"])
+        ), ",").alias("top_targets")
     )
-    chosen = perf.select(*RUN, "annualized_return", "max_drawdown", "sharpe_ratio")
+    chosen = perf.select(*RUN, *METRICS)
     return latest.join(excess, list(RUN), "left").join(wins, list(RUN), "left").join(chosen, list(RUN), "left").join(listed, "run_id", "left")

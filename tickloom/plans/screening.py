@@ -46,14 +46,9 @@ def signals(metrics: DataFrame, rule: Rule, catalog: Catalog, start: str, end: s
 
 
 def preview(metrics: DataFrame, rule: Rule, catalog: Catalog, start: str, end: str, limit: int) -> DataFrame:
-    """Best rows per date and the size of the pool.
-
-    Counts and ranks are separate small aggregates, so no date is collected whole for either.
-    """
+    """Best rows per date and the size of the pool (X03), in one pass; a date's pool is bounded by the universe."""
     hits = pool(between(metrics, start, end), rule, catalog).select(*KEYS, "score")
-    best = tables.top_n_per_date(tables.rank_signals(hits), limit)
-    counts = hits.groupBy("trade_date").agg(F.count(F.lit(1)).alias("pool_count"))
-    return best.join(counts, "trade_date")
+    return tables.top_n_per_date(tables.rank_signals(tables.with_pool_count(hits)), limit)
 
 
 def pool_timeline(metrics: DataFrame, rule: Rule, catalog: Catalog, start: str, end: str) -> DataFrame:
@@ -93,9 +88,22 @@ def signal_timeline(targets: DataFrame, months: int = 3, date: str = "signal_dat
 def search(
     metrics: DataFrame, rules: dict[str, Rule], catalog: Catalog, start: str, end: str
 ) -> DataFrame:
-    """Signals of many rules in one frame keyed by run (X28); later stages run once for all."""
-    result = None
+    """Signals of many rules in one frame keyed by run (X28); later stages run once for all.
+
+    The metrics are evaluated once for all rules over one universe: each row carries the hits of all
+    rules as an array, which is then unfolded and ranked by run and date.
+    """
+    by_universe: dict[str, list[tuple[str, Rule]]] = {}
     for run_id, rule in rules.items():
-        part = signals(metrics, rule, catalog, start, end).withColumn("run_id", F.lit(run_id))
-        result = part if result is None else result.unionByName(part)
-    return result
+        by_universe.setdefault(repr(rule.universe), []).append((run_id, rule))
+    hits = None
+    for group in by_universe.values():
+        rows = apply_universe(between(metrics, start, end), group[0][1].universe)
+        found = F.array(*[
+            F.when(rule_filter(rule.filters, catalog), F.struct(F.lit(run_id).alias("run_id"), rule_score(rule, catalog).alias("score"), F.lit(rule.top_n).alias("_top")))
+            for run_id, rule in group
+        ])
+        part = rows.select(*KEYS, F.explode(F.filter(found, lambda hit: hit.isNotNull())).alias("hit")).select(*KEYS, "hit.score", "hit.run_id", "hit._top")
+        hits = part if hits is None else hits.unionByName(part)
+    ranked = tables.top_n_per_date(tables.rank_signals(hits, ("run_id", "trade_date")), max(rule.top_n for rule in rules.values()))
+    return ranked.where("rank_no <= _top").select(*KEYS, "score", "rank_no", "run_id")

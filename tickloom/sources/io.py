@@ -94,27 +94,44 @@ def sync_year(df: DataFrame, path: str, year: int, contract: DatasetContract, da
 def sync_snapshot(df: DataFrame, path: str, contract: DatasetContract) -> int:
     """Load to a staging folder beside the target, validate what was written, then swap."""
     staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex[:8]}"
-    write_snapshot(reconcile_schema(df, contract), staging, contract.allow_empty)
-    staged = read_snapshot(df.sparkSession, staging, contract)
-    problems = check_schema(staged, contract)
-    if problems:
-        raise DataError(f"{contract.name}: {problems}")
-    if contract.grain:
-        require_none(check_unique(staged, contract.grain), f"{contract.name}: duplicate keys")
-    rows = staged.count()
-    swap_folder(df.sparkSession, staging, path)
+    try:
+        write_snapshot(reconcile_schema(df, contract), staging, contract.allow_empty)
+        staged = read_snapshot(df.sparkSession, staging, contract)
+        problems = check_schema(staged, contract)
+        if problems:
+            raise DataError(f"{contract.name}: {problems}")
+        if contract.grain:
+            require_none(check_unique(staged, contract.grain), f"{contract.name}: duplicate keys")
+        rows = staged.count()
+        swap_folder(df.sparkSession, staging, path)
+    except Exception:
+        remove_folder(df.sparkSession, staging)
+        raise
     return rows
 
 
 def swap_folder(spark: SparkSession, staging: str, path: str) -> None:
-    """Put the staging folder in the target's place through the storage system's own rename."""
+    """Put the staging folder in the target's place through the storage system's own rename.
+
+    The old folder is moved aside and deleted last; it comes back if the new one can't be moved in.
+    """
     jvm = spark.sparkContext._jvm
     source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
+    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__old_{uuid.uuid4().hex[:8]}")
     storage = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if storage.exists(target):
-        storage.delete(target, True)
-    if not storage.rename(source, target):
+    replaced = storage.exists(target)
+    if replaced and not storage.rename(target, old):
+        raise DataError(f"could not move {path} aside")
+    moved = False
+    try:
+        moved = storage.rename(source, target)
+    finally:
+        if not moved and replaced:
+            storage.rename(old, target)
+    if not moved:
         raise DataError(f"could not move {staging} to {path}")
+    if replaced:
+        storage.delete(old, True)
 
 
 def compact_year(
@@ -191,7 +208,9 @@ def upsert_results(df: DataFrame, path: str, keys: Sequence[str], version: str =
         merged = stored.join(touched, list(parts), "left_semi").unionByName(df)
     staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex[:8]}"
     latest_version(merged, keys, version).write.mode("overwrite").parquet(staging)
-    spark.read.schema(merged.schema).parquet(staging).select(*df.columns).write.mode("overwrite").option(
+    # placed by partition, so that a task opens the files of few partitions
+    placed = spark.read.schema(merged.schema).parquet(staging).select(*df.columns).repartitionByRange(*parts)
+    placed.write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).option("compression", "zstd").partitionBy(*parts).parquet(path)
     remove_folder(spark, staging)

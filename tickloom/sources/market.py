@@ -250,7 +250,7 @@ def trades(spark, folder) -> DataFrame:
     selling = F.col("l_linestatus") == "O"
     line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 2 + F.when(selling, 1).otherwise(0)
     # Later days have higher numbers; a line number alone repeats over days.
-    seq = F.date_diff("trade_date", F.lit("1990-01-01").cast("date")).cast("long") * (1 << 40) + line
+    seq = F.date_diff("trade_date", F.lit("1990-01-01").cast("date")).cast("long") * (1 << 48) + line
     return x.groupBy(
         F.col("l_returnflag").alias("run_id"),
         F.concat("l_returnflag", F.lit("-1")).alias("attempt_id"),

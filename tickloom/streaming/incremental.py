@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.indicators import Recurrence, recurrences
 from tickloom.operators.quality import check_unique
 from tickloom.operators.tables import latest_by
-from tickloom.sources.io import DataError, path_exists, remove_folder, require_none
+from tickloom.sources.io import DataError, path_exists, remove_folder, require_none, swap_folder
 
 CODE, DATE = "security_code", "trade_date"
 MODES = ("append_latest", "replace_cascade", "rebuild_table", "dry_run")
@@ -105,17 +105,27 @@ def write_years(df: DataFrame, path: str, mode: str) -> None:
     ).option("compression", "zstd").partitionBy("year").parquet(path)
 
 
+def staged_rows(df: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """``df`` written beside the table, by year, and read again: computed once, whatever is checked on it."""
+    staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex[:8]}"
+    write_years(df, staging, "overwrite")
+    return read_table(df.sparkSession, staging, df), staging
+
+
 def append_latest(df: DataFrame, path: str, start: str) -> None:
     """Append rows from ``start`` on; refused if a written security already has one there."""
     spark = df.sparkSession
-    new = df.where(F.col(DATE) >= day(start))
-    require_none(check_unique(new, [CODE, DATE]), "duplicate keys in the new rows")
-    if path_exists(spark, path):
-        later = read_table(spark, path, df).where((F.year(DATE) >= int(start[:4])) & (F.col(DATE) >= day(start)))
-        require_none(
-            later.join(new.select(CODE).distinct(), CODE, "left_semi").select(CODE, DATE), "rows at or after the start already exist"
-        )
-    write_years(with_year(new), path, "append")
+    new, staging = staged_rows(with_year(df.where(F.col(DATE) >= day(start))), path)
+    try:
+        require_none(check_unique(new, [CODE, DATE]), "duplicate keys in the new rows")
+        if path_exists(spark, path):
+            later = read_table(spark, path, df).where((F.col("year") >= int(start[:4])) & (F.col(DATE) >= day(start)))
+            require_none(
+                later.join(new.select(CODE).distinct(), CODE, "left_semi").select(CODE, DATE), "rows at or after the start already exist"
+            )
+        write_years(new, path, "append")
+    finally:
+        remove_folder(spark, staging)
 
 
 def cascade_rows(df: DataFrame, stored: DataFrame, start: str) -> DataFrame:
@@ -138,9 +148,10 @@ def replace_cascade(df: DataFrame, path: str, start: str) -> None:
         write_years(with_year(df.where(F.col(DATE) >= day(start))), path, "overwrite")
         return
     stored = read_table(spark, path, df)
-    years = with_year(df.where(F.col(DATE) >= day(start))).select("year").distinct()
+    fresh, fresh_staging = staged_rows(with_year(df.where(F.col(DATE) >= day(start))), path)
+    years = fresh.select("year").distinct()
     # A year the new rows no longer reach still loses its replaced rows, so all later years are rebuilt.
-    rows = cascade_rows(df, stored, start)
+    rows = cascade_rows(fresh, stored, start)
     staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex[:8]}"
     write_years(rows, staging, "overwrite")
     staged = read_table(spark, staging, df)
@@ -153,14 +164,19 @@ def replace_cascade(df: DataFrame, path: str, start: str) -> None:
     for year in gone:
         remove_folder(spark, f"{path.rstrip('/')}/year={year}")
     remove_folder(spark, staging)
+    remove_folder(spark, fresh_staging)
 
 
 def rebuild_table(df: DataFrame, path: str) -> None:
-    """Write the whole table anew."""
-    require_none(check_unique(df, [CODE, DATE]), "duplicate keys")
-    with_year(df).repartitionByRange("year", CODE, DATE).sortWithinPartitions("year", CODE, DATE).write.mode("overwrite").option(
-        "partitionOverwriteMode", "static"
-    ).option("compression", "zstd").partitionBy("year").parquet(path)
+    """Write the whole table anew (C07): staged, checked as written, then put in place."""
+    spark = df.sparkSession
+    staged, staging = staged_rows(with_year(df), path)
+    try:
+        require_none(check_unique(staged, [CODE, DATE]), "duplicate keys")
+    except Exception:
+        remove_folder(spark, staging)
+        raise
+    swap_folder(spark, staging, path)
 
 
 def materialize(compute: Callable[[], DataFrame], path: str, mode: str, start: str | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ def plain_classes(rows, idf):
     sets = {i: weigh((t or "").encode()) for i, t in rows}
     by_shingle = defaultdict(list)
     parent = {i: i for i in sets}
-    for i, (hashes, _) in sets.items():
+    for i, (hashes, *_) in sets.items():
         for h in hashes.tolist():
             by_shingle[h].append(i)
     links = {(a, b) for members in by_shingle.values() for k, a in enumerate(members) for b in members[k + 1 :]}
@@ -76,16 +76,17 @@ def test_large_group_of_near_copies_and_shared_passage(spark):
 
 
 def test_second_looks_find_what_the_leader_misses(spark):
-    """Nodes that all share a bucket: pairs across classes are offered however large the bucket."""
-    rnd = np.random.default_rng(2)
-    samples = {k: rnd.integers(0, 2**40, near_duplicates.SAMPLES).tolist() for k in range(60)}
-    for k in samples:
-        samples[k][:3] = [1, 2, 3]
-    samples[51][3:30] = samples[50][3:30]
-    nodes = spark.createDataFrame([(bytes([k]), s) for k, s in samples.items()], "key binary, samples array<bigint>")
-    labels = spark.createDataFrame([], "node binary, label binary")
-    pairs = near_duplicates.second_looks(nodes, near_duplicates.bands(nodes), labels, 1).collect()
-    assert {(r.left, r.right) for r in pairs} == {(bytes([50]), bytes([51]))}
+    """Texts that all share a bucket: pairs across classes are offered from a small bucket, and leaders from a large one."""
+    rows = [(1, bytes([k])) for k in range(10)] + [(2, bytes([k])) for k in range(100, 160)] + [(3, bytes([k])) for k in range(5)]
+    buckets = spark.createDataFrame(rows, "bucket bigint, key binary")
+    labels = spark.createDataFrame([(bytes([k]), bytes([0])) for k in range(8)], "node binary, label binary")
+    mixed = near_duplicates.labelled(buckets, labels)
+    assert {(r.bucket, r.n) for r in mixed.collect()} == {(1, 10), (2, 60)}  # all of bucket 3 are in one class
+    offered = {(r.left[0], r.right[0]) for r in near_duplicates.second_looks(mixed).collect()}
+    assert offered == {(a, b) for a in range(10) for b in (8, 9) if a < b}
+    met = {(r.left[0], r.right[0]) for r in near_duplicates.stars(mixed.where("n > 24").select("bucket", "key"), range(1, 9)).collect()}
+    leaders = {a for a, _ in met}
+    assert 5 <= len(leaders) <= 8 and met == {(a, b) for a in leaders for b in range(100, 160) if a != b}
 
 
 def test_duplicate_edges(spark):

@@ -12,13 +12,12 @@ for more than all they share.
 
 Buckets are never expanded into all pairs. Members are first held against one leader; only buckets
 whose members are still in several classes are looked at again, small ones pair by pair across
-classes, larger ones after splitting by further samples, with new leaders each round, until a round
-links nothing.
+classes, larger ones with LEADERS new leaders a round, until a round links nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,10 @@ SLICE = 256
 SMALL = 24
 #: Of SAMPLES, a pair at the threshold shares at least so many but in one of a million cases.
 LEAST_SHARED = 16
-SPLIT_ROWS = 2
+#: Leaders that the members of a larger bucket meet in a round.
+LEADERS = 8
+#: Shingles drawn from at a time, so that what is in work stays in a core's cache.
+COLUMNS = 512
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -74,7 +76,7 @@ class Shingler:
         width = min(WORDS, len(words))
         total = np.zeros(len(words) - width + 1, np.uint64)
         for i in range(width):
-            total += mix(code[i : len(code) - width + 1 + i] + MULTIPLIERS[i]) * MULTIPLIERS[i]
+            total += code[i : len(code) - width + 1 + i] * MULTIPLIERS[i]
         return np.unique(mix(total), return_counts=True)
 
 
@@ -84,12 +86,21 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, docs_seen, shingle = np.zeros(IDF_BUCKETS, np.int64), 0, Shingler()
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for text in raw_texts(batch.column(0)):
                 hashes, _ = shingle(text)
                 if len(hashes):
                     docs_seen += 1
-                    np.add.at(totals, np.unique(hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64), 1)
+                    places = (hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)
+                    held.append(places[np.diff(places, prepend=-1) > 0])  # a counter once per document; hashes come sorted
+                    size += len(places)
+                    if size > IDF_BUCKETS:
+                        totals += np.bincount(np.concatenate(held), minlength=IDF_BUCKETS)
+                        held, size = [], 0
+        if held:
+            totals += np.bincount(np.concatenate(held), minlength=IDF_BUCKETS)
         if docs_seen:
             slices = [zstandard.compress(x.tobytes()) for x in totals.reshape(-1, SLICE)]
             numbers = np.arange(len(slices), dtype=np.int32)
@@ -116,24 +127,30 @@ def inverse_frequencies(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 class Weigher:
-    """The weighted shingles of a text."""
+    """The shingles of a text with their weights and their counts."""
 
     def __init__(self, idf: np.ndarray) -> None:
         self.idf, self.shingle = idf, Shingler()
 
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: bytes) -> tuple[np.ndarray, ...]:
         hashes, counts = self.shingle(text)
-        return hashes, counts * self.idf[(hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)]
+        return hashes, counts * self.idf[(hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)], counts
+
 
+def weighted_jaccard(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
+    """Sum of the smaller over sum of the larger weights, the greatest over the kinds of weights given; 0 for two empty sets.
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Sum of the smaller over sum of the larger weights; 0 for two empty sets."""
-    total = float(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64))
-    if not total:
+    A text has its TF-IDF weights and its counts: in a large group of copies idf takes weight off what
+    all share, and texts whose plain shingles agree must not fall below the threshold for that.
+    """
+    if not len(a[0]) or not len(b[0]):
         return 0.0
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
-    return common / (total - common)
+    best = 0.0
+    for x, y in zip(a[1:], b[1:]):
+        common = float(np.minimum(x[i], y[j]).sum(dtype=np.float64))
+        best = max(best, common / (float(x.sum(dtype=np.float64) + y.sum(dtype=np.float64)) - common))
+    return best
 
 
 class Sampler:
@@ -155,17 +172,24 @@ class Sampler:
         drawn = np.zeros(SAMPLES, np.uint64)
         log_weights = np.log(weights).astype(np.float32)
         every = np.arange(SAMPLES)
-        for start in range(0, len(hashes), 2048):
-            mine = hashes[start : start + 2048]
-            bits = (mine[None] ^ self.seeds) * MULTIPLIERS[1]
+        for start in range(0, len(hashes), COLUMNS):
+            mine = hashes[start : start + COLUMNS]
+            bits = mine[None] ^ self.seeds
+            bits *= MULTIPLIERS[1]
             bits ^= bits >> np.uint64(32)
             bits *= MULTIPLIERS[3]
             bits ^= bits >> np.uint64(29)
-            r = self.gamma[bits.astype(np.uint16)]
-            c = self.log_gamma[(bits >> np.uint64(16)).astype(np.uint16)]
-            beta = (bits >> np.uint64(32)).astype(np.uint16).astype(np.float32) * np.float32(1 / 65536)
-            level = np.floor(log_weights[start : start + 2048] / r + beta)
-            cost = c - r * (level - beta + 1)
+            fields = bits.view(np.uint16).reshape(SAMPLES, -1, 4)
+            r = self.gamma[fields[:, :, 0]]
+            level = fields[:, :, 2] * np.float32(1 / 65536)
+            beta = level.copy()
+            level += log_weights[start : start + COLUMNS] / r
+            np.floor(level, out=level)
+            beta -= level
+            beta -= 1
+            beta *= r
+            cost = beta
+            cost += self.log_gamma[fields[:, :, 1]]
             at = cost.argmin(axis=1)
             least = cost[every, at]
             better = least < best
@@ -184,7 +208,7 @@ def sign(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> DataFr
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             drawn = []
             for text in raw_texts(batch.column(2)):
-                hashes, weights = weigh(text)
+                hashes, weights, _ = weigh(text)
                 drawn.append(sample(hashes, weights) if len(hashes) else None)
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.list_(pa.int64()))], ["doc_id", "key", "samples"])
 
@@ -209,11 +233,11 @@ def bands(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("bucket"), "key")
 
 
-def stars(buckets: DataFrame, salt: int) -> DataFrame:
-    """left, right: each member of a bucket of two or more with the bucket's leader."""
-    order = F.struct(F.xxhash64(F.lit(salt), "key").alias("h"), "key")
-    leaders = buckets.groupBy("bucket").agg(F.min(order).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    leaders = written(leaders.select("bucket", F.col("lead.key").alias("leader")), "near-leaders")
+def stars(buckets: DataFrame, salts: Sequence[int]) -> DataFrame:
+    """left, right: each member of a bucket of two or more with the bucket's leaders, one for each salt."""
+    lead = [F.min(F.struct(F.xxhash64(F.lit(salt), "key").alias("h"), "key"))["key"] for salt in salts]
+    leaders = buckets.groupBy("bucket").agg(F.array_distinct(F.array(*lead)).alias("leaders"), F.count("*").alias("n")).where("n > 1")
+    leaders = written(leaders.select("bucket", F.explode("leaders").alias("leader")), "near-leaders")
     return buckets.join(leaders, "bucket").where("key <> leader").select(F.col("leader").alias("left"), F.col("key").alias("right"))
 
 
@@ -221,18 +245,28 @@ def one_way(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that share at least LEAST_SHARED samples."""
+    drawn = nodes.select(F.col("key").alias("_k"), F.col("samples").alias("_s"))
+    shown = pairs.join(drawn.alias("a"), F.col("left") == F.col("a._k")).join(drawn.alias("b"), F.col("right") == F.col("b._k"))
+    shared = F.size(F.filter(F.zip_with("a._s", "b._s", lambda x, y: x == y), lambda same: same))
+    return shown.where(shared >= LEAST_SHARED).select("left", "right")
+
+
+def texts_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, text: each wanted text once."""
+    return keyed(docs, id_col, text_col).select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"])
+
+
+def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """left, right, similarity of the pairs at or above the threshold, from the whole texts."""
-    wanted = pairs.select(F.col("left").alias("key")).union(pairs.select(F.col("right").alias("key"))).distinct()
-    texts = keyed(docs, id_col, text_col).select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    texts = written(texts, "near-texts")
     right = texts.select(F.col("key").alias("right"), F.col("text").alias("right_text"))
     left = texts.select(F.col("key").alias("left"), F.col("text").alias("left_text"))
     joined = written(pairs.join(right, "right"), "near-sides").join(left, "left").select("left", "right", "left_text", "right_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Weigher(idf)
-        last: tuple[bytes, tuple[np.ndarray, np.ndarray]] | None = None
+        last: tuple[bytes, tuple[np.ndarray, ...]] | None = None
         for batch in batches:
             keep, scores = [], []
             for i, (key, a, b) in enumerate(zip(batch.column(0).to_pylist(), raw_texts(batch.column(2)), raw_texts(batch.column(3)))):
@@ -265,36 +299,37 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def second_looks(nodes: DataFrame, buckets: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
-    """Pairs across classes from buckets whose members are in several classes, less those that share too few samples."""
-    known = labels.select(F.col("node").alias("key"), "label")
-    marked = written(buckets.join(known, "key", "left").withColumn("label", F.coalesce("label", "key")), "near-marked")
-    kinds = marked.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b")
+def mixed_only(rows: DataFrame) -> DataFrame:
+    """``rows`` (bucket, key, label) of buckets whose members are in several classes, with the members n."""
+    kinds = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b")
     kinds = written(kinds.select("bucket", "n"), "near-mixed")
-    mixed = marked.join(kinds, "bucket")
-    rows = [F.xxhash64("bucket", F.lit(s), *[F.element_at("samples", s * SPLIT_ROWS + r + 1) for r in range(SPLIT_ROWS)]) for s in range(SAMPLES // SPLIT_ROWS)]
-    large = mixed.where(F.col("n") > SMALL).join(nodes, "key").select(F.explode(F.array(*rows)).alias("bucket"), "key", "label")
-    again = large.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b")
-    again = written(again.select("bucket", "n"), "near-split")
-    large = written(large.join(again, "bucket"), "near-large")
-    small = mixed.where(F.col("n") <= SMALL).union(large.where(F.col("n") <= SMALL).select("bucket", "key", "label", "n"))
-    mates = small.select("bucket", F.col("key").alias("right"), F.col("label").alias("right_label"))
-    near = small.join(mates, "bucket").where("key < right AND label <> right_label").select(F.col("key").alias("left"), "right")
-    far = stars(large.where(F.col("n") > SMALL).select("bucket", "key"), salt)
-    pairs = one_way(near.union(far))
-    labelled = known.select(F.col("key").alias("_k"), F.col("label").alias("_l"))
-    a, b = labelled.alias("a"), labelled.alias("b")
-    apart = pairs.join(a, F.col("left") == F.col("a._k"), "left").join(b, F.col("right") == F.col("b._k"), "left").where(
+    return written(rows.join(kinds, "bucket"), "near-members")
+
+
+def across(pairs: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs of different classes that share enough samples."""
+    known = labels.select(F.col("node").alias("_k"), F.col("label").alias("_l"))
+    apart = one_way(pairs).join(known.alias("a"), F.col("left") == F.col("a._k"), "left").join(known.alias("b"), F.col("right") == F.col("b._k"), "left").where(
         F.coalesce(F.col("a._l"), F.col("left")) != F.coalesce(F.col("b._l"), F.col("right"))
-    ).select("left", "right")
-    drawn = nodes.select(F.col("key").alias("_k"), F.col("samples").alias("_s"))
-    shown = apart.join(drawn.alias("a"), F.col("left") == F.col("a._k")).join(drawn.alias("b"), F.col("right") == F.col("b._k"))
-    shared = F.size(F.filter(F.zip_with("a._s", "b._s", lambda x, y: x == y), lambda same: same))
-    return written(shown.where(shared >= LEAST_SHARED).select("left", "right"), "near-pairs")
+    )
+    return plausible(apart.select("left", "right"), nodes)
+
+
+def labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets whose members are in several classes: bucket, key, label, n."""
+    known = labels.select(F.col("node").alias("_k"), F.col("label").alias("_l"))
+    return mixed_only(buckets.join(known, F.col("key") == F.col("_k"), "left").select("bucket", "key", F.coalesce("_l", "key").alias("label")))
+
+
+def second_looks(mixed: DataFrame) -> DataFrame:
+    """All pairs across classes of the small buckets."""
+    small = mixed.where(F.col("n") <= SMALL)
+    mates = small.select("bucket", F.col("key").alias("right"), F.col("label").alias("right_label"))
+    return small.join(mates, "bucket").where("key < right AND label <> right_label").select(F.col("key").alias("left"), "right")
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 12
+    docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Rows doc_id, class_id, kept, key, one per row of ``docs``: the least id of the document's class, whether the row is the one to keep, the MD5 of its text.
 
@@ -310,20 +345,29 @@ def near_duplicates(
     nodes = signed.where("samples IS NOT NULL").groupBy("key").agg(F.first("samples").alias("samples"))
     nodes = written(nodes, "near-nodes")
     buckets = written(bands(nodes), "near-buckets")
-    tested = written(one_way(stars(buckets, 0)), "near-pairs")
-    links = written(verify(tested, docs, idf, threshold, id_col, text_col), "near-links")
-    for salt in range(1, max_rounds + 1):
-        labels = components(links)
-        pairs = second_looks(nodes, buckets, labels, salt).join(tested, ["left", "right"], "left_anti")
-        pairs = written(pairs, "near-pairs")
+    shared = written(buckets.groupBy("bucket").count().where("count > 1").select("bucket"), "near-shared")
+    buckets = written(buckets.join(shared, "bucket"), "near-buckets")
+    texts = written(texts_of(docs, buckets.select("key").distinct(), id_col, text_col), "near-texts")
+    tested = written(plausible(one_way(stars(buckets, [0])), nodes), "near-pairs")
+    links = written(verify(tested, texts, idf, threshold), "near-links")
+    labels = components(links)
+    mixed = labelled(buckets, labels)
+    offered = [second_looks(mixed)]
+    large, salt = mixed.where(F.col("n") > SMALL).select("bucket", "key"), 1
+    while True:
+        met = stars(large, range(salt, salt + LEADERS))
+        for more in offered:
+            met = met.union(more)
+        offered = []
+        pairs = written(across(met, labels, nodes).join(tested, ["left", "right"], "left_anti"), "near-pairs")
         if not pairs.take(1):
             break
-        found = written(verify(pairs, docs, idf, threshold, id_col, text_col), "near-links")
+        found = written(verify(pairs, texts, idf, threshold), "near-links")
         if not found.take(1):
             break
-        links, tested = links.union(found), tested.union(pairs)
-    else:
+        links, tested, salt = links.union(found), tested.union(pairs), salt + LEADERS
         labels = components(links)
+        large = labelled(large, labels).select("bucket", "key")
     best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     ids = signed.where("samples IS NOT NULL").groupBy("key").agg(F.min(best).alias("best"))
     ids = ids.join(labels, ids["key"] == labels["node"], "left").select("key", "best", F.coalesce("label", "key").alias("label"))

@@ -89,6 +89,43 @@ def test_second_looks_find_what_the_leader_misses(spark):
     assert 5 <= len(leaders) <= 8 and met == {(a, b) for a in leaders for b in range(100, 160) if a != b}
 
 
+def template_pages(n_pages, n_pairs):
+    """Pages of one template, strangers below the threshold, and pages with a twin above it."""
+    rnd = random.Random(12)
+    template = [f"t{k}" for k in range(400)]
+
+    def changed(words, n):
+        words = list(words)
+        for k in rnd.sample(range(len(words)), n):
+            words[k] = f"x{rnd.randrange(10**9)}"
+        return words
+
+    pages = [changed(template, 7) for _ in range(n_pages)]
+    twins = [changed(pages[i], 4) for i in range(n_pairs)]
+    return [(i, " ".join(words)) for i, words in enumerate(pages + twins)]
+
+
+def test_sparse_pairs_among_pages_of_one_template(spark, monkeypatch):
+    """Buckets hold hundreds of strangers; blocks are small, so that pairs lie within and across them."""
+    rows = template_pages(600, 60)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    idf = near_duplicates.inverse_frequencies(*near_duplicates.document_frequencies(table))
+    weigh = near_duplicates.Weigher(idf)
+    sets = [weigh(t.encode()) for _, t in rows]
+    exact = near_duplicates.all_similarities(sets, sets)
+    for i, j in [(0, 1), (0, 600), (5, 605), (3, 3), (599, 7)]:
+        assert exact[i, j] == pytest.approx(near_duplicates.weighted_jaccard(sets[i], sets[j]), abs=near_duplicates.SINGLE / 10)
+    want = list(range(len(rows)))
+    for i, j in zip(*np.nonzero(np.triu(exact, 1) >= near_duplicates.THRESHOLD)):
+        want[find(want, int(j))] = find(want, int(i))
+    want = {i: find(want, i) for i in range(len(rows))}
+    assert 50 <= sum(want[600 + i] == want[i] for i in range(60)) and len(set(want.values())) > 500
+    monkeypatch.setattr(near_duplicates, "BLOCK", 64)
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(table).collect()}
+    assert len(set(got.values())) == len(set(want.values()))
+    assert [got[i] == got[i + 600] for i in range(60)] == [want[i] == want[i + 600] for i in range(60)]
+
+
 def test_duplicate_edges(spark):
     same = "one two three four five six seven"
     rows = [(3, same), (1, same), (1, same), (None, same), (4, None), (4, None), (5, ""), (6, " \n"), (7, "short"), (8, "short"), (9, "short text"), (10, "w " * 20000)]

@@ -10,9 +10,10 @@ all documents, and scaled to 1..2: a passage that many documents share counts ha
 sentence, and a large group of copies doesn't make the few words in which its members differ count
 for more than all they share.
 
-Buckets are never expanded into all pairs. Members are first held against one leader; only buckets
-whose members are still in several classes are looked at again, small ones pair by pair across
-classes, larger ones with LEADERS new leaders a round, until a round links nothing.
+Buckets are never expanded into rows of pairs. Members are first held against one leader; only
+buckets whose members are still in several classes are looked at again, small ones pair by pair
+across classes, larger ones in blocks of BLOCK members, each block against each: a task compares the
+samples of two blocks, and the shingles of all pairs across classes that are left by matrix products.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.chunks import parts, squeeze, unsqueeze
 from tickloom.llm.common import WORD, per_batch, raw_texts, written
 
 WORDS = 5
@@ -37,8 +39,10 @@ SLICE = 256
 SMALL = 24
 #: Of SAMPLES, a pair at the threshold shares at least so many but in one of a million cases.
 LEAST_SHARED = 16
-#: Leaders that the members of a larger bucket meet in a round.
-LEADERS = 8
+#: Members of a block of a larger bucket.
+BLOCK = 256
+#: Shingles of a matrix product, and how far its single precision may be off.
+PRODUCT_COLUMNS, SINGLE = 4096, 1e-4
 #: Shingles drawn from at a time, so that what is in work stays in a core's cache.
 COLUMNS = 512
 
@@ -328,6 +332,137 @@ def second_looks(mixed: DataFrame) -> DataFrame:
     return small.join(mates, "bucket").where("key < right AND label <> right_label").select(F.col("key").alias("left"), "right")
 
 
+class Block:
+    """Members of a bucket: keys, labels, samples (a row each) and texts."""
+
+    def __init__(self, data: bytes) -> None:
+        rows = pa.ipc.open_stream(unsqueeze(data)).read_all().combine_chunks()
+        self.keys, self.labels = rows["key"].to_pylist(), rows["label"].to_pylist()
+        self.samples = np.array(rows["samples"].to_pylist(), np.int64).reshape(-1, SAMPLES)
+        self.texts = raw_texts(rows["text"].combine_chunks())
+
+
+def likely(a: Block, b: Block, same: bool) -> np.ndarray:
+    """Which pairs of two blocks of a bucket to compare: of different classes, sharing enough samples, and meeting in no bucket of an earlier band."""
+    names: dict[bytes, int] = {}
+    left, right = (np.array([names.setdefault(x, len(names)) for x in block.labels]) for block in (a, b))
+    wanted = left[:, None] != right[None]
+    if same:
+        wanted = np.triu(wanted, 1)
+    if not wanted.any():
+        return wanted
+    every = np.concatenate([a.samples, b.samples])
+    agreed = (every == every[0]).all(axis=0).reshape(BANDS, ROWS).all(axis=1)
+    mine = int(agreed.argmax())  # the band of this bucket, or an earlier one that all share as well
+    shared = np.zeros(wanted.shape, np.uint8)
+    for band in range(BANDS):
+        equal = [a.samples[:, None, s] == b.samples[None, :, s] for s in range(band * ROWS, (band + 1) * ROWS)]
+        shared += np.sum(equal, axis=0, dtype=np.uint8)
+        if band < mine:
+            wanted &= ~np.all(equal, axis=0)
+    return wanted & (shared >= LEAST_SHARED)
+
+
+def occurrences(weighed: Sequence[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts, one entry per occurrence of a shingle: hash of shingle and number of the occurrence, idf, text."""
+    hashes, weights, counts = (np.concatenate(x) for x in zip(*weighed))
+    text = np.repeat(np.arange(len(weighed)), [len(x[0]) for x in weighed])
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(hashes, counts) + number.astype(np.uint64) * MULTIPLIERS[4]), np.repeat(weights / counts, counts), np.repeat(text, counts)
+
+
+def all_similarities(left: Sequence[tuple[np.ndarray, ...]], right: Sequence[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """``weighted_jaccard`` of each text with each, to within SINGLE."""
+    sides = [occurrences(left), occurrences(right)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    idf = np.zeros(len(common))
+    found = []
+    for features, weights, text in sides:
+        at = np.searchsorted(common, features)
+        known = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == features) if len(common) else np.zeros(0, np.int64)
+        known = known[np.argsort(at[known], kind="stable")]
+        idf[at[known]] = weights[known]
+        found.append((at[known], text[known]))
+    plain, weighted = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
+    for start in range(0, len(common), PRODUCT_COLUMNS):
+        stop = min(start + PRODUCT_COLUMNS, len(common))
+        x, y = (np.zeros((len(side), stop - start), np.float32) for side in (left, right))
+        for matrix, (at, text) in zip((x, y), found):
+            here = slice(*np.searchsorted(at, [start, stop]))
+            matrix[text[here], at[here] - start] = 1
+        plain += x @ y.T
+        weighted += (x * idf[start:stop].astype(np.float32)) @ y.T
+    best = np.zeros(plain.shape)
+    for kind, both in ((1, weighted), (2, plain)):
+        a, b = (np.array([float(x[kind].sum(dtype=np.float64)) for x in side]) for side in (left, right))
+        best = np.maximum(best, both / (a[:, None] + b[None] - both))
+    return best
+
+
+def links_of_blocks(a: Block, b: Block, same: bool, weigh: Weigher, threshold: float) -> list[tuple[bytes, bytes, float]]:
+    """Links across classes between two blocks, as many as join what all their links join."""
+    wanted = likely(a, b, same)
+    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    if not len(rows):
+        return []
+    left, right = [weigh(a.texts[i]) for i in rows], [weigh(b.texts[j]) for j in columns]
+    near = np.where(wanted[np.ix_(rows, columns)], all_similarities(left, right), 0)
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(near >= threshold - SINGLE)):
+        p, q = root(a.labels[rows[i]]), root(b.labels[columns[j]])
+        if p != q and (score := weighted_jaccard(left[i], right[j])) >= threshold:
+            parent[p] = q
+            links.append((*sorted((a.keys[rows[i]], b.keys[columns[j]])), score))
+    return links
+
+
+def block_links(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """left, right, similarity: what links the classes of the larger buckets, from all pairs across classes.
+
+    A bucket of m blocks makes about m * m / 2 rows, each of two blocks; a block is the first of half of its rows.
+    """
+    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = mixed.where(F.col("n") > SMALL).select("bucket", "key", "label", n_blocks.alias("m"))
+    placed = large.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "key"), F.col("m")).cast("int"))
+    members = placed.join(nodes.select("key", "samples"), "key").join(texts, "key").select("bucket", "block", "key", "label", "samples", "text")
+
+    def gather(table: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        rows = table.select(["key", "label", "samples", "text"])
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        return pa.table([table["bucket"][:1], table["block"][:1], pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())], names=["bucket", "block", "data"])
+
+    blocks = written(members.groupBy("bucket", "block").applyInArrow(gather, "bucket bigint, block int, data binary"), "near-blocks")
+    firsts = large.select("bucket", "m").distinct().select("bucket", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("first"))
+    met = firsts.select("bucket", "m", "first", F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / 2).cast("int"))).alias("step"))
+    met = met.where("2 * step < m OR first < step").select("bucket", "first", F.pmod(F.col("first") + F.col("step"), F.col("m")).alias("second"))
+    one = blocks.select("bucket", F.col("block").alias("first"), F.col("data").alias("a"))
+    other = blocks.select("bucket", F.col("block").alias("second"), F.col("data").alias("b"))
+    sides = met.join(one, ["bucket", "first"]).join(other, ["bucket", "second"])
+    # a row is little data and much work, so that sizes must not decide on the number of tasks
+    sides = sides.repartition(parts(mixed.sparkSession), "bucket", "first", "second").select((F.col("first") == F.col("second")).alias("same"), "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = Weigher(idf)
+        for batch in batches:
+            for same, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                links = links_of_blocks(Block(a.as_py()), Block(b.as_py()), same, weigh, threshold)
+                if links:
+                    left, right, scores = zip(*links)
+                    yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(scores, pa.float64())], ["left", "right", "similarity"])
+
+    return sides.mapInArrow(run, "left binary, right binary, similarity double")
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -352,22 +487,10 @@ def near_duplicates(
     links = written(verify(tested, texts, idf, threshold), "near-links")
     labels = components(links)
     mixed = labelled(buckets, labels)
-    offered = [second_looks(mixed)]
-    large, salt = mixed.where(F.col("n") > SMALL).select("bucket", "key"), 1
-    while True:
-        met = stars(large, range(salt, salt + LEADERS))
-        for more in offered:
-            met = met.union(more)
-        offered = []
-        pairs = written(across(met, labels, nodes).join(tested, ["left", "right"], "left_anti"), "near-pairs")
-        if not pairs.take(1):
-            break
-        found = written(verify(pairs, texts, idf, threshold), "near-links")
-        if not found.take(1):
-            break
-        links, tested, salt = links.union(found), tested.union(pairs), salt + LEADERS
-        labels = components(links)
-        large = labelled(large, labels).select("bucket", "key")
+    pairs = written(across(second_looks(mixed), labels, nodes).join(tested, ["left", "right"], "left_anti"), "near-pairs")
+    found = written(verify(pairs, texts, idf, threshold).union(block_links(mixed, nodes, texts, idf, threshold)), "near-links")
+    if found.take(1):
+        labels = components(links.union(found))
     best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     ids = signed.where("samples IS NOT NULL").groupBy("key").agg(F.min(best).alias("best"))
     ids = ids.join(labels, ids["key"] == labels["node"], "left").select("key", "best", F.coalesce("label", "key").alias("label"))

@@ -146,6 +146,14 @@ def test_weak_supervision_adds_spans_and_spares_others(spark):
     assert not any(added[len(PERSONAL) :])
 
 
+def test_secrets_of_any_length():
+    rnd = random.Random(6)
+    for n in (20, 198, 200, 201, 240, 5000, 300_000):
+        word = "eyJ1" + "".join(rnd.choice("ABCDEFGHIJKLMNabcdefghijklmn0123456789_-") for _ in range(n - 4))
+        text = f"the token {word} is live"
+        assert [c[:3] for c in pii.candidates(text, [])] == [(10, 10 + n, "secret")]
+
+
 def test_reliabilities_prefer_agreement():
     truth = pii.reliabilities([("secret", "1111", 50), ("secret", "0000", 50), ("secret", "----", 5), ("secret", "1-1-", 20)])
     assert truth["secret", "1111"] > 0.95 > 0.05 > truth["secret", "0000"]

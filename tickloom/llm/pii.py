@@ -56,7 +56,7 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:
 WRITTEN = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?(?:\[at\]|\(at\)|\{at\})\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\.)\s?[A-Za-z0-9-]{2,63})+"
 )
-SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,200}+(?![A-Za-z0-9_+/=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+(?![A-Za-z0-9_+/=-])")
 PERSON = re.compile(r"(?<!\w)[A-Z][a-z]{2,15}\x20[A-Z][a-z]{1,20}(?!\w)")
 NATIONAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 GROUPED_PHONE = re.compile(r"\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}")

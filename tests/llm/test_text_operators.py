@@ -154,6 +154,27 @@ def test_secrets_of_any_length():
         assert [c[:3] for c in pii.candidates(text, [])] == [(10, 10 + n, "secret")]
 
 
+def test_names_after_capitalised_words_and_outside_the_gazetteer():
+    for text, name in [
+        ("Dear Anna Smith, hello", "Anna Smith"), ("Contact Maria Lopez", "Maria Lopez"), ("Frau Monika Weber", "Monika Weber"), ("Name John Miller", "John Miller"),
+        ("Yesterday John Miller came", "John Miller"), ("herr José García kam", "José García"), ("Dear Øystein Åsen", "Øystein Åsen"), ("Mr. Kwame O'Neill", "Kwame O'Neill"),
+        ("name: Anna Müller-Lüdenscheidt", "Anna Müller-Lüdenscheidt"), ("said 'John Miller' - he", "John Miller"), ("John Miller's car", "John Miller"),
+        ("the well-John Miller-led team", "John Miller"), ("Dear Jose\u0301 Garci\u0301a", "Jose\u0301 Garci\u0301a"), ("Dear Jean-Luc Picard", "Jean-Luc Picard"),
+    ]:
+        assert [(text[a:b], kind) for a, b, kind, *_ in pii.candidates(text, [])] == [(name, "person")], text
+    assert [c[3] for c in pii.candidates("Frau Monika Weber und herr Kwame Boateng", [])] == ["--11", "---1"]
+    assert pii.candidates("We went to New York on Monday Morning", []) == []
+    pii.candidates("Dear " * 50_000 + "Anna " * 50_000, [])
+
+
+def test_names_outside_the_gazetteer_are_found(spark):
+    rows = [(i, t) for i, t in enumerate((PERSONAL + HARMLESS + ["Dear Monika Weber", "herr Kwame Boateng kam"]) * 20)]
+    table = spark.createDataFrame(rows, "doc_id int, text string")
+    n = len(PERSONAL) + len(HARMLESS)
+    found = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in pii.find_pii(table).where(f"doc_id IN ({n}, {n + 1})").collect()}
+    assert found == {n: [("person", 5, 17)], n + 1: [("person", 5, 18)]}
+
+
 def test_reliabilities_prefer_agreement():
     truth = pii.reliabilities([("secret", "1111", 50), ("secret", "0000", 50), ("secret", "----", 5), ("secret", "1-1-", 20)])
     assert truth["secret", "1111"] > 0.95 > 0.05 > truth["secret", "0000"]

@@ -10,6 +10,7 @@ soft labels train a logistic classifier over the discrete features of a span, wh
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +58,8 @@ WRITTEN = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?(?:\[at\]|\(at\)|\{at\})\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\.)\s?[A-Za-z0-9-]{2,63})+"
 )
 SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+(?![A-Za-z0-9_+/=-])")
-PERSON = re.compile(r"(?<!\w)[A-Z][a-z]{2,15}\x20[A-Z][a-z]{1,20}(?!\w)")
+#: A word that may be capitalised, of any script; accents may follow their letter.
+CAPITALISED = re.compile(r"[^\W\d_a-z](?<!\w.)[\w\u0300-\u036F]*")
 NATIONAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 GROUPED_PHONE = re.compile(r"\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}")
 SPACED = re.compile(r"[^\x20\t\n\r]{20}")
@@ -120,6 +122,40 @@ def bucket(n: int) -> str:
     return next(str(b) for b in (4, 8, 10, 12, 16, 24, 40, 10**9) if n <= b)
 
 
+def people(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, first word is in the gazetteer) of pairs of capitalised words, a space between them, that may be a name.
+
+    Pairs overlap as proposed, from the gazetteer or after a person cue; a cue itself is no name. Of
+    overlapping pairs those with a known first name come first, then the earlier.
+    """
+    words: list[tuple[int, int]] = []
+    for m in CAPITALISED.finditer(text):
+        if not m[0][0].isupper() or any(c.isdigit() or c == "_" for c in m[0]):
+            continue
+        if words and m.start() == words[-1][1] + 1 and text[words[-1][1]] in "'’-":
+            words[-1] = words[-1][0], m.end()  # O'Neill, Jean-Pierre
+        else:
+            words.append((m.start(), m.end()))
+    pairs = []
+    for (start, stop), (second, end) in zip(words, words[1:]):
+        if second != stop + 1 or text[stop] != " ":
+            continue
+        first = text[start:stop]
+        if first.isupper() or text[second:end].isupper() or first.lower() in CUES["person"]:
+            continue
+        known = unicodedata.normalize("NFC", first) in FIRST_NAMES
+        if known or context_vote(text, start, "person") == "1":
+            pairs.append((start, end, known))
+    chosen: list[tuple[int, int, bool]] = []
+    for i, (start, end, known) in enumerate(pairs):
+        if chosen and start < chosen[-1][1]:
+            continue
+        if not known and i + 1 < len(pairs) and pairs[i + 1][0] < end and pairs[i + 1][2]:
+            continue
+        chosen.append((start, end, known))
+    return chosen
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, votes, shape) of possible further spans; none overlaps a base span or an earlier candidate."""
     proposals: list[tuple[int, int, str, str, str]] = []
@@ -147,10 +183,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
                 varied = len(set(word)) >= 0.4 * min(len(word), 32)
                 known = word.startswith(KEY_PREFIXES)
                 proposals.append((m.start(), m.end(), "secret", ("1" if kinds == 3 else "0") + "01"[varied] + ("1" if known else "-"), bucket(len(word))))
-    for m in PERSON.finditer(text):
-        first = m[0].split(" ")[0]
-        if first in FIRST_NAMES:
-            proposals.append((m.start(), m.end(), "person", "--1", bucket(len(m[0]))))
+    proposals += [(start, end, "person", "--" + ("1" if known else "-"), bucket(end - start)) for start, end, known in people(text)]
     if not proposals:
         return []
     taken = [(a, b) for a, b, _ in base]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, licenses
+from tickloom.llm import chat, licenses, sharding
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,6 +203,47 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents").withColumn("path", path))
 
 
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from tickloom.llm.spelling import spelling_forms
+
+    return spelling_forms(table(spark, folder, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from tickloom.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"))
+
+
+OP13_SQL = f"""
+WITH divided AS (
+  SELECT list(crc ORDER BY i) AS remainders FROM (
+    SELECT i, list_reduce(list_prepend(i, [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS crc FROM range(256) t(i))
+), sized AS (
+  SELECT doc_id, source, coalesce(text, '') AS body, strlen(coalesce(text, '')) + 1 AS size,
+    ('0x' || substr(md5('{sharding.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, {sharding.KEY_DIGITS}))::BIGINT AS shuffled FROM documents
+), summed AS (
+  SELECT doc_id, source, size, shuffled, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * size - 1, 2), lambda i: ('0x' || substr(hex(encode(body)), i, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, remainders[xor(c % 256, b) + 1])), 4294967295) AS text_crc32 FROM sized, divided
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY shuffled, doc_id NULLS FIRST, text_crc32, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS n,
+    ('0x' || substr(md5('{sharding.SEED}:' || coalesce(source, '')), 1, {sharding.OFFSET_DIGITS}))::BIGINT / {float(16**sharding.OFFSET_DIGITS)!r} AS u FROM summed
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY (r + u) / n, source NULLS FIRST, r) - 1 AS place, count(*) OVER () AS total FROM ranked
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * {sharding.SHARDS} // total)::INT AS shard,
+  (place - (place * {sharding.SHARDS} // total * total + {sharding.SHARDS - 1}) // {sharding.SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard FROM placed
+"""
+
+
+@query("op13_interleaved_shards", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.stratified_shards(table(spark, folder, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +102,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     spans = [(a, b, "email") for a, b in emails(text)] if "@" in text else []
     if DIGIT.search(text):
         if "." in text:
-            spans += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
+            spans += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(x := part.lstrip("0")) < 4 and int(x or "0") <= 255 for part in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -186,10 +188,12 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     proposals += [(start, end, "person", "--" + ("1" if known else "-"), bucket(end - start)) for start, end, known in people(text)]
     if not proposals:
         return []
-    taken = [(a, b) for a, b, _ in base]
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, b, _ in base), max))  # the furthest end of the base spans so far
     out, last = [], 0
     for start, end, kind, votes, shape in sorted(proposals, key=lambda p: (p[0], RANK[p[2]])):
-        if start >= last and not any(a < end and start < b for a, b in taken):
+        before = bisect_left(starts, end)
+        if start >= last and not (before and start < reach[before - 1]):
             out.append((start, end, kind, votes + context_vote(text, start, kind), shape))
             last = end
     return out

@@ -34,7 +34,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_find_pii")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    from tickloom.llm.pii import BASE_KINDS, find_pii
+    from tickloom.llm.pii import ADDED_KINDS, BASE_KINDS, find_pii
 
     found = find_pii(table(spark, folder, "documents"))
 
@@ -42,11 +42,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         one = F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
         return F.array_join(one, ",")
 
-    def number(kind: str):
-        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    def number(kind: str, column: str):
+        return F.size(F.filter(column, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [number(kind) for kind in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(shown("base_spans"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+    base, added = [number(kind, "base_spans") for kind in BASE_KINDS], [number(kind, "spans") for kind in ADDED_KINDS]
+    more = (F.size("spans") - F.size("base_spans")).cast("long").alias("n_added")
+    return found.select("doc_id", *base, F.sha2(shown("base_spans"), 256).alias("base_sha256"), shown("spans").alias("spans"), more, *added)
 
 
 @query("op8_quality_rules")

@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.chunks import answer, ask, meet, pack, parts, squeeze, unpack, unsqueeze
+from tickloom.llm.common import tidy
 
 #: Rows decoded at a time, which bounds what a worker holds.
 DECODE_ROWS = 500
+#: Bytes of text in a chunk; several times that is held while its ids are put in place.
+CHUNK_BYTES = 6_000_000
 
 
 def number_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -51,7 +54,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         definition = file.read()
     n_parts = parts(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = pack(source)
+    chunks = pack(source, CHUNK_BYTES)
 
     def request(data: bytes) -> Iterator[tuple[int, bytes]]:
         words, _, _ = number_words(unpack(data)[1])
@@ -124,8 +127,10 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_co
 
     The ids of a batch are joined with the table of pieces (whose size the vocabulary bounds), then the
     pieces of a row with single spaces. Ids without a piece are left out; no ids, or null, give an empty text.
+    A column that already has the name ``out_col`` is replaced.
     """
     table = pieces(tokenizer_path)
+    encoded = encoded.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = pa.array(table, pa.string())
@@ -146,4 +151,4 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_co
                 yield work(batch.slice(start, DECODE_ROWS))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{fields}, `{out_col}` string")
+    return encoded.mapInArrow(tidy(run), f"{fields}, `{out_col}` string")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import raw_texts
+from tickloom.llm.common import raw_texts, tidy
 from tickloom.session import scratch_path
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
@@ -72,7 +72,7 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             yield flush()
 
     path, name = scratch_path(spark, "chunks"), f"chunks_{uuid.uuid4().hex}"
-    packed = docs.mapInArrow(work, "chunk bigint, data binary")
+    packed = docs.mapInArrow(tidy(work), "chunk bigint, data binary")
     packed.write.format("parquet").option("path", path).bucketBy(2 * parts(spark), "chunk").saveAsTable(name)
     return spark.table(name)
 
@@ -96,7 +96,7 @@ def ask(chunks: DataFrame, request: Callable[[bytes], Iterator[tuple[int, bytes]
                         [pa.array(part, pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array(payload, pa.binary())], ["part", "chunk", "payload"]
                     )
 
-    return chunks.select("chunk", "data").mapInArrow(work, "part int, chunk bigint, payload binary")
+    return chunks.select("chunk", "data").mapInArrow(tidy(work), "part int, chunk bigint, payload binary")
 
 
 def answer(requests: DataFrame, resolve: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
@@ -106,7 +106,7 @@ def answer(requests: DataFrame, resolve: Callable[[list[bytes]], list[bytes]]) -
         replies = resolve(table["payload"].to_pylist())
         return pa.table([table["part"], table["chunk"], pa.array(replies, pa.binary())], names=["part", "chunk", "payload"])
 
-    return requests.groupBy("part").applyInArrow(work, "part int, chunk bigint, payload binary")
+    return requests.groupBy("part").applyInArrow(tidy(work), "part int, chunk bigint, payload binary")
 
 
 def meet(chunks: DataFrame, answers: DataFrame, finish: Callable[[bytes, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
@@ -117,4 +117,4 @@ def meet(chunks: DataFrame, answers: DataFrame, finish: Callable[[bytes, dict[in
         made = [finish(data, replies) for data in left["data"].to_pylist()]
         return pa.concat_tables(made)
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(work), schema)

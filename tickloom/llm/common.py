@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +32,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(work: Callable):
+    """A function for Arrow batches or tables that hands freed memory back when it ends.
+
+    Python workers are kept for later tasks, and what an earlier one had freed but not returned counts
+    against the executor as long as the worker lives.
+    """
+
+    def give_back() -> None:
+        import ctypes
+        import gc
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library has it
+            pass
+
+    if inspect.isgeneratorfunction(work):
+
+        def stream(batches):
+            try:
+                yield from work(batches)
+            finally:
+                give_back()
+
+        return stream
+
+    def whole(*tables):
+        try:
+            return work(*tables)
+        finally:
+            give_back()
+
+    # grouped functions are told apart by their number of arguments
+    return (lambda table: whole(table)) if len(inspect.signature(work).parameters) == 1 else (lambda left, right: whole(left, right))
+
+
 def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """A ``mapInArrow`` function that turns each batch into one batch."""
 
@@ -39,7 +78,7 @@ def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
             if batch.num_rows and (out := work(batch)) is not None:
                 yield out
 
-    return run
+    return tidy(run)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

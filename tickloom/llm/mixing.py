@@ -161,12 +161,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     A document stands once for each pass that takes it, and not at all if none does. Where a source's
     target ends inside a document, its text is cut to the words taken, joined by single spaces.
     """
-    key = F.md5(F.concat_ws("\u0000", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, source_col, text_col)]).cast("binary"))
-    keyed = docs.withColumn("_key", F.concat(key, F.col(source_col).isNull().cast("string")))
-    _, pieces = mix_sources(keyed, id_col="_key", text_col=text_col, source_col=source_col, **how)
-    drawn = pieces.groupBy("row_no", F.col("doc_id").alias("_drawn"), "epoch").agg(F.min("first_word").alias("_first"), F.sum("n_words").alias("_n"))
-    drawn = written(drawn.drop("row_no", "epoch"), "mixing-drawn")
-    joined = keyed.dropDuplicates(["_key"]).join(drawn, F.col("_key") == F.col("_drawn"))
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), (F.col("_first") + 1).cast("int"), F.col("_n").cast("int"))
-    cut = F.when(F.col("_n") < word_count(F.col(text_col)), F.array_join(words, " ")).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    nested = docs.select(F.struct("*").alias("row"))
+    # rows with this key are equal in every column, so that it doesn't matter which of them is drawn
+    told = F.to_json("row", {"ignoreNullFields": "false"})
+    text = F.col("row")[text_col].cast("string")
+    keyed = nested.select("row", F.md5(told.cast("binary")).alias("key"), text.alias("text"), F.col("row")[source_col].alias("source"))
+    _, pieces = mix_sources(keyed, id_col="key", text_col="text", source_col="source", **how)
+    drawn = pieces.groupBy("row_no", F.col("doc_id").alias("drawn"), "epoch").agg(F.min("first_word").alias("first"), F.sum("n_words").alias("n"))
+    drawn = written(drawn.select("drawn", "first", "n"), "mixing-drawn")
+    joined = keyed.dropDuplicates(["key"]).join(drawn, F.col("key") == F.col("drawn"))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("first") + 1).cast("int"), F.col("n").cast("int"))
+    cut = F.when(F.col("n") < word_count(F.col("text")), F.array_join(words, " ")).otherwise(F.col("text"))
+    kind = docs.schema[text_col].dataType
+    return joined.select(F.col("row").withField(f"`{text_col}`", cut.cast(kind)).alias("row")).select("row.*")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.chunks import parts, squeeze, unsqueeze
-from tickloom.llm.common import WORD, per_batch, raw_texts, written
+from tickloom.llm.common import WORD, per_batch, raw_texts, tidy, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -68,7 +68,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         codes = []
         for w in words:
@@ -117,7 +117,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         return pa.table([table["slice"][:1], pa.array([total.tobytes()], pa.binary()), pa.array([sum(table["docs"].to_pylist())], pa.int64())], names=["slice", "counts", "docs"])
 
     schema = "slice int, counts binary, docs bigint"
-    summed = docs.select(F.col(text_col).cast("string")).mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).toArrow()
+    summed = docs.select(F.col(text_col).cast("string")).mapInArrow(tidy(count), schema).groupBy("slice").applyInArrow(add, schema).toArrow()
     frequencies = np.zeros(IDF_BUCKETS, np.int64)
     for number, counts in zip(summed["slice"].to_pylist(), summed["counts"].to_pylist()):
         frequencies[number * SLICE : (number + 1) * SLICE] = np.frombuffer(counts, np.int64)
@@ -220,7 +220,7 @@ def sign(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> DataFr
 
     source = keyed(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, key binary, samples array<bigint>")
+    return source.mapInArrow(tidy(run), f"doc_id {kind}, key binary, samples array<bigint>")
 
 
 def keyed_by(text: Column) -> Column:
@@ -283,7 +283,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
             if keep:
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(keep)) for c in (0, 1)], pa.array(scores, pa.float64())], ["left", "right", "similarity"])
 
-    return joined.mapInArrow(run, "left binary, right binary, similarity double")
+    return joined.mapInArrow(tidy(run), "left binary, right binary, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -460,7 +460,7 @@ def block_links(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.nd
                     left, right, scores = zip(*links)
                     yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(scores, pa.float64())], ["left", "right", "similarity"])
 
-    return sides.mapInArrow(run, "left binary, right binary, similarity double")
+    return sides.mapInArrow(tidy(run), "left binary, right binary, similarity double")
 
 
 def near_duplicates(
@@ -506,11 +506,11 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps."""
+    """The rows of ``docs``, all columns, whatever their names, that ``near_duplicates`` keeps."""
     found = near_duplicates(docs, threshold, id_col, text_col)
-    stay = written(found.where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "near-stay")
-    worded = F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))
-    blank = docs.where(~worded)
-    marked = docs.where(worded).withColumn("_key", keyed_by(F.col(text_col)))
-    kept = marked.alias("d").join(stay.alias("s"), (F.col("d._key") == F.col("s._key")) & F.col(f"d.{id_col}").eqNullSafe(F.col("s._id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_key"]).drop("_key").union(blank)
+    stay = written(found.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("key").alias("stay_key")), "near-stay")
+    nested = docs.select(F.struct("*").alias("row"))
+    text = F.col("row")[text_col].cast("string")
+    marked = nested.withColumns({"id": F.col("row")[id_col], "key": keyed_by(text), "worded": F.coalesce(text.rlike(WORD), F.lit(False))})
+    kept = marked.where("worded").join(stay, (F.col("key") == F.col("stay_key")) & F.col("id").eqNullSafe(F.col("stay_id")), "left_semi")
+    return kept.dropDuplicates(["id", "key"]).select("row.*").union(marked.where("NOT worded").select("row.*"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import per_batch, raw_texts, written
+from tickloom.llm.common import per_batch, raw_texts, tidy, written
 
 #: Labelled documents used at most, of each class: three quarters train, one quarter calibrates.
 MAX_LABELLED = 4000
@@ -250,4 +250,4 @@ def keep_good(
                 good = model.scores(*featurize(raw_texts(text), lang.to_pylist(), source.to_pylist()))[2] >= threshold
                 yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

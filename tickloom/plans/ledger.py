@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars
+from tickloom.operators.passage import FirstPassage, next_true
 from tickloom.operators.scans import AFTER, BEFORE, FROM, UP_TO, in_blocks, with_carry
 
 RUN = ("run_id", "attempt_id")
@@ -102,15 +105,18 @@ def judge(held: DataFrame, rules: Sequence) -> DataFrame:
         elif isinstance(rule, TimeStop):
             hit = (F.col("holding_days") >= rule.holding_days) & (gain < rule.max_return)
         else:
-            value = F.col(rule.metric)
-            missing = missing | (close.isNotNull() & value.isNull())
-            hit = close < value
-            if rule.operator == "cross_below_metric":
-                hit = hit & (F.col("_prev_close") >= F.col(f"_prev_{rule.metric}"))
+            missing = missing | (close.isNotNull() & F.col(rule.metric).isNull())
+            hit = indicator_hit(rule)
         reason = F.when(hit & gain.isNotNull(), REASONS[type(rule)]).otherwise(reason)
     return held.select("*", reason.alias("reason"), missing.alias("missing"))
 
 
+def indicator_hit(rule: IndicatorStop) -> Column:
+    """Whether the close is (``close_below_metric``) or falls (``cross_below_metric``) under the metric."""
+    hit = indicator_close() < F.col(rule.metric)
+    return hit & (F.col("_prev_close") >= F.col(f"_prev_{rule.metric}")) if rule.operator == "cross_below_metric" else hit
+
+
 def first_trigger() -> list[Column]:
     when = F.when(F.col("reason").isNotNull(), F.col("trade_date"))
     return [F.min(when).alias("trigger_date"), F.min_by("reason", when).alias("exit_reason")]
@@ -119,49 +125,124 @@ def first_trigger() -> list[Column]:
 # --- uncapped trades -------------------------------------------------------------------------
 
 
-def signal_lots(
-    signals: DataFrame, bars: DataFrame, calendar: DataFrame, rules: Sequence, slippage_bps: float = scalars.FeeConfig.slippage_bps
+EXIT = "entry_price double, exit_date date, exit_price double, exit_reason string, holding_days int"
+
+
+def entry_exits(
+    entries: DataFrame, bars: DataFrame, calendar: DataFrame, settings: Mapping[str, Sequence], slippage_bps: float = scalars.FeeConfig.slippage_bps
+) -> DataFrame:
+    """What becomes of a lot opened at each entry under each setting, a list of exit rules.
+
+    ``entries`` has distinct security_code and entry_date; those without an open on that day have no
+    row. Of the rules of a setting the first to be triggered decides, on one day the first in the list.
+    Price rules are first passages of the close, asked once per entry and rule; indicator rules
+    don't depend on the entry and are the next flagged bar. Entries and bars of a security are
+    bounded by the calendar, and settings are data, so the plan is the same for any number of them.
+    """
+    rules = list(dict.fromkeys(rule for listed in settings.values() for rule in listed))
+    flagged = [rule for rule in rules if isinstance(rule, IndicatorStop)]
+    gain = F.col("close_price_backward_adj").isNotNull()
+    numbered = with_previous_bar(bars, calendar, rules).join(calendar.select("trade_date", "day_no"), "trade_date").select(
+        "security_code", "trade_date", F.col("day_no").cast("int").alias("day_no"), F.col("open_price_backward_adj").alias("open"),
+        F.col("close_price_backward_adj").alias("close"), *[F.coalesce(indicator_hit(rule) & gain, F.lit(False)).alias(f"hit_{i}") for i, rule in enumerate(flagged)],
+    )
+    listed = {name: [rules.index(rule) for rule in own] for name, own in settings.items()}
+    slipped = 1 + slippage_bps / 10000.0
+
+    def work(asked: pa.Table, days: pa.Table) -> pa.Table:
+        days = days.sort_by("trade_date")
+        day, no = days["trade_date"].cast(pa.int32()).to_numpy(), days["day_no"].to_numpy()
+        opens, closes = (days[c].to_numpy().astype(float) for c in ("open", "close"))
+        opened, count = ~np.isnan(opens), len(day)
+        entry = np.sort(asked["entry_date"].cast(pa.int32()).to_numpy())
+        at = np.searchsorted(day, entry)
+        at = at[(at < count) & opened[np.minimum(at, max(count - 1, 0))] & (day[np.minimum(at, max(count - 1, 0))] == entry)] if count else at[:0]
+        price = opens[at] * slipped
+        low, high = FirstPassage(closes, True), FirstPassage(closes, False)
+
+        def trigger(rule) -> np.ndarray:
+            if isinstance(rule, StopLoss):
+                return low.after(at, lambda close: close / price - 1 <= -rule.loss)
+            if isinstance(rule, TakeProfit):
+                return high.after(at, lambda close: close / price - 1 >= rule.profit)
+            if isinstance(rule, TimeStop):
+                return low.after(np.maximum(at, np.searchsorted(no, no[at] + rule.holding_days)), lambda close: close / price - 1 < rule.max_return)
+            return next_true(days[f"hit_{flagged.index(rule)}"].to_numpy(zero_copy_only=False))[at]
+
+        triggers = [trigger(rule) for rule in rules]
+        following = next_true(opened)
+        parts = []
+        for name, own in listed.items():
+            first = np.full(len(at), count)
+            reason = np.full(len(at), -1)
+            for i in reversed(own):
+                sooner = triggers[i] <= first
+                first, reason = np.where(sooner, triggers[i], first), np.where(sooner, i, reason)
+            out = following[np.minimum(first + 1, count)]
+            ended = out < count  # a trigger without a later open leaves the lot open
+            gone = np.minimum(out, max(count - 1, 0))
+            parts.append(pa.table({
+                "security_code": pa.array([asked["security_code"][0].as_py()] * len(at), pa.string()), "entry_date": pa.array(day[at]).cast(pa.date32()),
+                "setting_id": pa.array([name] * len(at), pa.string()), "entry_price": pa.array(opens[at]),
+                "exit_date": pa.array(day[gone], mask=~ended).cast(pa.date32()), "exit_price": pa.array(opens[gone], mask=~ended),
+                "exit_reason": pa.array([REASONS[type(rules[i])] if e else None for i, e in zip(reason, ended, strict=True)], pa.string()),
+                "holding_days": pa.array((no[gone] - no[at]).astype(np.int32), mask=~ended),
+            }))
+        return pa.concat_tables(parts)
+
+    by_security = entries.select("security_code", "entry_date").groupBy("security_code").cogroup(numbered.groupBy("security_code"))
+    return by_security.applyInArrow(lambda asked, days: work(asked, days) if asked.num_rows else empty_exits(), f"security_code string, entry_date date, setting_id string, {EXIT}")
+
+
+def empty_exits() -> pa.Table:
+    names = ["security_code", "entry_date", "setting_id", "entry_price", "exit_date", "exit_price", "exit_reason", "holding_days"]
+    kinds = [pa.string(), pa.date32(), pa.string(), pa.float64(), pa.date32(), pa.float64(), pa.string(), pa.int32()]
+    return pa.table([pa.array([], k) for k in kinds], names=names)
+
+
+def without_overlap(lots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lots of each key in order of entry, without those that start before the end of the lot taken before.
+
+    One pass over sorted rows that remembers the key and the day it is free again. A security has
+    one entry per day, so that keys are bounded by the calendar.
+    """
+    never = 2**31 - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, free = None, 0
+        for batch in batches:
+            named = zip(*[batch.column(c).to_pylist() for c in keys], strict=True)
+            starts = batch.column("entry_date").cast(pa.int32()).to_pylist()
+            ends = batch.column("exit_date").cast(pa.int32()).fill_null(never).to_pylist()
+            taken = []
+            for i, (key, start, end) in enumerate(zip(named, starts, ends, strict=True)):
+                if key != last or start >= free:
+                    taken.append(i)
+                    last, free = key, end
+            yield batch.take(pa.array(taken, pa.int32()))
+
+    return lots.repartition(*keys).sortWithinPartitions(*keys, "entry_date").mapInArrow(run, lots.schema)
+
+
+def setting_lots(
+    signals: DataFrame, bars: DataFrame, calendar: DataFrame, settings: Mapping[str, Sequence], slippage_bps: float = scalars.FeeConfig.slippage_bps
 ) -> DataFrame:
-    """Lots of an uncapped portfolio: a signal opens one at the next open unless one is open.
+    """Lots of an uncapped portfolio per run and setting: a signal opens one at the next open unless one is open.
 
-    ``signals`` carry ``execution_date``. Every signal with an open on that day is a candidate; one
-    join to the bars of its security finds its first exit trigger, measured against the slipped entry
-    price, and the open after it. Of the candidates of a run and security, in order of date, those are
-    lots that start when the lot before has ended. A security has at most one bar per trading day and
-    a run at most one candidate per security and day, so each candidate's join is bounded by the calendar.
+    ``signals`` carry ``execution_date``. Exits are found once per security and day, whatever
+    number of runs have a signal there; a security has at most one bar per trading day.
     """
     entries = signals.where("execution_date is not null").select(*SERIES, F.col("execution_date").alias("entry_date")).distinct()
-    ahead = Window.partitionBy("security_code").orderBy("trade_date").rowsBetween(*AFTER)
-    opened = F.col("open_price_backward_adj").isNotNull()
-    numbered = with_previous_bar(bars, calendar, rules).join(calendar.select("trade_date", "day_no"), "trade_date")
-    numbered = numbered.withColumn("_next", F.first(
-        F.when(opened, F.struct(F.col("trade_date").alias("exit_date"), F.col("open_price_backward_adj").alias("exit_price"), F.col("day_no").alias("exit_no"))),
-        ignorenulls=True,
-    ).over(ahead))
-    first = numbered.where(opened).select(
-        "security_code", F.col("trade_date").alias("entry_date"), F.col("open_price_backward_adj").alias("reference_price"), F.col("day_no").alias("entry_no")
-    )
-    candidates = entries.join(first, ["security_code", "entry_date"]).withColumn("entry_price", F.col("reference_price") * (1 + slippage_bps / 10000.0))
-    held = candidates.join(numbered, "security_code").where("trade_date >= entry_date").withColumn("holding_days", F.col("day_no") - F.col("entry_no"))
-    when = F.when(F.col("reason").isNotNull(), F.col("trade_date"))
-    exits = judge(held, rules).groupBy(*SERIES, "entry_date", "reference_price", "entry_no").agg(
-        F.min_by("reason", when).alias("reason"), F.min_by("_next", when).alias("next")
-    )
-    # A trigger without a later open leaves the lot open.
-    out = F.col("next.exit_date")
-    lot = F.struct(
-        "entry_date", F.col("reference_price").alias("entry_price"), out.alias("exit_date"), F.col("next.exit_price").alias("exit_price"),
-        F.when(out.isNotNull(), F.col("reason")).alias("exit_reason"), (F.col("next.exit_no") - F.col("entry_no")).cast("int").alias("holding_days"),
-    )
-    ordered = exits.groupBy(*SERIES).agg(F.sort_array(F.collect_list(lot)).alias("c"))
-    start = F.struct(F.lit("0001-01-01").cast("date").alias("free"), F.filter("c", lambda x: F.lit(False)).alias("lots"))
+    exits = entry_exits(entries.select("security_code", "entry_date").distinct(), bars, calendar, settings, slippage_bps)
+    candidates = entries.join(exits, ["security_code", "entry_date"]).select(*SERIES, "setting_id", "entry_date", *[c.split()[0] for c in EXIT.split(", ")])
+    return without_overlap(candidates, (*SERIES, "setting_id"))
 
-    def take(state: Column, one: Column) -> Column:
-        taken = F.struct(F.coalesce(one["exit_date"], F.lit("9999-12-31").cast("date")).alias("free"), F.concat(state["lots"], F.array(one)).alias("lots"))
-        return F.when(one["entry_date"] >= state["free"], taken).otherwise(state)
 
-    chosen = ordered.select(*SERIES, F.explode(F.aggregate("c", start, take)["lots"]).alias("lot"))
-    return chosen.select(*SERIES, "lot.*")
+def signal_lots(
+    signals: DataFrame, bars: DataFrame, calendar: DataFrame, rules: Sequence, slippage_bps: float = scalars.FeeConfig.slippage_bps
+) -> DataFrame:
+    """Lots of ``setting_lots`` under one list of exit rules."""
+    return setting_lots(signals, bars, calendar, {"": tuple(rules)}, slippage_bps).drop("setting_id")
 
 
 def signal_trades(
@@ -169,9 +250,12 @@ def signal_trades(
     fees: scalars.FeeConfig = scalars.FeeConfig(), notional: float = 1_000_000.0, lot_size: int = 100,
 ) -> DataFrame:
     """Buy and sell trades of the uncapped lots with costs."""
-    lots = signal_lots(signals, bars, calendar, rules, fees.slippage_bps).withColumn(
-        "quantity", scalars.floor_to_lot(F.lit(notional) / F.col("entry_price"), lot_size)
-    ).where("quantity > 0")
+    return lot_trades(signal_lots(signals, bars, calendar, rules, fees.slippage_bps), fees, notional, lot_size)
+
+
+def lot_trades(lots: DataFrame, fees: scalars.FeeConfig = scalars.FeeConfig(), notional: float = 1_000_000.0, lot_size: int = 100) -> DataFrame:
+    """A buy and, once it is closed, a sell for each lot that ``notional`` buys at least one board lot of."""
+    lots = lots.withColumn("quantity", scalars.floor_to_lot(F.lit(notional) / F.col("entry_price"), lot_size)).where("quantity > 0")
     legs = F.explode(F.array(
         F.struct(F.lit("buy").alias("side"), F.col("entry_date").alias("trade_date"), F.col("entry_price").alias("reference_price"), F.lit("signal").alias("reason")),
         F.struct(F.lit("sell").alias("side"), F.col("exit_date").alias("trade_date"), F.col("exit_price").alias("reference_price"), F.col("exit_reason").alias("reason")),

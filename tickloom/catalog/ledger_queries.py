@@ -10,7 +10,7 @@ from tickloom.catalog.table_queries import TARGETS, targets
 from tickloom.catalog.tables import define
 from tickloom.functions import scalars
 from tickloom.operators import indicators, tables
-from tickloom.plans import ledger, performance, quotes, reports, screening
+from tickloom.plans import ledger, performance, quotes, reports, rule_tables, screening, search
 from tickloom.sources import market
 
 CASH = 500_000_000.0
@@ -485,11 +485,76 @@ def signal_timeline(spark, folder):
 
 @query("X28_search", """
 SELECT 'strict' AS run_id, * FROM pool WHERE rank_no <= 1 UNION ALL SELECT 'wide', * FROM pool WHERE rank_no <= 3""", ["pool"], ("score",))
-def search(spark, folder):
+def search_signals(spark, folder):
     from dataclasses import replace
 
     grid = {"strict": replace(RULE, top_n=1), "wide": replace(RULE, top_n=3)}
-    return screening.search(signal_base(spark, folder), grid, CATALOG, *RANGE)
+    return search.signals_of(signal_base(spark, folder), rule_tables.tables_of(spark, grid, CATALOG), *RANGE)
+
+
+SETTINGS = {
+    "fixed": (ledger.StopLoss(0.3), ledger.TakeProfit(0.5)),
+    "timed": (ledger.TimeStop(30, 0.05), ledger.TakeProfit(0.5)),
+    "average": (ledger.IndicatorStop("price_ma_20", "cross_below_metric"),),
+}
+define("setting_exits", f"""
+SELECT security_code, entry_date, setting_id, open_price, arg_min(next_date, trade_date) FILTER (hit) AS exit_date, arg_min(next_open, trade_date) FILTER (hit) AS exit_price FROM (
+  SELECT e.security_code, e.trade_date AS entry_date, e.open_price, s.setting_id, h.trade_date, h.next_date, h.next_open, coalesce(CASE s.setting_id
+    WHEN 'fixed' THEN h.close_price / (e.open_price * {1 + FEES.slippage_bps / 10000!r}) - 1 <= -0.3e0 OR h.close_price / (e.open_price * {1 + FEES.slippage_bps / 10000!r}) - 1 >= 0.5e0
+    WHEN 'timed' THEN (h.day_no - e.day_no >= 30 AND h.close_price / (e.open_price * {1 + FEES.slippage_bps / 10000!r}) - 1 < 0.05e0)
+      OR h.close_price / (e.open_price * {1 + FEES.slippage_bps / 10000!r}) - 1 >= 0.5e0
+    ELSE h.close_price < h.ma AND h.prev_close >= h.prev_ma END, false) AS hit
+  FROM (SELECT DISTINCT p.security_code, d.next_trade_date FROM pool p JOIN trade_days d ON d.trade_date = p.trade_date WHERE p.rank_no <= 3) a
+  JOIN exit_bars e ON e.security_code = a.security_code AND e.trade_date = a.next_trade_date
+  JOIN exit_bars h ON h.security_code = e.security_code AND h.trade_date >= e.trade_date, (VALUES ('fixed'), ('timed'), ('average')) s(setting_id)) GROUP BY ALL""",
+    ["pool", "trade_days", "exit_bars"])
+
+
+@query("X28_search_settings", f"""
+WITH RECURSIVE options AS (
+  SELECT v.run_id, x.* FROM pool p JOIN (VALUES ('strict', 1), ('wide', 3)) v(run_id, top_n) ON p.rank_no <= v.top_n
+  JOIN trade_days d ON d.trade_date = p.trade_date JOIN setting_exits x ON x.security_code = p.security_code AND x.entry_date = d.next_trade_date
+), following AS (
+  SELECT e.run_id, e.setting_id, e.security_code, e.entry_date, min(n.entry_date) AS next_entry FROM options e
+  JOIN options n ON n.run_id = e.run_id AND n.setting_id = e.setting_id AND n.security_code = e.security_code AND n.entry_date >= e.exit_date GROUP BY ALL
+), chain AS (
+  SELECT run_id, setting_id, security_code, min(entry_date) AS entry_date FROM options GROUP BY ALL
+  UNION ALL SELECT c.run_id, c.setting_id, c.security_code, f.next_entry FROM chain c JOIN following f USING (run_id, setting_id, security_code, entry_date)
+), held_lots AS (
+  SELECT o.*, floor(1000000e0 / open_price / 100) * 100 AS quantity FROM options o JOIN chain USING (run_id, setting_id, security_code, entry_date)
+), legs AS (
+  SELECT run_id, setting_id, entry_date AS trade_date, 'buy' AS side, open_price * {1 + FEES.slippage_bps / 10000!r} * quantity AS gross FROM held_lots WHERE quantity > 0
+  UNION ALL SELECT run_id, setting_id, exit_date, 'sell', exit_price * {1 - FEES.slippage_bps / 10000!r} * quantity FROM held_lots WHERE quantity > 0 AND exit_date IS NOT NULL
+), flows AS (
+  SELECT run_id, setting_id, trade_date, sum(CASE WHEN side = 'buy' THEN -gross - fee ELSE gross - fee END) AS flow FROM (
+    SELECT *, greatest(gross * {min(FEES.commission_rate, FEES.commission_rate_max)!r}, {float(FEES.commission_min)!r}) + CASE side WHEN 'sell' THEN gross * {FEES.stamp_duty_rate!r} ELSE 0 END
+      + gross * {FEES.transfer_fee_rate!r} AS fee FROM legs) GROUP BY ALL
+), worth AS (
+  SELECT l.run_id, l.setting_id, b.trade_date, sum(l.quantity * b.close_price) AS mv FROM held_lots l
+  JOIN bars b ON b.security_code = l.security_code AND b.trade_date >= l.entry_date AND (l.exit_date IS NULL OR b.trade_date < l.exit_date) GROUP BY ALL
+), equity AS (
+  SELECT r.run_id, r.setting_id, d.trade_date, {CASH} + sum(coalesce(flow, 0)) OVER (PARTITION BY r.run_id, r.setting_id ORDER BY d.trade_date ROWS UNBOUNDED PRECEDING) + coalesce(mv, 0) AS total
+  FROM (SELECT run_id, setting_id, min(trade_date) AS first_day FROM flows GROUP BY ALL) r JOIN trade_days s ON s.trade_date = r.first_day JOIN trade_days d ON d.day_no >= greatest(s.day_no - 1, 1)
+  LEFT JOIN flows f ON f.run_id = r.run_id AND f.setting_id = r.setting_id AND f.trade_date = d.trade_date
+  LEFT JOIN worth w ON w.run_id = r.run_id AND w.setting_id = r.setting_id AND w.trade_date = d.trade_date
+), returns AS (
+  SELECT *, total / lag(total) OVER w - 1 AS p, total / greatest({CASH}, max(total) OVER (w ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown FROM equity
+  WINDOW w AS (PARTITION BY run_id, setting_id ORDER BY trade_date)
+), measured AS (
+  SELECT run_id, setting_id, count(*) FILTER (ok) AS n, product(1 + p) FILTER (ok) - 1 AS hpr, product(1 + f) FILTER (ok) - 1 AS fh, stddev_samp(p) FILTER (ok) * sqrt(252) AS vol, abs(least(min(drawdown), 0)) AS dd FROM (
+    SELECT r.*, y.daily_rate AS f, p IS NOT NULL AND b.return_daily IS NOT NULL AND y.daily_rate IS NOT NULL AS ok FROM returns r
+    LEFT JOIN benchmark_returns b ON b.trade_date = r.trade_date LEFT JOIN risk_free y ON y.trade_date = r.trade_date) GROUP BY ALL
+), long AS (
+  SELECT run_id, setting_id, 'holding_period_return' AS metric_name, hpr AS metric_value, hpr AS best FROM measured WHERE n >= 20
+  UNION ALL SELECT run_id, setting_id, 'max_drawdown', dd, -dd FROM measured WHERE n >= 20
+  UNION ALL SELECT run_id, setting_id, 'sharpe_ratio', (pow(1 + hpr, 252e0 / n) - pow(1 + fh, 252e0 / n)) / vol AS s, s FROM measured WHERE n >= 20
+)
+SELECT run_id, setting_id, metric_name, metric_value, row_number() OVER (PARTITION BY metric_name ORDER BY best DESC, run_id, setting_id) AS metric_rank FROM long WHERE metric_value IS NOT NULL""",
+    ["pool", "trade_days", "setting_exits", "bars", "benchmark_returns", "risk_free"], ("metric_value",), digits=6)
+def search_settings(spark, folder):
+    """Two rules under three risk settings, ranked by return, drawdown and Sharpe ratio."""
+    nav_all = search.settings_nav(search_signals(spark, folder), adjusted_bars(spark, folder), market.bars(spark, folder), days(spark, folder), SETTINGS, RANGE[1], CASH)
+    return search.ranked_settings(nav_all, market.benchmark_returns(spark, folder), risk_free(spark, folder))
 
 
 @query("X29_security_display", """

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickloom.catalog.registry import query
 from tickloom.catalog.screening_rule import CATALOG, RULE, SIGNALS, signal_base
 from tickloom.functions import codes, rules, scalars
+from tickloom.plans import rule_tables
 from tickloom.sources import market
 
 CODE_CTE = """
@@ -301,13 +302,44 @@ def rule_json(spark, folder):
     return detail.select("security_code", "trade_date", parsed["trend"].alias("trend"), parsed["volume_weight"].alias("weight"))
 
 
+def rule_grid() -> dict[str, rules.Rule]:
+    """The shared rule, variants of it, and rules with one fault each."""
+    from dataclasses import replace
+
+    r = rules
+    both = r.Any_((r.Compare(r.Ref("price_ma_20"), "lt", r.Ref("price_ma_60")), r.Not(r.Compare(r.Ref("close_price"), "between", r.Between(r.Times(r.Ref("price_ma_20"), 0.9), r.Times(1.1, r.Ref("price_ma_20")))))))
+    return {
+        "shared": RULE, "reversal": r.Rule(both, (r.Weighted("size", "volume", 0.25), r.Points("cross", r.Compare(r.Ref("close_price"), "crosses_below", r.Ref("price_ma_20")), 30)), clamp=(5, 60)),
+        "no_average": r.Rule(r.Compare(r.Ref("price_ma_60"), "is_null")), "bad_metric": replace(RULE, outputs=("unheard_of",)), "bad_top": replace(RULE, top_n=0),
+        "bad_clamp": replace(RULE, clamp=(50, 10)), "bad_cross": r.Rule(r.Compare(r.Ref("volume"), "crosses_above", r.Ref("volume_ma_5"))), "bad_kind": r.Rule(r.Compare(r.Ref("volume"), "gt", "many")),
+    }
+
+
+RULE_HITS = f"""
+SELECT 'shared' AS rule_id, security_code, trade_date, {SCORE} AS score FROM ({SIGNALS}) WHERE price_ma_20 > price_ma_60 AND prev_price_ma_20 <= prev_price_ma_60 AND volume > 0.8 * volume_ma_5
+UNION ALL SELECT 'reversal', security_code, trade_date, greatest(5e0, least(60e0, coalesce(volume, 0) * 0.25e0 + CASE WHEN close_price < price_ma_20 AND prev_close_price >= prev_price_ma_20 THEN 30e0 ELSE 0e0 END))
+FROM ({SIGNALS}) WHERE price_ma_20 < price_ma_60 OR NOT (close_price BETWEEN price_ma_20 * 0.9e0 AND price_ma_20 * 1.1e0)
+UNION ALL SELECT 'no_average', security_code, trade_date, 0e0 FROM ({SIGNALS}) WHERE price_ma_60 IS NULL"""
+
+
+@query("P21_rules_as_rows", RULE_HITS, ["bars"], ("score",))
+def rules_as_rows(spark, folder):
+    """Hits and scores (P23) of all valid rules of a table of rules."""
+    tables_ = rule_tables.tables_of(spark, rule_grid(), CATALOG)
+    return rule_tables.screen_all(signal_base(spark, folder), tables_).select("rule_id", "security_code", "trade_date", "score")
+
+
 @query("P25_validate_rule", f"""
-SELECT count(*) AS row_count, count(price_ma_20) AS with_average FROM ({SIGNALS})""", ["bars"])
+SELECT rule_id, reason IS NULL AS valid, reason, place, coalesce(n, 0) AS hits FROM (VALUES ('shared', NULL, NULL), ('reversal', NULL, NULL), ('no_average', NULL, NULL),
+  ('bad_metric', 'unknown_output', 'unheard_of'), ('bad_top', 'top_n_not_positive', 'top_n'), ('bad_clamp', 'clamp_out_of_range', 'clamp'),
+  ('bad_cross', 'no_previous_metric', 'filter'), ('bad_kind', 'kinds_differ', 'filter')) v(rule_id, reason, place)
+LEFT JOIN (SELECT rule_id, count(*) AS n FROM ({RULE_HITS}) GROUP BY 1) USING (rule_id)""", ["bars"])
 def validate_rule(spark, folder):
-    base = signal_base(spark, folder)
-    catalog = rules.catalog_from({"signals": base})
-    rules.validate_rule(RULE, catalog)
-    return base.agg(F.count(F.lit(1)).alias("row_count"), F.count("price_ma_20").alias("with_average"))
+    """Verdict of every rule, checked against the catalog as a job, and the rows that the valid ones accept."""
+    tables_ = rule_tables.tables_of(spark, rule_grid(), CATALOG)
+    hits = rule_tables.screen_all(signal_base(spark, folder), tables_).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    verdicts = rule_tables.rule_verdicts(tables_).join(hits, "rule_id", "left")
+    return verdicts.select("rule_id", "valid", "reason", "place", F.coalesce("n", F.lit(0)).alias("hits"))
 
 
 @query("P26_select_ohlc", """

@@ -83,27 +83,3 @@ def signal_timeline(targets: DataFrame, months: int = 3, date: str = "signal_dat
     whole = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # One row per date remains here, so the maximum over all of them is a calendar-sized window.
     return counts.withColumn("in_trend", F.col(date) >= F.add_months(F.max(date).over(whole), -months))
-
-
-def search(
-    metrics: DataFrame, rules: dict[str, Rule], catalog: Catalog, start: str, end: str
-) -> DataFrame:
-    """Signals of many rules in one frame keyed by run (X28); later stages run once for all.
-
-    The metrics are evaluated once for all rules over one universe: each row carries the hits of all
-    rules as an array, which is then unfolded and ranked by run and date.
-    """
-    by_universe: dict[str, list[tuple[str, Rule]]] = {}
-    for run_id, rule in rules.items():
-        by_universe.setdefault(repr(rule.universe), []).append((run_id, rule))
-    hits = None
-    for group in by_universe.values():
-        rows = apply_universe(between(metrics, start, end), group[0][1].universe)
-        found = F.array(*[
-            F.when(rule_filter(rule.filters, catalog), F.struct(F.lit(run_id).alias("run_id"), rule_score(rule, catalog).alias("score"), F.lit(rule.top_n).alias("_top")))
-            for run_id, rule in group
-        ])
-        part = rows.select(*KEYS, F.explode(F.filter(found, lambda hit: hit.isNotNull())).alias("hit")).select(*KEYS, "hit.score", "hit.run_id", "hit._top")
-        hits = part if hits is None else hits.unionByName(part)
-    ranked = tables.top_n_per_date(tables.rank_signals(hits, ("run_id", "trade_date")), max(rule.top_n for rule in rules.values()))
-    return ranked.where("rank_no <= _top").select(*KEYS, "score", "rank_no", "run_id")

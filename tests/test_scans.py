@@ -23,12 +23,37 @@ def frames(spark, seed):
     )
 
 
-@pytest.mark.parametrize("block", [None, "day", "month", "year"])
+@pytest.fixture
+def forced_splits(spark):
+    """Small tables keep all their range partitions."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_one_hot_month_spans_all_partitions(spark, forced_splits):
+    """One key, all rows in one month and many at one time: rows spread evenly, and the carry crosses partitions without a right row."""
+    rnd = random.Random(1)
+    left = [(i, "a", dt.datetime(2020, 5, 1) + dt.timedelta(minutes=rnd.randrange(200) * 200)) for i in range(4000)] + [(9000 + i, "a", None) for i in range(3000)] + [(99999, None, dt.datetime(2020, 5, 2))]
+    right = [("a", dt.datetime(2020, 5, 1, 0, 1), 1.0), ("a", dt.datetime(2020, 5, 27), 2.0), ("a", None, 9.0)]
+    ldf = spark.createDataFrame(left, "id int, k string, t timestamp")
+    rdf = spark.createDataFrame(right, "k string, rt timestamp, v double")
+    placed = scans.in_blocks(ldf.where("t IS NOT NULL"), ["k"], ["t"]).groupBy("_blk").count().collect()
+    assert len(placed) >= 6 and max(r["count"] for r in placed) < 1200
+    got = {r.id: r.v for r in scans.asof_join(ldf, rdf, ["k"], "t", "rt", columns=["v"]).collect()}
+    for i, k, t in left:
+        assert got[i] == (None if k is None or t is None or t < right[0][1] else 1.0 if t < right[1][1] else 2.0)
+    assert len(got) == len(left)
+
+
+@pytest.mark.parametrize("bounded", [True, False])
 @pytest.mark.parametrize("direction, strict", [("backward", False), ("backward", True), ("forward", False), ("forward", True)])
-def test_asof_join(spark, block, direction, strict):
+def test_asof_join(spark, forced_splits, bounded, direction, strict):
     left, right, ldf, rdf = frames(spark, 7)
     got = {r.id: (r.rt, r.v) for r in scans.asof_join(
-        ldf, rdf, ["k"], "t", "rt", columns=["rt", "v"], tie_break=["v"], block=block, direction=direction, strict=strict
+        ldf, rdf, ["k"], "t", "rt", columns=["rt", "v"], tie_break=["v"], bounded=bounded, direction=direction, strict=strict
     ).collect()}
     for i, k, t in left:
         if direction == "backward":
@@ -42,11 +67,11 @@ def test_asof_join(spark, block, direction, strict):
     assert len(got) == len(left)
 
 
-@pytest.mark.parametrize("block", [None, "month"])
-def test_asof_expiry_and_inner(spark, block):
+@pytest.mark.parametrize("bounded", [True, False])
+def test_asof_expiry_and_inner(spark, forced_splits, bounded):
     left, right, ldf, rdf = frames(spark, 8)
-    got = {r.id: r.v for r in scans.asof_join(ldf, rdf, ["k"], "t", "rt", columns=["v"], valid_to="till", tie_break=["v"], block=block).collect()}
-    inner = {r.id for r in scans.asof_join(ldf, rdf, ["k"], "t", "rt", how="inner", columns=["v"], block=block).collect()}
+    got = {r.id: r.v for r in scans.asof_join(ldf, rdf, ["k"], "t", "rt", columns=["v"], valid_to="till", tie_break=["v"], bounded=bounded).collect()}
+    inner = {r.id for r in scans.asof_join(ldf, rdf, ["k"], "t", "rt", how="inner", columns=["v"], bounded=bounded).collect()}
     for i, k, t in left:
         fits = [(rt, v, e) for rk, rt, v, e in right if rk == k and rt <= t]
         if not fits:
@@ -64,8 +89,8 @@ def test_asof_many_equals_single_joins(spark):
     rdf = rdf.dropDuplicates(["k", "rt"])
     other = rdf.select("k", F.date_add("rt", 3).alias("ot"), (F.col("v") * 2).alias("w"))
     both = scans.asof_many(ldf, ["k"], "t", [scans.Side(rdf, "rt", ("v",), valid_to="till"), scans.Side(other, "ot", ("w",))])
-    one = scans.asof_join(ldf, rdf, ["k"], "t", "rt", columns=["v"], valid_to="till", block=None)
-    two = scans.asof_join(one, other, ["k"], "t", "ot", columns=["w"], block=None)
+    one = scans.asof_join(ldf, rdf, ["k"], "t", "rt", columns=["v"], valid_to="till", bounded=True)
+    two = scans.asof_join(one, other, ["k"], "t", "ot", columns=["w"], bounded=True)
     assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr)
 
 

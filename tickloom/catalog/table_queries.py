@@ -64,10 +64,10 @@ SELECT t.run_id, t.security_code, t.trade_date, t.trade_seq, r.report_date, r.to
 ASOF LEFT JOIN reports r ON t.security_code = r.security_code AND t.trade_date >= r.report_date""", ["trades", "reports"],
     ("total_assets",), digits=3)
 def asof_join(spark, folder):
-    """Raw ledger rows to reports: a security's trades are split by month, whatever their number."""
+    """Raw ledger rows to reports: a security's trades may lie in any number of partitions."""
     t = market.trades(spark, folder).select("run_id", "security_code", "trade_date", "trade_seq")
     r = market.reports(spark, folder).select("security_code", "report_date", "total_assets")
-    return scans.asof_join(t, r, ["security_code"], "trade_date", "report_date", block="month", right_unique=True)
+    return scans.asof_join(t, r, ["security_code"], "trade_date", "report_date", right_unique=True)
 
 
 @query("J04_asof_inner", """
@@ -76,7 +76,7 @@ SELECT b.security_code, b.trade_date, r.report_date FROM bars b JOIN LATERAL (SE
 def asof_inner(spark, folder):
     b = market.bars(spark, folder).select("security_code", "trade_date")
     r = market.reports(spark, folder).select("security_code", "report_date")
-    return scans.asof_join(b, r, ["security_code"], "trade_date", "report_date", how="inner", block=None)
+    return scans.asof_join(b, r, ["security_code"], "trade_date", "report_date", how="inner", bounded=True)
 
 
 @query("J05_asof_valid_to", """
@@ -90,7 +90,7 @@ def asof_valid_to(spark, folder):
         "security_code", "effective_date", F.date_sub("expiry_date", 10).alias("expiry_date"), "shares"
     )
     return scans.asof_join(
-        b, s, ["security_code"], "trade_date", "effective_date", columns=["shares"], valid_to="expiry_date", block="year"
+        b, s, ["security_code"], "trade_date", "effective_date", columns=["shares"], valid_to="expiry_date"
     )
 
 

@@ -58,7 +58,7 @@ def forward_fill(
     date: str = "trade_date",
 ) -> DataFrame:
     """Latest known value per calendar row (J08); both sides hold one row per key and day."""
-    return asof_join(calendar, series, on, date, series_date, columns=columns, block=None)
+    return asof_join(calendar, series, on, date, series_date, columns=columns, bounded=True)
 
 
 def anti(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

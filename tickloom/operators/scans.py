@@ -26,7 +26,7 @@ AFTER = (1, Window.unboundedFollowing)
 SCAN_FUNCTIONS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """``df`` sorted over the cluster by ``keys`` and ``order``, on a reliable checkpoint, with ``_blk``: the partition a row lies in.
 
     Partitions are ranges of the whole sort key of about equal row counts, so a hot key spans many.
@@ -86,14 +86,6 @@ def running_sum(df, keys, order, value: str, name: str, bounded: bool = False) -
     return running(df, keys, order, {name: ("sum", F.col(value))}, bounded)
 
 
-def block_of(column: Column, block) -> Column:
-    if callable(block):
-        return block(column)
-    if block == "day":
-        return column.cast("date")
-    return F.trunc(column.cast("date"), block)
-
-
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -107,17 +99,19 @@ def asof_join(
     right_unique: bool = False,
     direction: str = "backward",
     strict: bool = False,
-    block="month",
+    bounded: bool = False,
 ) -> DataFrame:
     """Latest right row with ``right_time <= left_time`` per left row.
 
-    Both sides are stacked and one window carries the last right record forward, so no row pairs
-    are built. ``block`` splits a key by time (``'day'``, ``'month'``, ``'year'`` or a function of
-    the time column); ``block=None`` scans a whole key in one task and is for sides that hold at
-    most one row per key and day. Several right rows at one time: the largest ``tie_break`` wins,
-    then the largest remaining columns. ``direction='forward'`` takes the earliest right row at or
-    after the left one. ``strict`` leaves out equal times. ``valid_to`` voids a match whose expiry
-    lies before the left time.
+    Both sides are stacked and the last right record is carried forward, so no row pairs are built.
+    The stack is placed by ranges of (key, time, side) with about equal numbers of rows, so a hot key
+    or a hot month spans as many partitions as its rows need, and the last record of each
+    partition goes on to the next ones of the key. ``bounded`` says that both sides hold at most one
+    row per key and day, so that one window per key does. Rows without a time never enter the stack.
+
+    Several right rows at one time: the largest ``tie_break`` wins, then the largest remaining
+    columns. ``direction='forward'`` takes the earliest right row at or after the left one. ``strict``
+    leaves out equal times. ``valid_to`` voids a match whose expiry lies before the left time.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported as-of join type: {how}")
@@ -133,49 +127,32 @@ def asof_join(
     if not right_unique:
         rights = rights.groupBy(*on, "_t").agg(F.max("_r").alias("_r"))
     left_columns = left.columns
-    lefts = left.select("*", F.col(left_time).alias("_t"))
-
+    timed = F.col(left_time).isNotNull()
     # Stacking order at one instant: a right row must precede a left row it may match.
     right_side, left_side = (1, 0) if strict else (0, 1)
-    lefts = lefts.withColumn("_side", F.lit(left_side))
-    rights = rights.withColumn("_side", F.lit(right_side))
-    group = list(on)
-    if block is not None:
-        lefts = lefts.withColumn("_blk", block_of(F.col("_t"), block))
-        rights = rights.withColumn("_blk", block_of(F.col("_t"), block))
-        group.append("_blk")
-        edge = F.min_by("_r", "_t") if forward else F.max_by("_r", "_t")
-        present = (
-            rights.select(*group, "_r", "_t")
-            .unionByName(lefts.select(*group).distinct(), allowMissingColumns=True)
-            .groupBy(*group)
-            .agg(edge.alias("_edge"))
-        )
-        scan = Window.partitionBy(*on).orderBy(
-            F.col("_blk").desc() if forward else F.col("_blk")
-        ).rowsBetween(*BEFORE)
-        carry = present.select(
-            *group,
-            F.last("_edge", ignorenulls=True).over(scan).alias("_r"),
-            F.lit(-1).alias("_side"),
-        ).where("_r is not null")
-        rights = rights.unionByName(carry, allowMissingColumns=True)
-    stacked = lefts.unionByName(rights, allowMissingColumns=True)
-    time_order = F.col("_t").desc_nulls_first() if forward else F.col("_t").asc_nulls_first()
-    order = [F.when(F.col("_side") == -1, 0).otherwise(1), time_order, F.col("_side")]
-    scan = Window.partitionBy(*group).orderBy(*order).rowsBetween(*UP_TO)
-    matched = stacked.select(
-        *left_columns, "_side", "_t", F.last("_r", ignorenulls=True).over(scan).alias("_m")
-    ).where(F.col("_side") == left_side)
+    lefts = left.where(timed).select("*", F.col(left_time).alias("_t"), F.lit(left_side).alias("_side"))
+    stacked = lefts.unionByName(rights.withColumn("_side", F.lit(right_side)), allowMissingColumns=True)
+    order = [F.col("_t").desc() if forward else F.col("_t").asc(), F.col("_side")]
+    if bounded:
+        scan = Window.partitionBy(*on).orderBy(*order).rowsBetween(*UP_TO)
+        matched = stacked.withColumn("_m", F.last("_r", ignorenulls=True).over(scan))
+    else:
+        rows = in_blocks(stacked, on, order)
+        inside = Window.partitionBy(*on, "_blk").orderBy(*order).rowsBetween(*UP_TO)
+        local = rows.withColumn("_l", F.last("_r", ignorenulls=True).over(inside))
+        dated = F.when(F.col("_r").isNotNull(), F.col("_t"))
+        edges = rows.groupBy(*on, "_blk").agg((F.min_by if forward else F.max_by)("_r", dated).alias("_edge"))
+        earlier = Window.partitionBy(*on).orderBy("_blk").rowsBetween(*BEFORE)
+        carry = edges.select(*on, "_blk", F.last("_edge", ignorenulls=True).over(earlier).alias("_c")).where("_c IS NOT NULL")
+        matched = with_carry(local.where(F.col("_side") == left_side), carry, on).withColumn("_m", F.coalesce("_l", "_c"))
     hit = F.col("_m")
     if valid_to:
-        live = hit[valid_to].isNull() | (F.col("_t") <= hit[valid_to])
-        hit = F.when(live, hit)
-    # A left row without a time matches nothing.
-    hit = F.when(F.col("_t").isNotNull(), hit)
-    result = matched.select(*left_columns, hit.alias("_m"))
+        hit = F.when(hit[valid_to].isNull() | (F.col("_t") <= hit[valid_to]), hit)
+    result = matched.where(F.col("_side") == left_side).select(*left_columns, hit.alias("_m"))
     if how == "inner":
         result = result.where(F.col("_m").isNotNull())
+    else:
+        result = result.unionByName(left.where(~timed), allowMissingColumns=True)
     return result.select(
         *left_columns, *[F.col("_m")[c].alias(c) for c in carried if c not in left_columns]
     )

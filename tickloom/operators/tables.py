@@ -340,7 +340,7 @@ def nearest_trade_date(
     wanted = df.where(F.col(column).isNotNull()).select(F.lit(1).alias("_k"), F.col(column).alias("_want")).distinct()
     direction, strict = {"before": ("backward", True), "on_or_before": ("backward", False), "after": ("forward", True)}[side]
     found = asof_join(
-        wanted, days, ["_k"], "_want", "_day", direction=direction, strict=strict, right_unique=True, block="year"
+        wanted, days, ["_k"], "_want", "_day", direction=direction, strict=strict, right_unique=True, bounded=True
     ).select(F.col("_want").alias(column), F.col("_day").alias(name))
     return df.join(found, column, "left")
 

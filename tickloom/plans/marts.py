@@ -40,6 +40,6 @@ def quotes_mart(
     values = [c for c in valuation.columns if c not in ("security_code", asof_col)]
     valued = asof_join(
         with_adjusted, valuation.withColumnRenamed(asof_col, "valuation_date"), ["security_code"], "trade_date", "valuation_date",
-        columns=["valuation_date", *values], right_unique=True, block=None,
+        columns=["valuation_date", *values], right_unique=True, bounded=True,
     )
     return add_columns(valued, kdj)

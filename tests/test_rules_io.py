@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import codes, rules, scalars
-from tickloom.sources import contracts, io
+from tickloom.sources import contracts, io, versions
+from tickloom.sources.versions import read_published
 from tickloom.streaming import incremental as inc
 
 CATALOG = rules.Catalog((
@@ -133,7 +134,7 @@ def test_cascade_keeps_other_rows_and_drops_stale_ones(spark, tmp_path):
     inc.rebuild_table(quotes(spark), path)
     new = quotes(spark).where("security_code = 'A' and year(trade_date) = 2020").withColumn("v", F.col("v") * 10)
     inc.replace_cascade(new, path, "2020-06-01")
-    assert rows(spark.read.parquet(path)) == [("A", "2020-01-02", 1.0), ("A", "2020-12-31", 20.0), ("B", "2020-06-01", 5.0)]
+    assert rows(read_published(spark, path)) == [("A", "2020-01-02", 1.0), ("A", "2020-12-31", 20.0), ("B", "2020-06-01", 5.0)]
 
 
 def test_dry_run_and_unknown_mode(spark, tmp_path):
@@ -183,5 +184,69 @@ def test_failed_sync_keeps_the_old_snapshot(spark, tmp_path):
     io.sync_snapshot(good, path, contract)
     with pytest.raises(io.DataError):
         io.sync_snapshot(spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int"), path, contract)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 2)]
-    assert [f.name for f in tmp_path.iterdir()] == ["table"]
+    assert sorted(map(tuple, read_published(spark, path).collect())) == [("a", 1), ("b", 2)]
+    assert [f.name for f in tmp_path.iterdir()] == ["table"] and len([f for f in (tmp_path / "table").iterdir() if f.is_dir()]) == 1
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["write", "check", "pointer", "rename"])
+def test_a_fault_at_any_step_leaves_the_old_table(spark, tmp_path, monkeypatch, step):
+    """What a run leaves behind when it stops between two steps: the old table, and no staging folder."""
+    path = str(tmp_path / "t")
+    inc.rebuild_table(quotes(spark), path)
+    old = rows(read_published(spark, path))
+    before = sorted(f.name for f in (tmp_path / "t").iterdir())
+
+    def stop(*_args, **_more):
+        raise Stopped
+
+    new = quotes(spark).where("security_code = 'A'").withColumn("v", F.col("v") * 10)
+    if step == "write":
+        new = new.withColumn("v", F.raise_error(F.lit("stopped")).cast("double"))
+    elif step == "check":
+        monkeypatch.setattr(inc, "check_unique", stop)
+    elif step == "pointer":
+        monkeypatch.setattr(versions.json, "dumps", stop)
+    else:
+        monkeypatch.setattr(versions.Storage, "replace", stop)
+    for run in (lambda: inc.replace_cascade(new, path, "2020-06-01"), lambda: inc.rebuild_table(new, path)):
+        with pytest.raises(Exception):  # noqa: B017
+            run()
+        assert rows(read_published(spark, path)) == old
+        assert sorted(f.name for f in (tmp_path / "t").iterdir()) == before
+
+
+def test_published_versions_keep_one_before(spark, tmp_path):
+    """A reader of the version before still finds its files; older ones are gone."""
+    path = str(tmp_path / "t")
+    inc.rebuild_table(quotes(spark), path)
+    reader = read_published(spark, path)
+    inc.rebuild_table(quotes(spark).withColumn("v", F.col("v") + 1), path)
+    assert rows(reader) == rows(quotes(spark))
+    inc.rebuild_table(quotes(spark).withColumn("v", F.col("v") + 2), path)
+    assert len([f for f in (tmp_path / "t").iterdir() if f.is_dir()]) == 2
+    inc.append_latest(quotes(spark).withColumn("security_code", F.lit("C")).dropDuplicates(["trade_date"]), path, "2020-01-01")
+    assert read_published(spark, path).where("security_code = 'C'").count() == quotes(spark).select("trade_date").distinct().count()
+
+
+def test_counts_are_observed_on_the_write(spark, tmp_path):
+    """The input is evaluated once for the table and its counts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = quotes(spark)
+    counts = inc.observed_run(
+        source, lambda df: df.mapInArrow(touch, df.schema), lambda out: inc.rebuild_table(out, str(tmp_path / "o")), "v", value="v")
+    total = source.count()
+    assert seen.value == total and counts == {"input_rows": total, "valid_input_rows": total, "output_rows": total, "null_indicator_rows": 0}
+    parts = io.write_partitioned(source.mapInArrow(touch, source.schema).withColumn("year", F.year("trade_date")), str(tmp_path / "p"), "year")
+    written = seen.value
+    assert {r.year: r.row_count for r in parts.collect()} == {r.year: r["count"] for r in source.groupBy(F.year("trade_date").alias("year")).count().collect()}
+    assert seen.value == written

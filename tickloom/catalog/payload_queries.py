@@ -333,8 +333,10 @@ def contract_formats(spark, folder):
 
 
 @query("J11_previous_volume", """
-SELECT q.security_code, q.trade_date, p.volume AS prev_volume FROM quotes q LEFT JOIN trade_days d ON d.trade_date = q.trade_date
-LEFT JOIN quotes p ON p.security_code = q.security_code AND p.trade_date = d.prev_trade_date WHERE p.volume IS DISTINCT FROM q.volume""", ["quotes", "trade_days"], ("prev_volume",))
+SELECT security_code, trade_date, prev_volume FROM (
+  SELECT q.security_code, q.trade_date, q.volume, CASE WHEN lag(q.trade_date) OVER w = d.prev_trade_date THEN lag(q.volume) OVER w END AS prev_volume
+  FROM quotes q LEFT JOIN trade_days d ON d.trade_date = q.trade_date WINDOW w AS (PARTITION BY q.security_code ORDER BY q.trade_date))
+WHERE prev_volume IS DISTINCT FROM volume""", ["quotes", "trade_days"], ("prev_volume",))
 def previous_volume(spark, folder):
     """Rows whose previous trading day's volume differs from the day's own, NULL included."""
     staged = quotes.stage_quotes(market.raw_quotes(spark, folder))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import blank_to_null
 from tickloom.operators.joins import one_per_key
 from tickloom.operators.quality import check_complete, check_schema, check_unique
 from tickloom.sources.contracts import DatasetContract, reconcile_schema
+from tickloom.sources.versions import publish
 
 
 class DataError(ValueError):
@@ -68,13 +69,20 @@ def write_partitioned(df: DataFrame, path: str, key: str, order_by: Sequence[str
     """Replace only the partitions the frame holds, and count rows per partition.
 
     Rows are range-partitioned by the key and the sort order: a large partition becomes several
-    sorted files instead of one task, and small ones share a task.
+    sorted files instead of one task, and small ones share a task. Which partitions were touched is
+    observed on the write itself (one value per folder), and their rows are counted from the files'
+    footers, so the frame is computed once.
     """
+    touched = Observation()
     placed = df.repartitionByRange(key, *order_by).sortWithinPartitions(key, *order_by)
+    placed = placed.observe(touched, F.collect_set(key).alias("keys"), F.count_if(F.col(key).isNull()).alias("without"))
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(key).parquet(path)
-    spark = df.sparkSession
-    written = spark.read.schema(df.schema).parquet(path)
-    return written.join(df.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("row_count"))
+    seen = touched.get
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    wanted = F.col(key).isin(*seen["keys"]) if seen["keys"] else F.lit(False)
+    if seen["without"]:
+        wanted = wanted | F.col(key).isNull()
+    return rows.where(wanted).groupBy(key).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def sync_year(df: DataFrame, path: str, year: int, contract: DatasetContract, date: str) -> int:
@@ -92,46 +100,21 @@ def sync_year(df: DataFrame, path: str, year: int, contract: DatasetContract, da
 
 
 def sync_snapshot(df: DataFrame, path: str, contract: DatasetContract) -> int:
-    """Load to a staging folder beside the target, validate what was written, then swap."""
-    staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex[:8]}"
-    try:
-        write_snapshot(reconcile_schema(df, contract), staging, contract.allow_empty)
-        staged = read_snapshot(df.sparkSession, staging, contract)
+    """Write a new version, validate what was written, then publish it in one step (S07); read it with ``read_published``."""
+    typed = reconcile_schema(df, contract)
+    counted = Observation()
+
+    def check(staged: DataFrame) -> None:
+        if not contract.allow_empty and counted.get["rows"] == 0:
+            raise DataError(f"refusing to publish an empty snapshot to {path}")
         problems = check_schema(staged, contract)
         if problems:
             raise DataError(f"{contract.name}: {problems}")
         if contract.grain:
             require_none(check_unique(staged, contract.grain), f"{contract.name}: duplicate keys")
-        rows = staged.count()
-        swap_folder(df.sparkSession, staging, path)
-    except Exception:
-        remove_folder(df.sparkSession, staging)
-        raise
-    return rows
 
-
-def swap_folder(spark: SparkSession, staging: str, path: str) -> None:
-    """Put the staging folder in the target's place through the storage system's own rename.
-
-    The old folder is moved aside and deleted last; it comes back if the new one can't be moved in.
-    """
-    jvm = spark.sparkContext._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
-    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__old_{uuid.uuid4().hex[:8]}")
-    storage = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    replaced = storage.exists(target)
-    if replaced and not storage.rename(target, old):
-        raise DataError(f"could not move {path} aside")
-    moved = False
-    try:
-        moved = storage.rename(source, target)
-    finally:
-        if not moved and replaced:
-            storage.rename(old, target)
-    if not moved:
-        raise DataError(f"could not move {staging} to {path}")
-    if replaced:
-        storage.delete(old, True)
+    publish(typed.observe(counted, F.count(F.lit(1)).alias("rows")), path, check=check)
+    return counted.get["rows"]
 
 
 def compact_year(

@@ -6,17 +6,18 @@ recomputed from its whole history in the same job.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.indicators import Recurrence, recurrences
 from tickloom.operators.quality import check_unique
 from tickloom.operators.tables import latest_by
-from tickloom.sources.io import DataError, path_exists, remove_folder, require_none, swap_folder
+from tickloom.session import scratch_path
+from tickloom.sources.io import DataError, remove_folder, require_none
+from tickloom.sources.versions import publish, published, read_published
 
 CODE, DATE = "security_code", "trade_date"
 MODES = ("append_latest", "replace_cascade", "rebuild_table", "dry_run")
@@ -64,15 +65,26 @@ def state_gaps(inputs: DataFrame, states: DataFrame, start: str) -> DataFrame:
     )
 
 
-def run_summary(inputs: DataFrame, outputs: DataFrame, indicator: str, value: str = "close_price") -> DataFrame:
-    """Input, valid-input, output and NULL-indicator row counts (C08), one pass over each side."""
-    before = inputs.agg(F.count(F.lit(1)).alias("input_rows"), F.count(value).alias("valid_input_rows"))
-    after = outputs.agg(
-        F.count(F.lit(1)).alias("output_rows"), F.count_if(F.col(indicator).isNull()).alias("null_indicator_rows")
-    )
-    names = ("input_rows", "valid_input_rows", "output_rows", "null_indicator_rows")
-    stacked = before.unionByName(after, allowMissingColumns=True)
-    return stacked.agg(*[F.max(n).alias(n) for n in names])
+def observed_run(
+    inputs: DataFrame, compute: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], indicator: str, value: str = "close_price"
+) -> dict[str, int]:
+    """Input, valid-input, output and NULL-indicator row counts of a run (C08), observed in the one job that computes it.
+
+    ``compute`` reads its input once. ``write`` gets the computed rows from files.
+    """
+    before, after = Observation(), Observation()
+    spark = inputs.sparkSession
+    counted = inputs.observe(before, F.count(F.lit(1)).alias("input_rows"), F.count(value).alias("valid_input_rows"))
+    outputs = compute(counted)
+    # written as they come: placing rows by ranges samples its input first and would count it twice
+    path = scratch_path(spark, "run-output")
+    try:
+        outputs.observe(after, F.count(F.lit(1)).alias("output_rows"), F.count_if(F.col(indicator).isNull()).alias("null_indicator_rows")).write.parquet(path)
+        counts = {**before.get, **after.get}
+        write(spark.read.schema(outputs.schema).parquet(path))
+    finally:
+        remove_folder(spark, path)
+    return counts
 
 
 def date_chunks(start: str, end: str, threshold_days: int = 366) -> list[tuple[str, str]]:
@@ -95,37 +107,36 @@ def with_year(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
-    return spark.read.schema(with_year(df).schema).parquet(path)
+    """The published table with the columns of ``df`` and the year."""
+    return read_published(spark, path, with_year(df).schema)
 
 
-def write_years(df: DataFrame, path: str, mode: str) -> None:
-    """Years as partitions, sorted by security and date; big years become several files."""
-    df.repartitionByRange("year", CODE, DATE).sortWithinPartitions("year", CODE, DATE).write.mode(mode).option(
-        "partitionOverwriteMode", "dynamic" if mode == "overwrite" else "static"
-    ).option("compression", "zstd").partitionBy("year").parquet(path)
+def year_of(folder: str) -> int:
+    return int(folder.rpartition("=")[2])
 
 
-def staged_rows(df: DataFrame, path: str) -> tuple[DataFrame, str]:
-    """``df`` written beside the table, by year, and read again: computed once, whatever is checked on it."""
-    staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex[:8]}"
-    write_years(df, staging, "overwrite")
-    return read_table(df.sparkSession, staging, df), staging
+def publish_years(df: DataFrame, path: str, keep: Callable[[list[str]], list[str]], message: str, check: Callable[[DataFrame], None] = lambda staged: None) -> None:
+    """Publish ``df`` by year, sorted by security and date, beside the folders ``keep`` chooses; duplicate keys are an error."""
+
+    def checked(staged: DataFrame) -> None:
+        require_none(check_unique(staged, [CODE, DATE]), message)
+        check(staged)
+
+    publish(df, path, keep, "year", checked, ("year", CODE, DATE))
 
 
 def append_latest(df: DataFrame, path: str, start: str) -> None:
     """Append rows from ``start`` on; refused if a written security already has one there."""
     spark = df.sparkSession
-    new, staging = staged_rows(with_year(df.where(F.col(DATE) >= day(start))), path)
-    try:
-        require_none(check_unique(new, [CODE, DATE]), "duplicate keys in the new rows")
-        if path_exists(spark, path):
+
+    def apart(staged: DataFrame) -> None:
+        if published(spark, path):
             later = read_table(spark, path, df).where((F.col("year") >= int(start[:4])) & (F.col(DATE) >= day(start)))
             require_none(
-                later.join(new.select(CODE).distinct(), CODE, "left_semi").select(CODE, DATE), "rows at or after the start already exist"
+                later.join(staged.select(CODE).distinct(), CODE, "left_semi").select(CODE, DATE), "rows at or after the start already exist"
             )
-        write_years(new, path, "append")
-    finally:
-        remove_folder(spark, staging)
+
+    publish_years(with_year(df.where(F.col(DATE) >= day(start))), path, lambda folders: folders, "duplicate keys in the new rows", apart)
 
 
 def cascade_rows(df: DataFrame, stored: DataFrame, start: str) -> DataFrame:
@@ -140,43 +151,28 @@ def cascade_rows(df: DataFrame, stored: DataFrame, start: str) -> DataFrame:
 def replace_cascade(df: DataFrame, path: str, start: str) -> None:
     """Replace the written securities' rows from ``start`` on.
 
-    The new contents of the affected years are staged beside the table and checked for duplicates
-    before their partitions are overwritten; other years are not touched.
+    The new contents of the start's year and all later ones are written and checked beside the
+    table, then published together with the folders of the earlier years: a reader sees the old
+    table or the new one. A year the new rows no longer reach loses its replaced rows as well.
     """
-    spark = df.sparkSession
-    if not path_exists(spark, path):
-        write_years(with_year(df.where(F.col(DATE) >= day(start))), path, "overwrite")
+    spark, first = df.sparkSession, int(start[:4])
+    if not published(spark, path):
+        publish_years(with_year(df.where(F.col(DATE) >= day(start))), path, lambda folders: [], "duplicate keys after the cascade")
         return
-    stored = read_table(spark, path, df)
-    fresh, fresh_staging = staged_rows(with_year(df.where(F.col(DATE) >= day(start))), path)
-    years = fresh.select("year").distinct()
-    # A year the new rows no longer reach still loses its replaced rows, so all later years are rebuilt.
-    rows = cascade_rows(fresh, stored, start)
-    staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex[:8]}"
-    write_years(rows, staging, "overwrite")
-    staged = read_table(spark, staging, df)
-    require_none(check_unique(staged, [CODE, DATE]), "duplicate keys after the cascade")
-    emptied = stored.where(F.col("year") >= int(start[:4])).select("year").distinct().join(
-        staged.select("year").distinct().unionByName(years).distinct(), "year", "left_anti"
-    )
-    gone = [r.year for r in emptied.collect()]  # one value per calendar year
-    write_years(staged, path, "overwrite")
-    for year in gone:
-        remove_folder(spark, f"{path.rstrip('/')}/year={year}")
-    remove_folder(spark, staging)
-    remove_folder(spark, fresh_staging)
+    # computed once: the rows are read twice below
+    fresh_path = scratch_path(spark, "cascade-new")
+    try:
+        df.where(F.col(DATE) >= day(start)).write.parquet(fresh_path)
+        fresh = spark.read.schema(df.schema).parquet(fresh_path)
+        rows = cascade_rows(fresh, read_table(spark, path, df), start)
+        publish_years(rows, path, lambda folders: [f for f in folders if year_of(f) < first], "duplicate keys after the cascade")
+    finally:
+        remove_folder(spark, fresh_path)
 
 
 def rebuild_table(df: DataFrame, path: str) -> None:
-    """Write the whole table anew (C07): staged, checked as written, then put in place."""
-    spark = df.sparkSession
-    staged, staging = staged_rows(with_year(df), path)
-    try:
-        require_none(check_unique(staged, [CODE, DATE]), "duplicate keys")
-    except Exception:
-        remove_folder(spark, staging)
-        raise
-    swap_folder(spark, staging, path)
+    """Write the whole table anew (C07): staged, checked as written, then published."""
+    publish_years(with_year(df), path, lambda folders: [], "duplicate keys")
 
 
 def materialize(compute: Callable[[], DataFrame], path: str, mode: str, start: str | None = None) -> DataFrame:

@@ -250,3 +250,17 @@ def test_counts_are_observed_on_the_write(spark, tmp_path):
     written = seen.value
     assert {r.year: r.row_count for r in parts.collect()} == {r.year: r["count"] for r in source.groupBy(F.year("trade_date").alias("year")).count().collect()}
     assert seen.value == written
+
+
+def test_flatten_payload_of_any_shape(spark):
+    """Shapes differ by row, a leaf changes its type, texts are no object or no JSON."""
+    from tickloom.operators import normalize
+
+    texts = ['{"a":1,"b":{"x":"t","y":[1,2]},"z":[{"k":1},{"k":2,"m":{"n":true}}]}', '{"a":"s","q":5,"z":[],"id":9}', "[1]", "nope", None, "{}", '{"e":{},"w":null}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, p string")
+    got = {r.id: r.asDict() for r in normalize.flatten_payload(df, "p", ["id"]).collect()}
+    nothing = dict.fromkeys(("a", "x", "y", "k", "n", "q", "e", "w"))
+    assert got[0] == {**nothing, "id": 0, "a": "1", "x": "t", "y": [1, 2], "k": [1, 2], "n": [None, True]}
+    assert got[1] == {**nothing, "id": 1, "a": '"s"', "q": 5, "k": [], "n": []}
+    assert all(got[i] == {**nothing, "id": i} for i in (2, 3, 4, 5)) and got[6]["w"] is None
+    assert normalize.flatten_payload(df.where("id IN (2, 3)"), "p", ["id"]).columns == ["id"]

@@ -72,6 +72,22 @@ def flatten_struct(spark, folder):
     return norm.flatten_struct(nested)
 
 
+@query("R03_flatten_payload", """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS kind, CASE WHEN event_id % 3 = 1 THEN [event_id, event_id + 1] END AS code,
+  CASE WHEN event_id % 3 = 1 THEN [NULL, event_type] END AS note, CASE WHEN event_id % 3 = 2 THEN (props->>'k')::BIGINT END AS k FROM events""")
+def flatten_payload(spark, folder):
+    """Three shapes of objects in one column, and no schema."""
+    e, i = market.table(spark, folder, "events"), F.col("event_id")
+    item = F.struct(i.alias("code")), F.struct((i + 1).alias("code"), F.struct(F.col("event_type").alias("note")).alias("more"))
+    shapes = (
+        F.to_json(F.struct(F.struct(F.col("event_type").alias("kind")).alias("body"))),
+        F.concat(F.lit('{"items":['), F.to_json(item[0]), F.lit(","), F.to_json(item[1]), F.lit("]}")),
+        F.to_json(F.struct(F.struct(F.from_json("props", "k bigint").alias("deep")).alias("body"))),
+    )
+    texts_ = e.select("event_id", F.when(i % 3 == 0, shapes[0]).when(i % 3 == 1, shapes[1]).otherwise(shapes[2]).alias("payload"))
+    return norm.flatten_payload(texts_, "payload", ["event_id"])
+
+
 @query("R04_unknown_fields", """
 SELECT sum(len(list_filter(json_keys(props), lambda x: x <> 'z')))::BIGINT AS unknown_field_count, 0::BIGINT AS not_an_object_count FROM events""")
 def unknown_fields(spark, folder):
@@ -278,7 +294,12 @@ def manifest(spark, folder):
     return q.check_manifest(b, wrong, F.year("trade_date"))
 
 
-@query("Q08_schema", "SELECT problem FROM (VALUES ('missing volume'), ('unexpected top_discount'), ('amount: double is not bigint')) v(problem), (SELECT count(*) AS n FROM bars) WHERE n > 0", ["bars"])
+@query("Q08_schema", """
+WITH one AS (SELECT json_keys(to_json(b)) AS names, lower(typeof(b.amount)) AS kind FROM bars b LIMIT 1),
+sides AS (SELECT list_filter(names, lambda x: x <> 'volume') AS found, list_filter(names, lambda x: x <> 'top_discount') AS wanted, kind FROM one)
+SELECT 'missing ' || unnest(list_filter(wanted, lambda x: NOT list_contains(found, x))) AS problem FROM sides
+UNION ALL SELECT 'unexpected ' || unnest(list_filter(found, lambda x: NOT list_contains(wanted, x))) FROM sides
+UNION ALL SELECT 'amount: ' || kind || ' is not bigint' FROM sides WHERE kind <> 'bigint'""", ["bars"])
 def schema(spark, folder):
     b = market.bars(spark, folder)
     wanted = [contracts.Column(f.name, "bigint" if f.name == "amount" else f.dataType.simpleString()) for f in b.schema.fields if f.name != "top_discount"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,23 +61,48 @@ def flatten_pages(df: DataFrame, payload: str, schema: str, items: str = "info",
     return rows.select(*carry, "i.*")
 
 
-def flatten_struct(df: DataFrame) -> DataFrame:
-    """Leaves of all structs under their own names; arrays of objects become parallel arrays."""
-    found: dict[str, Column] = {}
+def leaf_columns(fields: Sequence[T.StructField], root: Callable[[str], Column]) -> dict[str, tuple[Column, T.DataType]]:
+    """Leaves of all structs by their own names, with their types; arrays of objects become parallel arrays."""
+    found: dict[str, tuple[Column, T.DataType]] = {}
 
     def visit(path: Column, data_type: T.DataType, name: str) -> None:
         if isinstance(data_type, T.StructType):
             for f in data_type.fields:
                 visit(path[f.name], f.dataType, f.name)
         elif isinstance(data_type, T.ArrayType) and isinstance(data_type.elementType, T.StructType):
-            for leaf, getter in struct_leaves(data_type.elementType):
-                found[leaf] = F.transform(path, getter)
+            for leaf, kind, getter in struct_leaves(data_type.elementType):
+                found[leaf] = F.transform(path, getter), T.ArrayType(kind)
         else:
-            found[name] = path
+            found[name] = path, data_type
+
+    for f in fields:
+        visit(root(f.name), f.dataType, f.name)
+    return found
+
+
+def flatten_struct(df: DataFrame) -> DataFrame:
+    """Leaves of all structs under their own names; arrays of objects become parallel arrays."""
+    return df.select(*[c.alias(n) for n, (c, _) in leaf_columns(df.schema.fields, F.col).items()])
+
 
-    for f in df.schema.fields:
-        visit(F.col(f.name), f.dataType, f.name)
-    return df.select(*[c.alias(n) for n, c in found.items()])
+def flatten_payload(df: DataFrame, payload: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Leaves of JSON objects of any shape under their own names, without a schema given.
+
+    The shapes of all rows are merged in one aggregate over VARIANT values; what that finds is read
+    as structs and flattened as ``flatten_struct`` does. A leaf that is not of one type in all rows is
+    JSON text. Texts that are no JSON object have NULL leaves; of equal leaf names the last in order of
+    path stands, and a leaf replaces no column of ``keep``.
+    """
+    parsed = df.select(*keep, F.try_parse_json(payload).alias("_v"))
+    is_object = F.schema_of_variant("_v").startswith("OBJECT")
+    shape = parsed.where(is_object).agg(F.schema_of_variant_agg("_v")).first()[0]
+    if not shape.startswith("OBJECT<") or shape == "OBJECT<>":
+        return parsed.select(*keep)
+    typed = shape.replace("OBJECT<>", "STRING").replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    read = parsed.select(*keep, F.when(is_object, F.variant_get("_v", "$", typed)).alias("_o"))
+    leaves = leaf_columns(read.schema["_o"].dataType.fields, lambda name: F.col("_o")[name])
+    mixed = {n for n, (_, kind) in leaves.items() if "variant" in kind.simpleString()}
+    return read.select(*keep, *[(F.to_json(c) if n in mixed else c).alias(n) for n, (c, _) in leaves.items() if n not in keep])
 
 
 def struct_leaves(struct: T.StructType, steps: tuple[str, ...] = ()):
@@ -86,7 +111,7 @@ def struct_leaves(struct: T.StructType, steps: tuple[str, ...] = ()):
         if isinstance(f.dataType, T.StructType):
             yield from struct_leaves(f.dataType, path)
         else:
-            yield f.name, follow(path)
+            yield f.name, f.dataType, follow(path)
 
 
 def follow(path: tuple[str, ...]):

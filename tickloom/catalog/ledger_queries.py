@@ -11,6 +11,7 @@ from tickloom.catalog.tables import define
 from tickloom.functions import scalars
 from tickloom.operators import indicators, tables
 from tickloom.plans import ledger, performance, quotes, reports, rule_tables, screening, search
+from tickloom.session import checkpoint
 from tickloom.sources import market
 
 CASH = 500_000_000.0
@@ -355,7 +356,7 @@ def nav_vs_benchmark(spark, folder):
 def facts(spark, folder):
     """Positions of the derived ledger and a NAV frame that carries turnover."""
     n = market.nav_daily(spark, folder).withColumn("turnover", F.col("gross_exposure"))
-    segments = ledger.fifo_segments(market.trades(spark, folder))
+    segments = checkpoint(ledger.fifo_segments(market.trades(spark, folder)))  # matched once, for positions and closed lots
     return market.trades(spark, folder), positions_of(spark, folder, segments), ledger.closed_trades(segments, days(spark, folder)), n
 
 

@@ -7,8 +7,9 @@ from tickloom.catalog.scalar_queries import SCORE
 from tickloom.catalog.screening_rule import RULE, CATALOG, SIGNALS, signal_base
 from tickloom.catalog.tables import define
 from tickloom.functions import rules
-from tickloom.operators import indicators, joins, scans, tables
+from tickloom.operators import indicators, joins, scans, sketches, tables
 from tickloom.plans import quotes
+from tickloom.session import scratch_path
 from tickloom.sources import market
 
 PRICES = ("open_price", "high_price", "low_price", "close_price")
@@ -203,6 +204,30 @@ def approx_distinct(spark, folder):
     return both.select((F.abs(F.col("approx") - F.col("exact")) <= F.col("exact") * 0.1).alias("close_enough"), "exact")
 
 
+@query("A05_stored_sketches", """
+SELECT year(d)::INT AS year, count(*) AS row_count, count(DISTINCT l_orderkey) AS exact, true AS distinct_close, true AS median_close FROM (SELECT *, l_shipdate::DATE AS d FROM lineitem)
+WHERE year(d) BETWEEN 1994 AND 1996 GROUP BY 1""")
+def stored_sketches(spark, folder):
+    """Years profiled from the stored sketches of their days, and held against exact counts and ranks."""
+    li = market.table(spark, folder, "lineitem").withColumn("day", F.col("l_shipdate").cast("date")).where(F.year("day").between(1994, 1996))
+    path = scratch_path(spark, "sketches")
+    for last in (False, True):  # the last year is added later, and the days before it are not read again
+        part = li.where((F.year("day") == 1996) == F.lit(last))
+        sketches.store_days(sketches.daily_sketches(part, "day", ["l_orderkey"], ["l_extendedprice"]), path)
+    found = sketches.measured(sketches.merged(sketches.stored(spark, path).withColumn("year", F.year("day")), ["year"]))
+    keys = found.where("column_name = 'l_orderkey'").select("year", "row_count", "distinct_count")
+    medians = found.where("column_name = 'l_extendedprice'").select("year", F.col("quantiles")[1].alias("median"))
+    rows = li.withColumn("year", F.year("day")).join(medians, "year")
+    exact = rows.groupBy("year").agg(
+        F.count_distinct("l_orderkey").alias("exact"), F.avg((F.col("l_extendedprice") <= F.col("median")).cast("double")).alias("share_upto"),
+        F.avg((F.col("l_extendedprice") < F.col("median")).cast("double")).alias("share_below"),
+    )
+    return keys.join(exact, "year").select(
+        "year", "row_count", "exact", (F.abs(F.col("distinct_count") - F.col("exact")) <= F.col("exact") * sketches.DISTINCT_ERROR + 1).alias("distinct_close"),
+        ((F.col("share_below") <= 0.5 + sketches.RANK_ERROR) & (F.col("share_upto") >= 0.5 - sketches.RANK_ERROR)).alias("median_close"),
+    )
+
+
 @query("A06_latest_by", """
 SELECT security_code, max(trade_date) AS trade_date, arg_max(close_price, trade_date) AS close_price FROM bars GROUP BY 1""",
     ["bars"], ("close_price",))

@@ -6,6 +6,7 @@ from tickloom.catalog.registry import query
 from tickloom.catalog.tables import compose, define
 from tickloom.operators import indicators as ind
 from tickloom.operators import tables
+from tickloom.plans import marts
 from tickloom.sources import market
 
 KEY = ("security_code", "trade_date")
@@ -191,17 +192,39 @@ SELECT security_code, trade_date, max((stage, p2, p1, -p0, l2 / l1, (h1 - l2) /
     AND (hs[p1] - ls[p2]) / (hs[p1] - ls[p0]) BETWEEN 0.25e0 AND 0.75e0) GROUP BY ALL""", ["structure_bars"])
 
 
-@query("I13_n_structure", """
+STRUCTURE_SQL = """
 SELECT security_code, trade_date, coalesce(best[1], 0) >= 2 AS is_valid_n_structure,
   CASE coalesce(best[1], 0) WHEN 3 THEN 'breakout' WHEN 2 THEN 'rebound' WHEN 1 THEN 'higher_low' ELSE 'none' END AS n_structure_stage,
   best[5] AS higher_low_ratio, best[6] AS pullback_depth, best[7] AS rebound_ratio FROM (
   SELECT g.security_code, g.trade_date, s.best FROM gap_bars g ASOF LEFT JOIN structure_bars v ON g.security_code = v.security_code AND g.trade_date >= v.trade_date
-  LEFT JOIN structures s ON s.security_code = v.security_code AND s.trade_date = v.trade_date)""", ["structures"],
+  LEFT JOIN structures s ON s.security_code = v.security_code AND s.trade_date = v.trade_date)"""
+
+
+@query("I13_n_structure", STRUCTURE_SQL, ["structures"],
     ("higher_low_ratio", "pullback_depth", "rebound_ratio"), digits=6)
 def n_structure(spark, folder):
     return ind.n_structure(market.gap_bars(spark, folder).select(*KEY, "high_price", "low_price")).drop("high_price", "low_price")
 
 
+define("pattern_structures", STRUCTURE_SQL, ["structures"])
+PATTERN_RATIOS = ("n_structure_20_higher_low_ratio", "n_structure_20_pullback_depth", "n_structure_20_rebound_ratio")
+
+
+@query("I14_price_pattern_mart", f"""
+SELECT k.*, is_valid_n_structure AS n_structure_20_is_valid, n_structure_stage AS n_structure_20_stage, higher_low_ratio AS n_structure_20_higher_low_ratio,
+  pullback_depth AS n_structure_20_pullback_depth, rebound_ratio AS n_structure_20_rebound_ratio FROM ({STREAKS}) k JOIN pattern_structures p USING (security_code, trade_date)""",
+    ["gap_bars", "pattern_structures"], PATTERN_RATIOS, digits=6)
+def price_pattern_mart(spark, folder):
+    b = tables.with_prev(market.gap_bars(spark, folder).select(*KEY, "close_price", "high_price", "low_price"), ["close_price"])
+    return marts.price_pattern_mart(b)
+
+
+@query("I14_volume_mart", "SELECT security_code, trade_date, " + ", ".join(f"volume_ma_{n}" for n in ind.VOLUME_MA_WINDOWS) + " FROM averages", ["averages"],
+    tuple(f"volume_ma_{n}" for n in ind.VOLUME_MA_WINDOWS), digits=4)
+def volume_mart(spark, folder):
+    return marts.volume_mart(market.gap_bars(spark, folder).select(*KEY, "volume"))
+
+
 @query("I14_momentum_mart", """
 SELECT security_code, trade_date, rsi_6, rsi_14, k_value, d_value, j_value FROM rsi LEFT JOIN kdj USING (security_code, trade_date)""", ["rsi", "kdj"],
     ("rsi_6", "rsi_14", "k_value", "d_value", "j_value"))

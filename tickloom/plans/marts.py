@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tickloom.operators import indicators
 from tickloom.operators.scans import asof_join
 from tickloom.operators.tables import with_prev
 
@@ -43,3 +45,19 @@ def quotes_mart(
         columns=["valuation_date", *values], right_unique=True, bounded=True,
     )
     return add_columns(valued, kdj)
+
+
+def price_pattern_mart(bars: DataFrame) -> DataFrame:
+    """Streaks and the N-structure of the last 20 valid bars under their mart names (I14); ``bars`` carry the previous close."""
+    shown = {
+        "is_valid_n_structure": "n_structure_20_is_valid", "n_structure_stage": "n_structure_20_stage", "higher_low_ratio": "n_structure_20_higher_low_ratio",
+        "pullback_depth": "n_structure_20_pullback_depth", "rebound_ratio": "n_structure_20_rebound_ratio",
+    }
+    return indicators.price_pattern(bars).select(
+        "security_code", "trade_date", "close_direction", "close_up_streak_days", "close_down_streak_days", *[F.col(c).alias(n) for c, n in shown.items()]
+    )
+
+
+def volume_mart(bars: DataFrame, windows: Sequence[int] = indicators.VOLUME_MA_WINDOWS) -> DataFrame:
+    """Volume averages."""
+    return indicators.means(bars, "volume", {n: f"volume_ma_{n}" for n in windows}).drop("volume")

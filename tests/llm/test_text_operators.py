@@ -323,6 +323,33 @@ def test_gibberish_falls_outside_the_band(spark):
     assert sum(kept[i] for i in range(300) if i in kept) >= 0.98 * sum(1 for i in kept if i < 300)
 
 
+def test_bands_follow_the_size_of_a_language_smoothly(spark):
+    """Bands against numpy; one document more moves a small language's band a little and never by a step."""
+    rnd = random.Random(4)
+    rows = [("big", rnd.gauss(2, 0.2)) for _ in range(400)] + [("small", rnd.gauss(4, 0.5)) for _ in range(40)] + [(None, rnd.gauss(3, 0.1)) for _ in range(5)]
+
+    def plain(part, k=30.0):
+        nats = np.array([x for _, x in part])
+        lower = lambda v: float(np.sort(v)[(len(v) + 1) // 2 - 1])
+        every = lower(nats)
+        spread = lower(np.abs(nats - every))
+        out = {}
+        for lang in {a for a, _ in part}:
+            own = np.array([x for a, x in part if a == lang])
+            w, m = len(own) / (len(own) + k), lower(own)
+            middle, s = w * m + (1 - w) * every, max((w * lower(np.abs(own - m)) + (1 - w) * spread) * 1.4826, 1e-3)
+            out[lang] = (middle - 6 * s, middle + 5 * s)
+        return out
+
+    for size in (415, 429, 430, 431, 445):
+        part = rows[:size] + rows[440:]
+        scored = spark.createDataFrame([(a, x, False) for a, x in part], "lang string, nats double, base_failed boolean").coalesce(1)
+        got = {r.band_lang: (r.floor, r.ceiling) for r in quality_rules.perplexity_bands(scored, 6.0, 5.0).collect()}
+        want = plain(part)
+        assert set(got) == set(want)
+        assert all(got[a] == pytest.approx(want[a], abs=1e-9) for a in want)
+
+
 # --- classifier ------------------------------------------------------------------------------
 
 

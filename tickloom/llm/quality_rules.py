@@ -23,8 +23,8 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes counted at a time.
 CHUNK = 4_000_000
 MIN_WORDS = 50
-#: A language with fewer usable documents than this takes the band of all languages.
-MIN_BAND_DOCS = 30
+#: Documents of all languages that stand behind the band of each: a language of n documents weighs n to this.
+PRIOR_DOCS = 30.0
 
 
 def trigram_keys(data: bytes) -> np.ndarray:
@@ -194,11 +194,13 @@ def score_texts(docs: DataFrame, model: KneserNey | None, id_col: str, text_col:
     return source.mapInArrow(run, f"doc_id {kind}, lang string, {longs}, nats double")
 
 
-def perplexity_bands(scored: DataFrame, low: float, high: float) -> DataFrame:
+def perplexity_bands(scored: DataFrame, low: float, high: float, prior_docs: float = PRIOR_DOCS) -> DataFrame:
     """lang, floor, ceiling of ``nats``: the language's median less ``low`` and plus ``high`` robust deviations.
 
     A deviation is 1.4826 times the median distance from the median, over the documents that pass the
-    base rules. Small languages take the band of all documents.
+    base rules. Median and deviation are drawn towards those of all documents, as if ``prior_docs`` of
+    these stood beside the language's own: a small language has nearly the common band, a large one its own,
+    and no size at which a verdict jumps.
     """
     usable = scored.where("NOT base_failed AND nats IS NOT NULL")
 
@@ -208,16 +210,16 @@ def perplexity_bands(scored: DataFrame, low: float, high: float) -> DataFrame:
     middle = written(middle, "quality-medians")
     apart = usable.join(middle, usable["lang"].eqNullSafe(middle["band_lang"]))
     spread = apart.groupBy("band_lang", "median", "docs").agg(F.percentile_approx(F.abs(F.col("nats") - F.col("median")), 0.5, 10_000).alias("s"))
-    enough = F.col("docs") >= MIN_BAND_DOCS
+    own = F.col("docs") / (F.col("docs") + F.lit(float(prior_docs)))
     bands = spread.select(
-        "band_lang", F.when(enough, F.col("median")).otherwise(every).alias("m"),
-        F.greatest(F.when(enough, F.col("s")).otherwise(s) * 1.4826, F.lit(1e-3)).alias("s"),
+        "band_lang", (own * F.col("median") + (1 - own) * every).alias("m"), F.greatest((own * F.col("s") + (1 - own) * s) * 1.4826, F.lit(1e-3)).alias("s"),
     )
     return bands.select("band_lang", (F.col("m") - low * F.col("s")).alias("floor"), (F.col("m") + high * F.col("s")).alias("ceiling"))
 
 
 def quality_rules(
-    docs: DataFrame, low: float = 6.0, high: float = 5.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, low: float = 6.0, high: float = 5.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    prior_docs: float = PRIOR_DOCS,
 ) -> DataFrame:
     """Counts, verdict of the base rules, perplexity and verdict of each document.
 
@@ -230,7 +232,7 @@ def quality_rules(
     scored = score_texts(docs, fit_model(docs, text_col), id_col, text_col, lang_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = written(scored.withColumn("base_failed", failed), "quality-scores")
-    bands = written(perplexity_bands(scored, low, high), "quality-bands")
+    bands = written(perplexity_bands(scored, low, high, prior_docs), "quality-bands")
     judged = scored.join(bands, scored["lang"].eqNullSafe(bands["band_lang"]), "left")
     inside = F.coalesce(F.col("nats").between(F.col("floor"), F.col("ceiling")), F.lit(False))
     return judged.select(

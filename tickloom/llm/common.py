@@ -41,9 +41,7 @@ def tidy(work: Callable):
 
     def give_back() -> None:
         import ctypes
-        import gc
 
-        gc.collect()
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)

@@ -388,6 +388,67 @@ def test_nearest_directory_is_inherited(spark):
     assert licenses.scan_licenses(table.where("false")).count() == 0
 
 
+def commented(text, mark, width=60, opening="", closing=""):
+    import textwrap
+
+    lines = [line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width), ""]][:-1]
+    return "\n".join([*([opening] if opening else []), *[f"{mark}{line}".rstrip() for line in lines], *([closing] if closing else [])])
+
+
+APACHE = """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL2 = """Tool for things, written by Some Body.
+
+This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+GPL3 = GPL2.replace("software; you", "software: you").replace("Foundation; either version 2", "Foundation, either version 3")
+BSD = "Copyright 2011 The Authors. All rights reserved. Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."
+
+
+def test_wrapped_headers_in_comments_are_found(spark):
+    code = "\nimport os\n\nvalue = os.getcwd()\n" + "value = other(value)\n" * 40
+    rows = [
+        ("Apache-2.0", commented(APACHE, " * ", opening="/*", closing=" */") + code), ("Apache-2.0", commented(APACHE, "// ") + code),
+        ("GPL-2.0", commented(GPL2, "# ") + code), ("GPL-2.0", "#!/bin/sh\n" + commented(GPL2, "## ", 40) + code), ("GPL-2.0", "/* " + commented(GPL2, "   ").strip() + " */" + code),
+        ("GPL-3.0", commented(GPL3, "-- ") + code), ("GPL-3.0", commented(GPL3, "; ", 72).replace("\n", "\r\n") + code), ("GPL-3.0", '"""\n' + commented(GPL3, "") + '\n"""' + code),
+        ("BSD-3-Clause", commented(BSD, "// ", 70) + code), ("MIT", "// SPDX-License-Identifier: MIT" + code), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */" + code),
+        (None, "# You need a fishing licence, and a driving\n# license too, to get there" + code), (None, code),
+    ]
+    table = spark.createDataFrame([(i, f"d{i}/x", text) for i, (_, text) in enumerate(rows)], "doc_id int, path string, text string")
+    got = {r.doc_id: (r.licence, r.origin) for r in licenses.scan_licenses(table).collect()}
+    assert got == {i: (name, "own" if name else None) for i, (name, _) in enumerate(rows)}
+    # a header, even over next to no code, doesn't cover the directory
+    table = spark.createDataFrame([(1, "d/__init__.py", commented(APACHE, "# ")), (2, "d/x.py", "x")], "doc_id int, path string, text string")
+    assert {r.doc_id: r.licence for r in licenses.scan_licenses(table).collect()} == {1: "Apache-2.0", 2: None}
+
+
+def test_licence_texts_cover_their_directory(spark):
+    texts = {name: text.replace("Copyright (c)", "Copyright (c) 2019 Some Body <some@body.org>") for name, text in licenses.TEXTS}
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "The words of a very long text that nobody reads.\n\n" * 300
+    files = [(f"{name}/terms.txt", commented(text, "", 72)) for name, text in texts.items()]
+    files += [("GPL-3.0/about.txt", gpl), ("Apache-2.0/LICENSE.md", "Our terms, in many more words than needed, are these, as far as anyone here knows.\n\nLicensed under the Apache License, Version 2.0")]
+    files += [("none/readme", "How it works\n\nLicensed under the Apache License, Version 2.0\n\n" + "Many words about how it works. " * 30)]
+    folders = [path.split("/")[0] for path, _ in files]
+    rows = [(path, path, text) for path, text in files] + [(f"{f}/src/x.py", f"{f}/src/x.py", "x = 1") for f in folders]
+    got = {r.doc_id: (r.licence, r.origin, r.inherited_from) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, path string, text string")).collect()}
+    for path, _ in files:
+        assert got[path] == ("Apache-2.0" if path == "none/readme" else path.split("/")[0], "own", None)
+    for f in folders:
+        assert got[f"{f}/src/x.py"] == ((None, None, None) if f == "none" else (f, "directory", f))
+
+
+def test_paragraphs_by_hand(spark):
+    text = "// a\n// b\n//\n// c\nd = 1\ne = 2\n\n/* f\n * g */ h\n# i\n\n \n\tj\r\nk"
+    row = spark.createDataFrame([(text,)], "text string").select(licenses.paragraphs(F.col("text"))).first()[0]
+    assert row == ["a b", "c", "d = 1 e = 2", "f g", "h", "i", "j k"]
+
+
 @pytest.mark.parametrize("name", ["op5_chat_windows", "op6_license_scan"])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()

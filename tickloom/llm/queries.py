@@ -149,8 +149,14 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return score(table(spark, folder, "documents"))
 
 
-TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{notice}')" for i, (name, notice) in enumerate(licenses.TEMPLATES))
 TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+(?:[.\-/][\p{{L}}\p{{N}}]+)*')"
+WORDS = r"len(regexp_extract_all({0}, '[^\x20\x09-\x0D]+'))"
+
+
+def rows_sql(templates) -> str:
+    """Templates as rows template, licence, notice."""
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, notice.replace("'", "''")) for i, (name, notice) in enumerate(templates))
+    return f"(VALUES {rows}) t(template, licence, notice)"
 
 
 def terms_sql(keys: str, text: str, source: str) -> str:
@@ -160,31 +166,65 @@ def terms_sql(keys: str, text: str, source: str) -> str:
       SELECT {keys}, {TERMS.format(text)} AS w FROM {source})) GROUP BY ALL"""
 
 
+def sentences_sql(text: str) -> str:
+    cut = f"string_split(regexp_replace({text}, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10))"
+    return f"list_filter(list_transform({cut}, lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '{licenses.CUE}'))"
+
+
+def paragraphs_sql(text: str) -> str:
+    plain = f"(chr(10) || {text})"
+    for pattern, becomes in licenses.UNMARK:
+        becomes = becomes.replace("$", "\\").replace("\n", "' || chr(10) || '").replace("\x01", "' || chr(1) || '")
+        plain = f"regexp_replace({plain}, '{pattern}', '{becomes}', 'g')"
+    return f"""list_filter(list_transform(string_split_regex({plain}, '{licenses.BLANK_LINES}'),
+      lambda p: trim(regexp_replace(p, '[ \\t\\n]+', ' ', 'g'), ' ')), lambda p: p <> '')"""
+
+
+def similar_sql(name: str, counted: str, total: str, templates) -> str:
+    """Relations up to {name}_best: the best template of each key of ``counted`` (key, n, term, tf)."""
+    pieces = f"(SELECT template, licence, unnest({paragraphs_sql('notice')}) AS piece FROM {rows_sql(templates)})"
+    return f"""{name}_counted AS MATERIALIZED ({counted}
+), {name}_frequency AS (SELECT term, sum(n) AS df FROM {name}_counted GROUP BY 1
+), {name}_total AS ({total}
+), {name}_weighed AS (SELECT key, term, tf * (ln((1e0 + docs) / (1 + df)) + 1) AS w FROM {name}_counted JOIN {name}_frequency USING (term), {name}_total
+), {name}_notices AS ({terms_sql("template, licence", "piece", pieces)}
+), {name}_own AS (SELECT template, licence, term, tf * (ln((1e0 + docs) / (1 + coalesce(df, 0))) + 1) AS v FROM {name}_notices LEFT JOIN {name}_frequency USING (term), {name}_total
+), {name}_scored AS (
+  SELECT key, template, licence, round(sum(w * v) / (any_value(norm) * any_value(size)), 9) AS similarity FROM {name}_weighed JOIN {name}_own USING (term)
+  JOIN (SELECT key, sqrt(sum(w * w)) AS norm FROM {name}_weighed GROUP BY 1) USING (key)
+  JOIN (SELECT template, sqrt(sum(v * v)) AS size FROM {name}_own GROUP BY 1) USING (template) GROUP BY key, template, licence
+), {name}_best AS (
+  SELECT key, template, licence, similarity FROM {name}_scored WHERE similarity >= {licenses.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY similarity DESC, template) = 1
+)"""
+
+
+# No file of this query is named like a licence, so that its SQL needs no file names.
 OP6_SQL = f"""
 WITH files AS (
   SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS folder, coalesce(text, '') AS text FROM documents
-), spoken AS (
-  SELECT doc_id, folder, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, unnest(list_filter(list_transform(
-    string_split(regexp_replace(text, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '{licenses.CUE}'))) AS passage
+), told AS MATERIALIZED (
+  SELECT doc_id, folder, {WORDS.format('text')} AS words, {sentences_sql('text')} AS lines, {paragraphs_sql('text')} AS paragraphs
   FROM files WHERE regexp_matches(text, '{licenses.CUE}')
-), passages AS (SELECT passage, count(*) AS n FROM spoken GROUP BY 1
-), counted AS ({terms_sql("passage, n", "passage", "passages")}
-), frequency AS (SELECT term, sum(n) AS df FROM counted GROUP BY 1
-), total AS (SELECT coalesce(sum(n), 0) AS docs FROM passages
-), weighed AS (SELECT passage, term, tf * (ln((1e0 + docs) / (1 + df)) + 1) AS w FROM counted JOIN frequency USING (term), total
-), notices AS ({terms_sql("template, licence", "notice", f"(VALUES {TEMPLATE_ROWS}) t(template, licence, notice)")}
-), own AS (SELECT template, licence, term, tf * (ln((1e0 + docs) / (1 + coalesce(df, 0))) + 1) AS v FROM notices LEFT JOIN frequency USING (term), total
-), scored AS (
-  SELECT passage, template, licence, round(sum(w * v) / (any_value(norm) * any_value(size)), 9) AS similarity FROM weighed JOIN own USING (term)
-  JOIN (SELECT passage, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY 1) USING (passage)
-  JOIN (SELECT template, sqrt(sum(v * v)) AS size FROM own GROUP BY 1) USING (template) GROUP BY passage, template, licence
-), best AS (
-  SELECT passage, licence, similarity FROM scored WHERE similarity >= {licenses.THRESHOLD}
-  QUALIFY row_number() OVER (PARTITION BY passage ORDER BY similarity DESC, template) = 1
+), cued AS (SELECT doc_id, lines, paragraphs, list_filter(paragraphs, lambda p: regexp_matches(p, '{licenses.CUE}')) AS speaking FROM told
+), spoken AS MATERIALIZED (
+  SELECT doc_id, 0 AS kind, unnest(lines) AS passage FROM cued
+  UNION ALL SELECT doc_id, 1, unnest(speaking) FROM cued
+  UNION ALL SELECT doc_id, 2, unnest(flatten(list_transform(speaking, lambda p: {sentences_sql('p')}))) FROM cued
+  UNION ALL SELECT doc_id, 3, paragraphs[1] FROM cued WHERE regexp_matches(paragraphs[1], '{licenses.CUE}')
+), passages AS (SELECT passage AS key, count(*) AS n FROM spoken GROUP BY 1
+), {similar_sql("p", terms_sql("key, n", "key", "passages"), "SELECT coalesce(sum(n), 0) AS docs FROM passages", licenses.TEMPLATES)
+}, texts AS (SELECT array_to_string(paragraphs, chr(10)) AS key, any_value(paragraphs) AS paragraphs, count(*) AS n FROM told GROUP BY 1
+), {similar_sql("t", terms_sql("key, n", "piece", "(SELECT key, n, unnest(paragraphs) AS piece FROM texts)"), "SELECT coalesce(sum(n), 0) AS docs FROM (SELECT DISTINCT key, n FROM t_counted)", licenses.TEXTS)
+}, by_passage AS (
+  SELECT doc_id, max(struct_pack(similarity, licence)) AS b, max(CASE WHEN kind = 3 AND template >= {licenses.FIRST_TITLE} THEN 1 ELSE 0 END) = 1 AS titled,
+    greatest(sum(CASE WHEN kind = 0 THEN {WORDS.format('passage')} ELSE 0 END), sum(CASE WHEN kind = 2 THEN {WORDS.format('passage')} ELSE 0 END)) AS notice_words
+  FROM spoken JOIN p_best ON passage = key GROUP BY doc_id
 ), noticed AS (
-  SELECT doc_id, folder, max(struct_pack(similarity, licence)) AS b,
-    sum(len(regexp_extract_all(passage, '[^\\x20\\x09-\\x0D]+'))) >= {licenses.FILE_SHARE} * any_value(words) AS covers
-  FROM spoken JOIN best USING (passage) GROUP BY doc_id, folder
+  SELECT doc_id, folder, CASE WHEN w.similarity IS NULL THEN b ELSE struct_pack(similarity := w.similarity, licence := w.licence) END AS b,
+    w.similarity IS NOT NULL OR coalesce(titled OR notice_words >= {licenses.FILE_SHARE} * words, false) AS covers
+  FROM told LEFT JOIN by_passage USING (doc_id) LEFT JOIN t_best w ON w.key = array_to_string(paragraphs, chr(10))
+  WHERE b IS NOT NULL OR w.similarity IS NOT NULL
 ), covering AS (
   SELECT folder, b.licence AS licence FROM noticed WHERE covers QUALIFY row_number() OVER (PARTITION BY folder ORDER BY b.similarity DESC, b.licence) = 1
 )

@@ -278,39 +278,81 @@ def test_repeated_words_with_many_distinct(monkeypatch):
         assert quality_rules.repeated_words([w.encode() for w in words]) == plain_counts(" ".join(words))[4]
 
 
-def test_kneser_ney_against_plain_python():
-    """Probabilities by the textbook formula with counts in dictionaries; they add up to one."""
-    data = b"abracadabra abracadabra banana bandana" * 3
-    keys = quality_rules.trigram_keys(data)
-    grams, counts = np.unique(keys, return_counts=True)
-    model = quality_rules.KneserNey.fit(grams.astype(np.int64), counts)
-    c3 = dict(zip(grams.tolist(), counts.tolist()))
-    c2 = Counter(k & 0xFFFF for k in c3)
-    c1 = Counter(k & 0xFF for k in c2)
-
-    def discounted(table, context_bits):
-        d = quality_rules.discounts(np.array(list(table.values())))
-        total, left = Counter(), Counter()
-        for k, c in table.items():
-            total[k >> 8 & context_bits] += c
-            left[k >> 8 & context_bits] += d[min(c, 3)]
-        return d, total, left
-
-    def p(key):
-        w, v, uv = key & 0xFF, key >> 8 & 0xFF, key >> 8
-        d1, t1, l1 = discounted(c1, 0)
-        one = (c1[w] - d1[min(c1[w], 3)]) / t1[0] + l1[0] / t1[0] / 256
-        d2, t2, l2 = discounted(c2, 0xFF)
-        two = (c2[key & 0xFFFF] - d2[min(c2[key & 0xFFFF], 3)]) / t2[v] + l2[v] / t2[v] * one if t2[v] else one
-        d3, t3, l3 = discounted(c3, 0xFFFF)
-        c = c3.get(key, 0)
-        return (c - d3[min(c, 3)]) / t3[uv] + l3[uv] / t3[uv] * two if t3[uv] else two
-
-    some = [*grams.tolist()[:20], 0x616263, 0x7A7A7A, 0x62617A]
-    got = np.exp(model.lookup(np.array(some, np.uint32)))
-    assert got == pytest.approx([p(k) for k in some], rel=1e-4)
-    assert np.exp(model.lookup(np.arange(0x616200, 0x616300, dtype=np.uint32)).astype(float)).sum() == pytest.approx(1, rel=1e-4)
-    assert (model.dense()[keys] == model.lookup(keys)).all()
+def plain_kneser_ney(counted, text):
+    """Modified Kneser-Ney over word pairs by the textbook formula, with counts in dictionaries: p of each word of ``text``."""
+
+    def discounts(table):
+        n = Counter(table.values())
+        if not all(n[k] for k in (1, 2, 3, 4)):
+            return [0, 0.5, 1, 1.5]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3))]
+
+    def pairs_of(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        return list(zip([None, *words], words))
+
+    pairs = Counter(p for t in counted for p in pairs_of(t))
+    before = Counter(w for _, w in pairs)
+    d2, d1 = discounts(pairs), discounts(before)
+    mass = sum(d1[min(c, 3)] for c in before.values())
+
+    def p(v, w, own):
+        lower = (before[w] - d1[min(before[w], 3)] + mass / (len(before) + 1)) / len(pairs) if pairs else 1
+        rest = {k: c - own[k] for k, c in pairs.items() if k[0] == v}
+        total = sum(rest.values())
+        if not total:
+            return lower
+        c = rest.get((v, w), 0)
+        return (c - d2[min(c, 3)] + sum(d2[min(x, 3)] for x in rest.values()) * lower) / total
+
+    mine = pairs_of(text)
+    own = Counter(mine) if text in counted else Counter()
+    return [p(v, w, Counter()) for v, w in mine], [p(v, w, own) for v, w in mine]
+
+
+@pytest.mark.parametrize(("chunk", "part"), [(8_000_000, 64_000_000), (60, 300)])
+def test_kneser_ney_against_plain_python(spark, monkeypatch, chunk, part):
+    """One chunk, and many chunks and parts; counted texts, and others judged by them."""
+    monkeypatch.setattr(quality_rules, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(quality_rules, "PART_BYTES", part)
+    rnd = random.Random(3)
+    words = "le chat dort sur un toit et la lune é 猫 ne dit pas tout".split()
+    texts = [" ".join(rnd.choice(words[: rnd.randrange(2, 15)]) for _ in range(rnd.randrange(1, 40))) for _ in range(30)] + ["seul", "", None, "chat chat chat", "\x0b "]
+    new = ["le chat", "rien de connu", "lune dort chat toit la", "", None]
+    rows = [(i, "fr", t, True, True) for i, t in enumerate(texts)] + [(100 + i, None, t, False, True) for i, t in enumerate(new)]
+    rows += [(200, "fr", "toit sur toit", True, False)]
+    table = spark.createDataFrame(rows, "doc_id int, lang string, text string, counted boolean, judged boolean").repartition(3)
+    got = by_id(quality_rules.score_texts(table).collect())
+    counted = [t for _, _, t, c, _ in rows if c]
+    assert set(got) == {r[0] for r in rows} - {200}
+    for i, _, text, c, judged in rows:
+        if judged:
+            every, others = plain_kneser_ney(counted, text)
+            if not every:
+                assert got[i].nats is None and got[i].nats_others is None
+                continue
+            assert got[i].nats == pytest.approx(-sum(map(math.log, every)) / len(every), rel=1e-9)
+            assert got[i].nats_others == pytest.approx(-sum(map(math.log, others)) / len(others), rel=1e-9)
+
+
+def test_probabilities_add_up_to_one(spark):
+    texts = ["a b a c a d a b", "b a d c", "c a b a b"]
+    every = [plain_kneser_ney(texts, f"a {w}")[0][1] for w in ["a", "b", "c", "d", "unknown"]]
+    assert sum(every) == pytest.approx(1)
+
+
+def test_shuffled_words_fall_outside_the_band(spark):
+    """Accepted documents with their words shuffled, judged by the model and bands of the originals."""
+    table = docs(spark).cache()
+    kept = quality_rules.quality_rules(table).where("kept").select("doc_id").join(table, "doc_id").collect()
+    rnd = random.Random(7)
+    salad = [(r.doc_id, r.lang, " ".join(rnd.sample(r.text.split(), len(r.text.split())))) for r in kept]
+    got = quality_rules.quality_rules(spark.createDataFrame(salad, "doc_id bigint, lang string, text string"), reference=table).collect()
+    assert len(got) == len(salad) > 100
+    assert sum(r.kept for r in got) <= 0.1 * len(salad)
+    again = quality_rules.quality_rules(table.where("doc_id % 2 = 0"), reference=empty(spark))
+    assert again.where("kept").count() == 0 and again.count() == table.where("doc_id % 2 = 0").count()
 
 
 def test_gibberish_falls_outside_the_band(spark):

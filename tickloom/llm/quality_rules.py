@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.chunks import parts, squeeze, unsqueeze
@@ -34,9 +35,12 @@ PRIOR_DOCS = 30.0
 CHUNK_BYTES = 8_000_000
 #: Bytes of packed chunks behind each hash part.
 PART_BYTES = 64_000_000
-HASH_BITS = 52
+#: Bits of a pair's hash beyond those that number the words of the corpus: one pair in 8,192 shares its hash at most, at any size.
+SPARE_BITS = 13
+WORD_BITS = 48
 #: Stands before the first word of a text.
-START = 0x5BD1E995A5A5A5A5
+START = 0x5BD1E995A5A5
+CELLS = ["docs", "hashes", "codes"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -118,6 +122,18 @@ def byte_kinds() -> np.ndarray:
     return kinds
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the job that made them has written its table, which is all that later jobs read."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def bundle(*arrays: np.ndarray) -> bytes:
     """Unsigned numbers, array by array."""
     packed = [planes(a) for a in arrays]
@@ -134,7 +150,7 @@ def unbundle(data: bytes) -> list[np.ndarray]:
 
 
 def pack(source: DataFrame) -> DataFrame:
-    """chunk, docs, hashes, codes: rows and counts of whole documents, hashes of their distinct words, words as codes.
+    """chunk, words (their number), docs, hashes, codes: rows and counts of whole documents, hashes of their distinct words, words as codes.
 
     A table bucketed by chunk. Everything later reads it, so that a chunk may be numbered by its task.
     """
@@ -154,9 +170,14 @@ def pack(source: DataFrame) -> DataFrame:
             with pa.ipc.new_stream(sink, rows[0].schema) as out:
                 for piece in rows:
                     out.write_batch(piece)
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in place), np.uint64, len(place))
-            cells = [[task << 24 | made], [squeeze(sink.getvalue().to_pybytes())], [hashes.tobytes()], [planes(np.concatenate(codes))]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), *[pa.binary()] * 3))], ["chunk", "docs", "hashes", "codes"])
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in place), np.uint64, len(place)) >> np.uint64(64 - WORD_BITS)
+            every = np.concatenate(codes)
+            order = np.lexsort((hashes, -np.bincount(every, minlength=len(place))))  # frequent words get small codes, rare ones near hashes
+            code = np.empty(len(order), np.uint32)
+            code[order] = np.arange(len(order), dtype=np.uint32)
+            steps = np.diff(hashes[order], prepend=np.uint64(0)) & np.uint64((1 << WORD_BITS) - 1)
+            cells = [[task << 24 | made], [len(every)], [squeeze(sink.getvalue().to_pybytes())], [planes(steps)], [planes(code[every])]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), *[pa.binary()] * 3))], ["chunk", "words", *CELLS])
 
         for batch in batches:
             first, counts = 0, []
@@ -181,33 +202,29 @@ def pack(source: DataFrame) -> DataFrame:
         if rows:
             yield flush()
 
-    return bucketed(source.mapInArrow(tidy(work), "chunk bigint, docs binary, hashes binary, codes binary"), "quality-chunks", 2 * parts(spark))
-
-
-def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
-    """``df`` as a table bucketed by its column chunk."""
-    spark, path, key = df.sparkSession, scratch_path(df.sparkSession, name), f"quality_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("path", path).bucketBy(buckets, "chunk").saveAsTable(key)
-    return spark.table(key)
+    path, name = scratch_path(spark, "quality-chunks"), f"quality_{uuid.uuid4().hex}"
+    packed = source.mapInArrow(tidy(work), "chunk bigint, words bigint, docs binary, hashes binary, codes binary")
+    packed.write.format("parquet").option("path", path).bucketBy(2 * parts(spark), "chunk").saveAsTable(name)
+    return spark.table(name)
 
 
 class Chunk:
     """Pairs of a chunk: distinct hashes, the codes of each one's words, its count here, and the place of every word's pair."""
 
-    def __init__(self, docs: bytes, hashes: bytes, codes: bytes) -> None:
+    def __init__(self, bits: int, docs: bytes, hashes: bytes, codes: bytes) -> None:
         self.docs = pa.ipc.open_stream(unsqueeze(docs)).read_all().combine_chunks()
         self.lengths = self.docs["n_words"].to_numpy()
-        self.words = np.append(np.frombuffer(hashes, np.uint64), np.uint64(START))
+        self.words = np.append(np.cumsum(numbers(hashes), dtype=np.uint64) & np.uint64((1 << WORD_BITS) - 1), np.uint64(START))
         self.codes = numbers(codes).astype(np.int64)
         before = np.append(len(self.words) - 1, self.codes[:-1])[: len(self.codes)]
         before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = len(self.words) - 1
         key = mix(self.words[before] * np.uint64(MULTIPLIERS[0]) + self.words[self.codes] * np.uint64(MULTIPLIERS[1]) + np.uint64(MULTIPLIERS[2]))
-        self.hashes, first, place = np.unique(key >> np.uint64(64 - HASH_BITS), return_index=True, return_inverse=True)
+        self.hashes, first, place = np.unique(key >> np.uint64(64 - bits), return_index=True, return_inverse=True)
         self.place = place.reshape(-1)
         self.left, self.right = before[first], self.codes[first]
         seen = np.repeat(self.docs["counted"].to_numpy(zero_copy_only=False), self.lengths)
         self.n = np.bincount(self.place[seen], minlength=len(self.hashes))
-        keys = self.words >> np.uint64(64 - HASH_BITS)
+        keys = self.words >> np.uint64(WORD_BITS - min(bits, WORD_BITS))
         self.word_order = np.argsort(keys, kind="stable")
         self.word_keys = keys[self.word_order]
 
@@ -222,23 +239,23 @@ class Chunk:
         return np.bincount(code, values, len(self.words)).astype(np.int64)[self.word_order]
 
 
-def slices(keys: np.ndarray, n_parts: int) -> Iterator[tuple[int, slice]]:
+def slices(keys: np.ndarray, bits: int, n_parts: int) -> Iterator[tuple[int, slice]]:
     """Hash parts that sorted keys touch, and where."""
-    edges = np.array([(1 << HASH_BITS) * p // n_parts for p in range(n_parts)], np.uint64)
+    edges = np.array([(1 << bits) * p // n_parts for p in range(n_parts)], np.uint64)
     bounds = np.append(np.searchsorted(keys, edges), len(keys))
     for part in np.flatnonzero(np.diff(bounds)).tolist():
         yield part, slice(bounds[part], bounds[part + 1])
 
 
-def requests(keys: np.ndarray, values: list[np.ndarray], n_parts: int) -> Iterator[tuple[int, bytes]]:
-    for part, mine in slices(keys, n_parts):
+def requests(keys: np.ndarray, values: list[np.ndarray], bits: int, n_parts: int) -> Iterator[tuple[int, bytes]]:
+    for part, mine in slices(keys, bits, n_parts):
         yield part, bundle(np.diff(keys[mine], prepend=np.uint64(0)), *[v[mine] for v in values])
 
 
-def replies(keys: np.ndarray, by_part: dict[int, bytes], width: int, n_parts: int) -> list[np.ndarray]:
+def replies(keys: np.ndarray, by_part: dict[int, bytes], width: int, bits: int, n_parts: int) -> list[np.ndarray]:
     """The answers to ``requests`` in the order of the keys, ``width`` values each."""
     out = [np.zeros(len(keys), np.int64) for _ in range(width)]
-    for part, mine in slices(keys, n_parts):
+    for part, mine in slices(keys, bits, n_parts):
         for whole, piece in zip(out, unbundle(by_part[part])):
             whole[mine] = piece
     return out
@@ -276,14 +293,14 @@ def grouped(asked: DataFrame, n_parts: int, work) -> DataFrame:
 
 
 def pair_totals(part: int, chunks: list[int], asked: list[bytes]) -> list[tuple]:
-    """Twice the total of each pair, and one more for the chunk that owns it."""
+    """Twice the total of each pair, and one more for the chunk that owns it; under chunk -1 the distinct pairs and their counts of counts."""
     places, (totals,), first = summed(asked)
     ends = np.cumsum([len(p) for p in places])
     out = []
     for chunk, place, end in zip(chunks, places, ends.tolist()):
         owned = first[place] == np.arange(end - len(place), end)
         out.append((part, chunk, bundle(totals[place] * 2 + owned), None))
-    return out
+    return [*out, (part, -1, None, [int((totals > 0).sum()), *counts_of_counts(totals)])]
 
 
 def word_totals(part: int, chunks: list[int], asked: list[bytes]) -> list[tuple]:
@@ -302,50 +319,56 @@ def score_texts(source: DataFrame) -> DataFrame:
     nats_others is the same with the text's own pairs taken off the counts of pairs and contexts.
     """
     spark = source.sparkSession
-    buckets = 2 * parts(spark)
     chunks = pack(source)
-    size = chunks.agg(F.sum(F.length("codes") + F.length("hashes"))).first()[0] or 0
-    n_parts = max(parts(spark), -(-size // PART_BYTES))
+    n_words, size = chunks.agg(F.sum("words"), F.sum(F.length("codes") + F.length("hashes"))).first()
+    bits = min((n_words or 0).bit_length() + SPARE_BITS, 60)
+    n_parts = max(parts(spark), -(-(size or 0) // PART_BYTES))
+    layout, word_layout = (bits, n_parts), (min(bits, WORD_BITS), n_parts)
+    chunks = chunks.select("chunk", *CELLS)
+
+    def opened(table) -> Iterator[tuple[int, Chunk]]:
+        for chunk, *cells in zip(*[c.to_pylist() for c in table.columns]):
+            yield chunk, Chunk(bits, *cells)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, *cells in zip(*[c.to_pylist() for c in batch.columns]):
-                mine = Chunk(*cells)
-                yield from rows_of([(part, chunk, payload, None) for part, payload in requests(mine.hashes, [mine.n], n_parts)]).to_batches()
+            for chunk, mine in opened(batch):
+                yield from rows_of([(part, chunk, payload, None) for part, payload in requests(mine.hashes, [mine.n], *layout)]).to_batches()
 
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+    def ask_words(left: pa.Table, right: pa.Table) -> pa.Table:
         by_part = dict(zip(right["part"].to_pylist(), right["payload"].to_pylist()))
         out = []
-        for chunk, *cells in zip(*[c.to_pylist() for c in left.columns]):
-            mine = Chunk(*cells)
-            (reply,) = replies(mine.hashes, by_part, 1, n_parts)
-            total = reply >> 1
-            new = np.where(reply & 1, total, 0)  # pairs counted here, as this chunk owns them
+        for chunk, mine in opened(left):
+            (reply,) = replies(mine.hashes, by_part, 1, *layout)
+            new = np.where(reply & 1, reply >> 1, 0)  # pairs counted here, as this chunk owns them
             words = [mine.sums(mine.n, mine.left), *[mine.sums(k, mine.left) for k in (new == 1, new == 2, new > 2)], mine.sums(new > 0, mine.right)]
-            out.append((-1, chunk, bundle(total), [int((new > 0).sum()), *counts_of_counts(new)]))
-            out += [(part, chunk, payload, None) for part, payload in requests(mine.word_keys, words, n_parts)]
+            out += [(part, chunk, payload, None) for part, payload in requests(mine.word_keys, words, *word_layout)]
         return rows_of(out)
 
-    answers = grouped(chunks.mapInArrow(tidy(ask), ROW), n_parts, pair_totals)
-    counted = bucketed(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(count), ROW), "quality-pairs", buckets)
-    words = written(grouped(counted.where("part >= 0"), n_parts, word_totals), "quality-words")
-
     def total(df: DataFrame, width: int) -> list[int]:
-        return [x or 0 for x in df.agg(*[F.sum(F.col("sums")[k]) for k in range(width)]).first()]
+        return [x or 0 for x in df.where("chunk < 0").agg(*[F.sum(F.col("sums")[k]) for k in range(width)]).first()]
+
+    def answers(df: DataFrame, part: str) -> DataFrame:
+        return df.where("chunk >= 0").selectExpr(f"{part} AS part", "chunk", "payload")
+
+    with shuffles_dropped(spark):
+        pairs = written(grouped(chunks.mapInArrow(tidy(ask), ROW), n_parts, pair_totals), "quality-pairs")
+        asked = chunks.groupBy("chunk").cogroup(answers(pairs, "part").groupBy("chunk")).applyInArrow(tidy(ask_words), ROW)
+        words = written(grouped(asked, n_parts, word_totals), "quality-words")
 
-    pairs, *of_pairs = total(counted.where("part < 0"), 5)
-    *kinds, w1, w2, w3, w4 = total(words.where("chunk < 0"), 7)
+    n_pairs, *of_pairs = total(pairs, 5)
+    *kinds, w1, w2, w3, w4 = total(words, 7)
     of_words = discounts([w1, w2, w3, w4])
-    model = Totals(pairs, sum(kinds), discounts(of_pairs), of_words, float(of_words[1:] @ np.array(kinds, float)))
+    model = Totals(n_pairs, sum(kinds), discounts(of_pairs), of_words, float(of_words[1:] @ np.array(kinds, float)))
 
-    def finish(table: pa.Table, right: pa.Table) -> pa.Table:
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         by_part = dict(zip(right["part"].to_pylist(), right["payload"].to_pylist()))
+        by_word = {-1 - part: payload for part, payload in by_part.items() if part < 0}
         out = []
-        for _, docs, hashes, codes, payload in zip(*[c.to_pylist() for c in table.columns]):
-            mine = Chunk(docs, hashes, codes)
-            (total,) = unbundle(payload)
+        for _, mine in opened(left):
+            total = replies(mine.hashes, by_part, 1, *layout)[0] >> 1
             sums = np.zeros((5, len(mine.words)), np.int64)
-            sums[:, mine.word_order] = replies(mine.word_keys, by_part, 5, n_parts)
+            sums[:, mine.word_order] = replies(mine.word_keys, by_word, 5, *word_layout)
             mass = model.pair_discounts[1:] @ sums[1:4]
             doc, pair, times = mine.by_document()
             before = sums[4][mine.right][pair]
@@ -366,9 +389,8 @@ def score_texts(source: DataFrame) -> DataFrame:
 
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang string, {', '.join(f'{n} bigint' for n in COUNTS)}, nats double, nats_others double"
-    whole = chunks.join(counted.where("part < 0").select("chunk", "payload"), "chunk")
-    replied = words.where("chunk >= 0").select("part", "chunk", "payload")
-    return whole.groupBy("chunk").cogroup(replied.groupBy("chunk")).applyInArrow(tidy(finish), schema)
+    every = answers(pairs, "part").unionByName(answers(words, "-1 - part"))
+    return chunks.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(tidy(finish), schema)
 
 
 def perplexity_bands(scored: DataFrame, low: float, high: float, prior_docs: float = PRIOR_DOCS, column: str = "nats") -> DataFrame:

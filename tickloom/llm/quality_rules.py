@@ -32,7 +32,7 @@ MIN_WORDS = 50
 #: Documents of all languages that stand behind the band of each: a language of n documents weighs n to this.
 PRIOR_DOCS = 30.0
 #: Bytes of text in a chunk; a longer document ends the chunk it is in.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 10_000_000
 #: Bytes of packed chunks behind each hash part.
 PART_BYTES = 64_000_000
 #: Bits of a pair's hash beyond those that number the words of the corpus: one pair in 8,192 shares its hash at most, at any size.

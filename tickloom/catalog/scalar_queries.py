@@ -14,7 +14,7 @@ SELECT *, upper(substr(code, 1, 2)) AS exch, substr(code, 4, 6) AS digits FROM r
 
 def layouts(spark, folder):
     b = market.raw_basics(spark, folder)
-    digits = F.substring("code", 4, 6)
+    digits = codes.local_code("code", codes.PREFIX)
     return b.select(
         "code",
         F.concat(digits, F.lit("."), F.substring("code", 1, 2)).alias("suffixed"),

@@ -85,7 +85,7 @@ def raw_quotes(spark, folder) -> DataFrame:
     shift = F.when(F.col("volume") > 40, 0.98).otherwise(1.0)
     code = F.col("security_code")
     return b.select(
-        F.concat(F.lower(F.substring(code, 8, 2)), F.lit("."), F.substring(code, 1, 6)).alias("code"),
+        F.concat(F.lower(codes.exchange_code(code)), F.lit("."), codes.local_code(code)).alias("code"),
         F.col("trade_date").alias("date"),
         F.col("open_price").alias("open"), F.col("high_price").alias("high"),
         F.col("low_price").alias("low"), F.col("close_price").alias("close"),

@@ -45,3 +45,15 @@ def test_a_new_day_reads_no_history(spark, tmp_path):
     assert nothing.count() == 0 and sketches.measured(sketches.merged(nothing)).count() == 0
     empty = sketches.daily_sketches(df.withColumns({"k": F.lit(None).cast("long"), "v": F.lit(None).cast("double")}), "d", ["k"], ["v"])
     assert [(r.distinct_count, r.quantiles) for r in sketches.measured(sketches.merged(empty)).collect()] == [(0, [None] * 3)] * 2
+
+
+def test_exact_count_beside_a_sketch_keeps_no_sketch_per_key(spark, tmp_path):
+    from tickloom.catalog.table_queries import approx_distinct
+
+    rows = [(i // 3 if i % 7 else None,) for i in range(9_000)]
+    spark.createDataFrame(rows, "l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = approx_distinct(spark, str(tmp_path))
+    assert tuple(found.first()) == (True, 3_000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    keyed = [line for line in plan.splitlines() if "Aggregate [l_orderkey" in line]
+    assert keyed and not any("approx" in line for line in keyed)

@@ -179,3 +179,25 @@ def test_rebase_needs_the_base_day(spark):
     nav = nav_frame(spark, 5).withColumn("total_equity", F.lit(100.0)).withColumn("nav", F.lit(1.0))
     with pytest.raises(Exception, match="no usable base equity"):
         ledger.rebase_nav(nav.where("daily_return is not null"), D0.isoformat()).collect()
+
+
+def test_unfolded_days_meet_prices_without_being_placed(spark):
+    """A lot of 200 days and one that never ends: days with two closes, days without, closes before, after and off the calendar."""
+    cal = calendar(spark, 300)
+    day = lambda i: D0 + dt.timedelta(days=i)
+    lots = spark.createDataFrame(
+        [("r", "r-1", "A", 1, day(20), day(220), 10.0, 50.0), ("r", "r-1", "B", 2, day(290), None, 5.0, 5.0), ("r", "r-1", "C", 3, day(1), day(3), 5.0, 5.0)],
+        "run_id string, attempt_id string, security_code string, entry_trade_seq long, entry_date date, exit_date date, lot_quantity double, cost_basis double",
+    )
+    closes = [("A", i, float(i)) for i in (0, 19, 20, 20, 63, 64, 65, 219, 220, 299)] + [("A", 100, None), ("B", 299, 7.0), ("B", 305, 8.0), ("D", 5, 1.0)]
+    bars = spark.createDataFrame([(c, day(i), p) for c, i, p in closes], "security_code string, trade_date date, close_price double")
+    held = [("A", i) for i in range(20, 220)] + [("B", i) for i in range(290, 300)] + [("C", 1), ("C", 2)]
+    want = [(c, day(i), p) for c, i in held for p in [x for k, n, x in closes if (k, n) == (c, i) and x is not None] or [None]]
+    for unpriced in (False, True):
+        found = ledger.position_days(lots, bars, cal, keep_unpriced=unpriced)
+        rows = [tuple(r) for r in found.select("security_code", "trade_date", "close_price").collect()]
+        assert sorted(rows, key=repr) == sorted([x for x in want if unpriced or x[2] is not None], key=repr)
+        assert {r.holding_days for r in found.where("security_code = 'A' and trade_date = date'2020-03-05'").collect()} == {44.0}
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        unfolding = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+        assert not any("Exchange hashpartitioning" in line for line in plan[:unfolding]), "unfolded days are shuffled"

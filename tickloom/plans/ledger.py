@@ -17,6 +17,8 @@ from tickloom.operators.scans import AFTER, BEFORE, FROM, UP_TO, in_blocks, with
 RUN = ("run_id", "attempt_id")
 SERIES = (*RUN, "security_code")
 EPSILON = 1e-9
+#: Trading days of a stretch of the calendar, within which positions meet prices.
+STRETCH_DAYS = 32
 
 
 def next_open_signals(signals: DataFrame, calendar: DataFrame, end: str, date: str = "signal_date") -> DataFrame:
@@ -434,6 +436,10 @@ def lots_of(segments: DataFrame) -> DataFrame:
     )
 
 
+def stretch(day_no: str) -> Column:
+    return F.floor(F.col(day_no) / STRETCH_DAYS).cast("int")
+
+
 def position_days(
     lots: DataFrame, bars: DataFrame, calendar: DataFrame, close: str = "close_price", keep_unpriced: bool = False
 ) -> DataFrame:
@@ -445,12 +451,16 @@ def position_days(
     Lots become +quantity on their entry day and -quantity on their exit day; a running sum of
     those changes gives the position, carried over the trading days up to the next change. Nothing
     is unfolded per lot and day.
+
+    Positions and prices meet by stretches of the calendar: one row per position and stretch, and one
+    list per security and stretch with its closes. Days are unfolded after that, so they are never
+    placed or sorted. The calendar itself, a row per trading day, is broadcast.
     """
     steps = F.explode(F.array(
         F.struct(F.col("entry_date").alias("d"), F.lit(1.0).alias("sign")), F.struct(F.col("exit_date").alias("d"), F.lit(-1.0).alias("sign"))
     )).alias("step")
     number = calendar.select(F.col("trade_date").alias("entry_date"), F.col("day_no").cast("double").alias("_entry_no"))
-    changes = lots.join(number, "entry_date").select(
+    changes = lots.join(F.broadcast(number), "entry_date").select(
         *SERIES, "lot_quantity", "cost_basis", "_entry_no", steps
     ).where("step.d is not null").groupBy(*SERIES, F.col("step.d").alias("trade_date")).agg(
         F.sum(F.col("step.sign") * F.col("lot_quantity")).alias("dq"), F.sum(F.col("step.sign") * F.col("cost_basis")).alias("dc"),
@@ -463,21 +473,33 @@ def position_days(
         *SERIES, F.col("trade_date").alias("from_date"), F.lead("trade_date").over(ordered).alias("to_date"),
         F.sum("dq").over(upto).alias("quantity"), F.sum("dc").over(upto).alias("cost_basis"), F.sum("dn").over(upto).alias("_weighted_entry"),
     ).where(F.col("quantity") > EPSILON)
-    numbers = calendar.select("trade_date", "day_no")
+    numbers = F.broadcast(calendar.select("trade_date", "day_no"))
     starts = calendar.select(F.col("trade_date").alias("from_date"), F.col("day_no").alias("_a"), F.col("day_count").alias("_z"))
-    spans = (
-        levels.join(starts, "from_date")
-        .join(numbers.select(F.col("trade_date").alias("to_date"), F.col("day_no").alias("_b")), "to_date", "left")
-        .withColumn("day_no", F.explode(F.sequence("_a", F.coalesce(F.col("_b") - 1, F.col("_z")))))
-    )
-    held = spans.join(numbers, "day_no").select(
-        *SERIES, "trade_date", "quantity", "cost_basis",
+    ends = calendar.select(F.col("trade_date").alias("to_date"), F.col("day_no").alias("_b"))
+    spans = levels.join(F.broadcast(starts), "from_date").join(F.broadcast(ends), "to_date", "left").withColumn(
+        "_last", F.coalesce(F.col("_b") - 1, F.col("_z"))
+    )
+    pieces = spans.withColumn("_stretch", F.explode(F.sequence(stretch("_a"), stretch("_last")))).select(
+        *SERIES, "_stretch", "quantity", "cost_basis", "_weighted_entry",
+        F.greatest("_a", F.col("_stretch") * STRETCH_DAYS).alias("_from"), F.least("_last", (F.col("_stretch") + 1) * STRETCH_DAYS - 1).alias("_to"),
+    )
+    closes = bars.select("security_code", "trade_date", F.col(close).alias("close_price")).where(F.col("close_price").isNotNull()).join(
+        numbers, "trade_date"
+    ).groupBy("security_code", stretch("day_no").alias("_stretch")).agg(F.collect_list(F.struct("day_no", "close_price")).alias("_closes"))
+    met = pieces.join(closes, ["security_code", "_stretch"], "left" if keep_unpriced else "inner").withColumn(
+        "_priced", F.filter("_closes", lambda x: x["day_no"].between(F.col("_from"), F.col("_to")))
+    )
+    on_days = F.col("_priced")
+    if keep_unpriced:
+        none = F.lit(None).cast(bars.schema[close].dataType).alias("close_price")
+        span = F.sequence("_from", "_to")
+        without = F.coalesce(F.array_except(span, F.col("_priced.day_no")), span)
+        unpriced = F.transform(without, lambda d: F.struct(d.alias("day_no"), none))
+        on_days = F.coalesce(F.concat("_priced", unpriced), unpriced)
+    priced = met.withColumn("_day", F.explode(on_days)).withColumn("day_no", F.col("_day.day_no")).join(numbers, "day_no").select(
+        *SERIES, "trade_date", "quantity", "cost_basis", F.col("_day.close_price").alias("close_price"),
         (F.col("day_no") - F.col("_weighted_entry") / F.col("quantity")).alias("holding_days"),
     )
-    priced = held.join(
-        bars.select("security_code", "trade_date", F.col(close).alias("close_price")).where(F.col("close_price").isNotNull()),
-        ["security_code", "trade_date"], "left" if keep_unpriced else "inner",
-    )
     value = F.col("quantity") * F.col("close_price")
     return priced.select(
         *SERIES, "trade_date", "quantity", "cost_basis", (F.col("cost_basis") / F.col("quantity")).alias("average_entry_price"),

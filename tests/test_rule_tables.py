@@ -118,3 +118,25 @@ def test_no_rules_and_no_rows(spark):
     assert rule_tables.screen_all(table, rule_tables.tables_of(spark, {}, CATALOG)).count() == 0
     assert rule_tables.screen_all(table.where("false"), rule_tables.tables_of(spark, grid(), CATALOG)).count() == 0
     assert pytest.approx(0) == rule_tables.rule_verdicts(rule_tables.tables_of(spark, {}, CATALOG)).agg(F.count("*")).first()[0]
+
+
+def test_metrics_are_judged_where_they_lie(spark):
+    """No step places the metrics, by row and rule or by metric name; only the small rule tables are shuffled."""
+    found = rule_tables.screen_all(metrics(spark), rule_tables.tables_of(spark, grid(), CATALOG), 3)
+    placed = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in placed if "security_code" in line or "numbers" in line]
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Join Cross")[0]
+    assert "Aggregate" not in above and "Generate" not in above
+
+
+def test_metrics_that_rows_lack_and_rows_without_a_key(spark):
+    """A comparison of a metric that the catalog has and the table has not is no child; a weighted one adds nothing."""
+    day = D0
+    table = spark.createDataFrame([("S1", day, 1.0), ("S2", day, -1.0), (None, day, 1.0), ("S3", None, 1.0)], "security_code string, trade_date date, a double")
+    gone = r.Compare(r.Ref("b"), "gt", 0.0)
+    rules = {
+        "any": r.Rule(r.Any_((GOOD, gone)), (r.Weighted("w", "b", 2.0), r.Weighted("v", "a", 3.0))), "all": r.Rule(r.All((GOOD, gone))), "not": r.Rule(r.Not(gone)),
+        "none": r.Rule(r.Not(r.Any_((GOOD, gone)))), "alone": r.Rule(gone), "points": r.Rule(GOOD, (r.Points("p", gone, 5), r.Points("q", r.Not(r.All((GOOD, gone))), 7))),
+    }
+    got = {(x.rule_id, x.security_code, x.score) for x in rule_tables.screen_all(table, rule_tables.tables_of(spark, rules, CATALOG)).collect()}
+    assert got == {("any", "S1", 3.0), ("none", "S2", 0.0), ("points", "S1", 7.0)}

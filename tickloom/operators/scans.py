@@ -6,42 +6,69 @@ facts. There the rows are sorted by key and order over the whole cluster, and ea
 in one partition is a *block*: it is aggregated to one carry row, the carries of a key (at most one
 per partition) are scanned, and the rows are scanned inside their block, starting from the carry.
 The blocks follow the whole order and the number of rows, whatever values the order columns hold.
+The sorted rows are written as a table bucketed by block, so that scans inside blocks place nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.session import checkpoint
+from tickloom.session import checkpoint, scratch_path
 
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 BEFORE = (Window.unboundedPreceding, -1)
-FROM = (Window.currentRow, Window.unboundedFollowing)
 AFTER = (1, Window.unboundedFollowing)
 
 SCAN_FUNCTIONS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """``df`` sorted over the cluster by ``keys`` and ``order``, on a reliable checkpoint, with ``_blk``: the partition a row lies in.
+    """``df`` sorted over the cluster by ``keys`` and ``order``, with ``_blk``: the partition a row lies in.
 
     Partitions are ranges of the whole sort key of about equal row counts, so a hot key spans many.
+    Written as a table bucketed by block: what is grouped by ``_blk`` and more is not shuffled again.
     """
-    placed = checkpoint(df.orderBy(*keys, *order).withColumn("_blk", F.monotonically_increasing_id()))
-    return placed.withColumn("_blk", F.shiftrightunsigned("_blk", 33))
+    spark = df.sparkSession
+    path, name = scratch_path(spark, "blocks"), f"blocks_{uuid.uuid4().hex}"
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # few share a bucket
+    placed = df.orderBy(*keys, *order).withColumn("_blk", F.spark_partition_id())
+    placed.write.format("parquet").option("path", path).bucketBy(buckets, "_blk").saveAsTable(name)
+    return spark.table(name)
+
+
+def matches(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
+    """Equality of ``columns`` with their ``_k_`` namesakes; they may be null."""
+    same = F.lit(True)
+    for c in columns:
+        same = same & left[c].eqNullSafe(right[f"_k_{c}"])
+    return same
+
+
+def whole_and_torn(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys that lie in one block, and those of keys that span several.
+
+    A border between blocks tears at most one key, so that these are fewer than the blocks.
+    """
+    torn = F.broadcast(rows.groupBy(*[F.col(c).alias(f"_k_{c}") for c in keys]).agg(
+        F.min("_blk").alias("_first"), F.max("_blk").alias("_last")
+    ).where("_first < _last").drop("_first", "_last"))
+    same = matches(rows, torn, keys)
+    return rows.join(torn, same, "left_anti"), rows.join(torn, same, "left_semi")
 
 
 def with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Carry rows joined to the rows of their block; keys may be null."""
-    renamed = carry.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, "_blk")], *[c for c in carry.columns if c not in (*keys, "_blk")])
-    same = rows["_blk"] == renamed["_k__blk"]
-    for c in keys:
-        same = same & rows[c].eqNullSafe(renamed[f"_k_{c}"])
-    return rows.join(renamed, same, "left").drop(*[f"_k_{c}" for c in (*keys, "_blk")])
+    """Carry rows joined to the rows of their block; keys may be null.
+
+    ``carry`` is broadcast and must leave out the blocks of keys that lie in one block: a block has at
+    most two others then that go on in a neighbour.
+    """
+    renamed = F.broadcast(carry.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, "_blk")], *[c for c in carry.columns if c not in (*keys, "_blk")]))
+    return rows.join(renamed, matches(rows, renamed, (*keys, "_blk")), "left").drop(*[f"_k_{c}" for c in (*keys, "_blk")])
 
 
 def combine(fn: str, carry: Column, local: Column) -> Column:
@@ -51,12 +78,13 @@ def combine(fn: str, carry: Column, local: Column) -> Column:
 
 
 def carried(rows: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[str, Column]]) -> DataFrame:
-    """What the earlier blocks of a key amount to, per block: a row per key and partition at most."""
+    """What the earlier blocks of a key amount to, per block that has any: a row per partition at most."""
     totals = rows.groupBy(*keys, "_blk").agg(*[SCAN_FUNCTIONS[fn](e).alias(f"_c_{n}") for n, (fn, e) in aggregates.items()])
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(*BEFORE)
     return totals.select(
-        *keys, "_blk", *[SCAN_FUNCTIONS[fn](f"_c_{n}").over(earlier).alias(f"_c_{n}") for n, (fn, _) in aggregates.items()]
-    )
+        *keys, "_blk", *[SCAN_FUNCTIONS[fn](f"_c_{n}").over(earlier).alias(f"_c_{n}") for n, (fn, _) in aggregates.items()],
+        F.count(F.lit(1)).over(earlier).alias("_n"),
+    ).where("_n > 0").drop("_n")
 
 
 def running(
@@ -143,7 +171,7 @@ def asof_join(
         dated = F.when(F.col("_r").isNotNull(), F.col("_t"))
         edges = rows.groupBy(*on, "_blk").agg((F.min_by if forward else F.max_by)("_r", dated).alias("_edge"))
         earlier = Window.partitionBy(*on).orderBy("_blk").rowsBetween(*BEFORE)
-        carry = edges.select(*on, "_blk", F.last("_edge", ignorenulls=True).over(earlier).alias("_c")).where("_c IS NOT NULL")
+        carry = edges.select(*on, "_blk", F.last("_edge", ignorenulls=True).over(earlier).alias("_c")).where("_c IS NOT NULL")  # none for a first block
         matched = with_carry(local.where(F.col("_side") == left_side), carry, on).withColumn("_m", F.coalesce("_l", "_c"))
     hit = F.col("_m")
     if valid_to:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scalars
 from tickloom.operators.passage import FirstPassage, next_true
-from tickloom.operators.scans import AFTER, BEFORE, FROM, UP_TO, in_blocks, with_carry
+from tickloom.operators.scans import AFTER, BEFORE, UP_TO, in_blocks, whole_and_torn, with_carry
 
 RUN = ("run_id", "attempt_id")
 SERIES = (*RUN, "security_code")
@@ -284,10 +284,15 @@ def matched_ledger(trades: DataFrame) -> DataFrame:
     the matched sells are ``S`` minus that: ordered scans and no sequential loop. Both scans run in
     one pass over the blocks of a security; the sums and the peak of earlier blocks are added after.
     """
-    rows = in_blocks(trades, SERIES, ["trade_date", "trade_seq"])
+    return matched_blocks(in_blocks(trades, SERIES, ["trade_date", "trade_seq"])).drop("_blk")
+
+
+def matched_blocks(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """``matched_ledger`` of trades that lie in blocks; ``whole`` says that each security lies in one."""
     buy = F.col("side") == "buy"
     amount = F.col("quantity").cast("decimal(20,8)")
     zero = exact(F.lit(0))
+    columns = rows.columns
     rows = rows.withColumn("_b", F.when(buy, amount).otherwise(F.lit(0).cast("decimal(20,8)"))).withColumn(
         "_s", F.when(buy, F.lit(0).cast("decimal(20,8)")).otherwise(amount)
     )
@@ -297,26 +302,30 @@ def matched_ledger(trades: DataFrame) -> DataFrame:
     local = rows.select("*", exact(F.sum("_b").over(inside)).alias("_lb"), exact(F.sum("_s").over(inside)).alias("_ls")).select(
         "*", F.max(short).over(inside).alias("_lp"), F.max(short).over(ordered.rowsBetween(*BEFORE)).alias("_lq")
     )
-    earlier = Window.partitionBy(*SERIES).orderBy("_blk").rowsBetween(*BEFORE)
-    blocks = local.groupBy(*SERIES, "_blk").agg(
-        F.sum("_b").alias("_tb"), F.sum("_s").alias("_ts"), F.max("_lp").alias("_tp")
-    ).select(
-        *SERIES, "_blk", "_tp", F.coalesce(exact(F.sum("_tb").over(earlier)), zero).alias("_cb"),
-        F.coalesce(exact(F.sum("_ts").over(earlier)), zero).alias("_cs"),
-    )
-    carry = blocks.select(
-        *SERIES, "_blk", "_cb", "_cs", F.max(exact(F.col("_tp") + F.col("_cs") - F.col("_cb"))).over(earlier).alias("_cp")
-    )
+    if whole:
+        none = zero.cast("decimal(32,8)")
+        joined = local.withColumns({"_cb": none, "_cs": none, "_cp": none})
+    else:
+        earlier = Window.partitionBy(*SERIES).orderBy("_blk").rowsBetween(*BEFORE)
+        blocks = local.groupBy(*SERIES, "_blk").agg(
+            F.sum("_b").alias("_tb"), F.sum("_s").alias("_ts"), F.max("_lp").alias("_tp")
+        ).select(
+            *SERIES, "_blk", "_tp", exact(F.sum("_tb").over(earlier)).alias("_sb"), exact(F.sum("_ts").over(earlier)).alias("_ss"),
+            F.count(F.lit(1)).over(earlier).alias("_n"),
+        ).withColumns({"_cb": F.coalesce("_sb", zero), "_cs": F.coalesce("_ss", zero)})
+        carry = blocks.select(
+            *SERIES, "_blk", "_cb", "_cs", F.max(exact(F.col("_tp") + F.col("_cs") - F.col("_cb"))).over(earlier).alias("_cp"), "_n"
+        ).where("_n > 0").drop("_n")
+        joined = with_carry(local, carry, SERIES)
     bought, sold = F.coalesce("_cb", zero), F.coalesce("_cs", zero)
 
     def dropped(local_peak: str) -> Column:
         return F.greatest(zero, F.col("_cp"), exact(F.col(local_peak) + sold - bought))
 
-    joined = with_carry(local, carry, SERIES).select(
-        *trades.columns, exact(bought + F.col("_lb")).alias("bought_upto"), exact(sold + F.col("_ls")).alias("sold_upto"),
+    return joined.select(
+        *columns, exact(bought + F.col("_lb")).alias("bought_upto"), exact(sold + F.col("_ls")).alias("sold_upto"),
         dropped("_lp").alias("_dropped"), exact(dropped("_lp") - dropped("_lq")).alias("dropped_quantity"),
-    )
-    return joined.withColumn("matched_upto", exact(F.col("sold_upto") - F.col("_dropped"))).drop("_dropped")
+    ).withColumn("matched_upto", exact(F.col("sold_upto") - F.col("_dropped"))).drop("_dropped")
 
 
 def fifo_segments(trades: DataFrame) -> DataFrame:
@@ -325,23 +334,15 @@ def fifo_segments(trades: DataFrame) -> DataFrame:
     On the axis of matched quantity every buy and every matched sell is an interval, and both sets
     tile the axis. Their ends cut it into segments; a segment belongs to the first buy and the
     first sell that end at or after it. So lots are found by sorting the cuts, not by pairing buys
-    with sells. The cuts of a security are scanned in blocks of rows, each with the neighbours' edges
-    carried in, so no lot history has to fit one task.
+    with sells. A security that lies in one block of the trades is cut there; of the others the cuts
+    are scanned in blocks of their own, each with the neighbours' edges carried in, so no lot history
+    has to fit one task.
     """
-    ledger = matched_ledger(trades)
-    buy = F.col("side") == "buy"
-    # A sell's matched part ends at matched_upto. Sells that matched nothing are left out, so that
-    # cuts rise strictly on each side and a cut has at most one buy and one sell.
-    seller = F.struct("trade_date", "trade_seq", "quantity", "gross_amount", "total_fee", "reason")
-    buyer = F.struct("trade_date", "trade_seq", "quantity", "gross_amount", "total_fee")
-    moved = exact("quantity") - F.when(buy, exact(F.lit(0))).otherwise(F.col("dropped_quantity"))
-    ends = ledger.where(moved > 0).select(
-        *SERIES,
-        F.when(buy, F.col("bought_upto")).otherwise(F.col("matched_upto")).alias("cut"),
-        F.when(buy, buyer).alias("buy"), F.when(~buy, seller).alias("sell"),
-    )
-    cuts = in_blocks(ends.groupBy(*SERIES, "cut").agg(F.min("buy").alias("buy"), F.min("sell").alias("sell")), SERIES, ["cut"])
-    edges = cuts.groupBy(*SERIES, "_blk").agg(
+    used = (*SERIES, "trade_date", "trade_seq", "side", "quantity", "gross_amount", "total_fee", "reason")
+    whole, torn = whole_and_torn(in_blocks(trades.select(*used), SERIES, ["trade_date", "trade_seq"]), SERIES)
+    alone = cut_segments(axis_ends(matched_blocks(whole, whole=True)).groupBy(*SERIES, "_blk", "cut").agg(*both_sides()))
+    placed = in_blocks(axis_ends(matched_blocks(torn)).groupBy(*SERIES, "cut").agg(*both_sides()), SERIES, ["cut"])
+    edges = placed.groupBy(*SERIES, "_blk").agg(
         F.min_by("buy", F.when(F.col("buy").isNotNull(), F.col("cut"))).alias("first_buy"),
         F.min_by("sell", F.when(F.col("sell").isNotNull(), F.col("cut"))).alias("first_sell"),
         F.max("cut").alias("last_cut"),
@@ -352,18 +353,45 @@ def fifo_segments(trades: DataFrame) -> DataFrame:
         F.first("first_buy", ignorenulls=True).over(blocks.rowsBetween(*AFTER)).alias("next_buy"),
         F.first("first_sell", ignorenulls=True).over(blocks.rowsBetween(*AFTER)).alias("next_sell"),
         F.last("last_cut").over(blocks.rowsBetween(*BEFORE)).alias("prev_cut"),
+    ).where("next_buy IS NOT NULL OR next_sell IS NOT NULL OR prev_cut IS NOT NULL")
+    return alone.unionByName(cut_segments(placed, carry))
+
+
+def axis_ends(ledger: DataFrame) -> DataFrame:
+    """Where each buy and each matched sell ends on the axis.
+
+    A sell's matched part ends at matched_upto. Sells that matched nothing are left out, so that
+    cuts rise strictly on each side and a cut has at most one buy and one sell.
+    """
+    buy = F.col("side") == "buy"
+    seller = F.struct("trade_date", "trade_seq", "quantity", "gross_amount", "total_fee", "reason")
+    buyer = F.struct("trade_date", "trade_seq", "quantity", "gross_amount", "total_fee")
+    moved = exact("quantity") - F.when(buy, exact(F.lit(0))).otherwise(F.col("dropped_quantity"))
+    return ledger.where(moved > 0).select(
+        *SERIES, "_blk",
+        F.when(buy, F.col("bought_upto")).otherwise(F.col("matched_upto")).alias("cut"),
+        F.when(buy, buyer).alias("buy"), F.when(~buy, seller).alias("sell"),
     )
+
+
+def both_sides() -> list[Column]:
+    return [F.min("buy").alias("buy"), F.min("sell").alias("sell")]
+
+
+def cut_segments(cuts: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """Segments of the cuts of a block, with what ``carry`` brings in from its neighbours."""
     inside = Window.partitionBy(*SERIES, "_blk").orderBy("cut")
+    # the first at or after a cut, as a running frame from the far end
+    onwards = Window.partitionBy(*SERIES, "_blk").orderBy(F.col("cut").desc()).rowsBetween(*UP_TO)
     local = cuts.select(
-        *SERIES, "_blk", "cut",
-        F.first("buy", ignorenulls=True).over(inside.rowsBetween(*FROM)).alias("buy"),
-        F.first("sell", ignorenulls=True).over(inside.rowsBetween(*FROM)).alias("sell"),
-        F.lag("cut").over(inside).alias("below"),
-    )
-    return with_carry(local, carry, SERIES).select(
-        *SERIES, F.coalesce("buy", "next_buy").alias("buy"), F.coalesce("sell", "next_sell").alias("sell"),
-        (F.col("cut") - F.coalesce("below", "prev_cut", exact(F.lit(0)))).cast("double").alias("quantity"),
-    ).where(F.col("buy").isNotNull())
+        *SERIES, "_blk", "cut", F.last("buy", ignorenulls=True).over(onwards).alias("buy"),
+        F.last("sell", ignorenulls=True).over(onwards).alias("sell"), F.lag("cut").over(inside).alias("below"),
+    )
+    buy, sell, below = F.col("buy"), F.col("sell"), F.coalesce("below", exact(F.lit(0)))
+    if carry is not None:
+        local = with_carry(local, carry, SERIES)
+        buy, sell, below = F.coalesce("buy", "next_buy"), F.coalesce("sell", "next_sell"), F.coalesce("below", "prev_cut", exact(F.lit(0)))
+    return local.select(*SERIES, buy.alias("buy"), sell.alias("sell"), (F.col("cut") - below).cast("double").alias("quantity")).where(F.col("buy").isNotNull())
 
 
 def fifo_closed_trades(trades: DataFrame, calendar: DataFrame) -> DataFrame:

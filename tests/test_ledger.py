@@ -201,3 +201,57 @@ def test_unfolded_days_meet_prices_without_being_placed(spark):
         plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
         unfolding = next(i for i, line in enumerate(plan) if "Generate explode" in line)
         assert not any("Exchange hashpartitioning" in line for line in plan[:unfolding]), "unfolded days are shuffled"
+
+
+def test_whole_and_torn_ledgers_without_further_shuffles(spark, many_partitions):
+    """A long ledger over several blocks beside many short ones; trades are not placed again, nor lots to meet the calendar."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(400):
+        q = float(rnd.randrange(1, 6) * 100)
+        rows.append(("r", "r-1", rnd.choice(["LONG", "LONG", f"S{rnd.randrange(40)}"]), D0 + dt.timedelta(days=i % 399), i + 1, rnd.choice(["buy", "sell"]), q, q * 10, q * 0.01, "x"))
+    rows.sort(key=lambda r: (r[3], r[4]))
+    df = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of unknown size
+    try:
+        closed = ledger.fifo_closed_trades(df, calendar(spark))
+        plan = closed._jdf.queryExecution().executedPlan().toString()
+        got = {(r.security_code, r.entry_trade_seq, r.exit_trade_seq): r.quantity for r in closed.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {k: v[0] for k, v in fifo(rows).items()}
+    assert "SortMergeJoin" not in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "_blk" in x]
+
+
+def test_sides_lie_by_security_before_they_are_stacked(spark):
+    """Quotes of three securities; the stack of quotes, shares and dividends is not shuffled again, and the calendar is broadcast."""
+    from tickloom.plans import quotes
+
+    day = lambda i: D0 + dt.timedelta(days=i)
+    q = spark.createDataFrame(
+        [(c, day(i), 10.0, 11.0, 9.0, 10.0 + i, 10.0, 100.0, 1000.0, False, False) for c in "ABC" for i in range(6)],
+        "security_code string, trade_date date, open_price double, high_price double, low_price double, close_price double, prev_close_price double, volume double, amount double, is_suspend boolean, is_st boolean",
+    )
+    universe = spark.createDataFrame([(c, "sse_main_board") for c in "ABC"], "security_code string, security_board string")
+    shares = spark.createDataFrame(
+        [("A", day(1), day(3), 100.0, 80.0, 60.0), ("B", day(2), None, 50.0, 40.0, 30.0)],
+        "security_code string, effective_date date, expiry_date date, shares double, float_shares_a double, free_float_shares double",
+    ).repartition("security_code")
+    events = spark.createDataFrame(
+        [("A", day(-30), day(1), 0.5, True), ("B", day(-30), day(2), 0.25, True)],
+        "security_code string, report_date date, ex_dividend_date date, cash_dividend_per_share double, has_cash_dividend boolean",
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = quotes.quotes_unadj(q, universe, calendar(spark, 10), shares, events)
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        rows = {(r.security_code, (r.trade_date - D0).days): (r.shares, r.prev_close_price_unadj) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    first = next(i for i, line in enumerate(lines) if "Union" in line)
+    assert not [line for line in lines[:first] if "Exchange" in line], "the stack is shuffled"
+    assert not [line for line in lines if "SortMergeJoin" in line and "trade_date" in line]
+    held = lambda c, i: (100.0 if 1 <= i <= 3 else None) if c == "A" else (50.0 if i >= 2 else None) if c == "B" else None
+    assert rows == {(c, i): (held(c, i), 10.0 + i - 1 if i else None) for c in "ABC" for i in range(6)}

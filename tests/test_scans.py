@@ -121,3 +121,31 @@ def test_global_rank_equals_window(spark):
     want = df.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc(), "id")))
     assert got.join(want, ["g", "v", "id"]).where("r <> w").count() == 0
     assert got.count() == 500
+
+
+def placed_by(df):
+    """Column lists by which the plan of ``df`` shuffles."""
+    return [line.split("hashpartitioning(")[1] for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_blocks_are_scanned_where_they_lie(spark):
+    """Windows and totals of a block, and the rows that meet their carry, are not shuffled; nulls are a key as well."""
+    rows = [(None if i % 7 == 0 else "ab"[i % 2], i, float(i % 5)) for i in range(60)]
+    found = scans.running(spark.createDataFrame(rows, "k string, t int, v double"), ["k"], ["t"], {"s": ("sum", F.col("v"))})
+    assert not [x for x in placed_by(found) if "_blk" in x]
+    want, state = {}, {}
+    for k, t, v in rows:
+        state[k] = want[t] = state.get(k, 0.0) + v
+    assert {r.t: r.s for r in found.collect()} == want
+
+
+def test_whole_and_torn_keys(spark, forced_splits):
+    rows = [(k, i) for k, n in (("a", 2000), ("b", 3), (None, 5), ("c", 4)) for i in range(n)]
+    placed = scans.in_blocks(spark.createDataFrame(rows, "k string, t int"), ["k"], ["t"])
+    whole, torn = scans.whole_and_torn(placed, ["k"])
+    blocks = {}
+    for r in placed.collect():
+        blocks.setdefault(r.k, set()).add(r["_blk"])
+    assert len(blocks["a"]) > 3 and any(len(b) == 1 for b in blocks.values())
+    assert sorted(((r.k, r.t) for r in torn.collect()), key=repr) == sorted(((k, t) for k, t in rows if len(blocks[k]) > 1), key=repr)
+    assert sorted(((r.k, r.t) for r in whole.collect()), key=repr) == sorted(((k, t) for k, t in rows if len(blocks[k]) == 1), key=repr)

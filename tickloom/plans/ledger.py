@@ -74,7 +74,7 @@ def with_previous_bar(bars: DataFrame, calendar: DataFrame, rules: Sequence) ->
         return bars
     window = Window.partitionBy("security_code").orderBy("trade_date")
     on_time = F.lag("trade_date").over(window) == F.col("prev_trade_date")
-    return bars.join(calendar.select("trade_date", "prev_trade_date"), "trade_date").select(
+    return bars.join(F.broadcast(calendar.select("trade_date", "prev_trade_date")), "trade_date").select(
         "*", F.when(on_time, F.lag(indicator_close()).over(window)).alias("_prev_close"),
         *[F.when(on_time, F.lag(m).over(window)).alias(f"_prev_{m}") for m in dict.fromkeys(metrics)],
     )
@@ -144,7 +144,7 @@ def entry_exits(
     rules = list(dict.fromkeys(rule for listed in settings.values() for rule in listed))
     flagged = [rule for rule in rules if isinstance(rule, IndicatorStop)]
     gain = F.col("close_price_backward_adj").isNotNull()
-    numbered = with_previous_bar(bars, calendar, rules).join(calendar.select("trade_date", "day_no"), "trade_date").select(
+    numbered = with_previous_bar(bars, calendar, rules).join(F.broadcast(calendar.select("trade_date", "day_no")), "trade_date").select(
         "security_code", "trade_date", F.col("day_no").cast("int").alias("day_no"), F.col("open_price_backward_adj").alias("open"),
         F.col("close_price_backward_adj").alias("close"), *[F.coalesce(indicator_hit(rule) & gain, F.lit(False)).alias(f"hit_{i}") for i, rule in enumerate(flagged)],
     )
@@ -413,9 +413,10 @@ def closed_trades(segments: DataFrame, calendar: DataFrame) -> DataFrame:
         (F.col("buy.total_fee") * share_in).alias("entry_fee"), (F.col("sell.total_fee") * share_out).alias("exit_fee"),
         F.col("sell.reason").alias("exit_reason"),
     )
+    # lots stay where they are: the calendar, a row per trading day, is broadcast
     numbered = (
-        lots.join(calendar.select(F.col("trade_date").alias("entry_date"), F.col("day_no").alias("_in")), "entry_date", "left")
-        .join(calendar.select(F.col("trade_date").alias("exit_date"), F.col("day_no").alias("_out")), "exit_date", "left")
+        lots.join(F.broadcast(calendar.select(F.col("trade_date").alias("entry_date"), F.col("day_no").alias("_in"))), "entry_date", "left")
+        .join(F.broadcast(calendar.select(F.col("trade_date").alias("exit_date"), F.col("day_no").alias("_out"))), "exit_date", "left")
     )
     span = F.coalesce(F.col("_out") - F.col("_in"), F.date_diff("exit_date", "entry_date"))
     pnl = F.col("exit_gross_amount") - F.col("entry_gross_amount") - F.col("entry_fee") - F.col("exit_fee")

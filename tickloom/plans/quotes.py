@@ -181,10 +181,11 @@ def quotes_unadj(
 
     Every input holds one row per security and day, so the as-of scans are bounded by the calendar
     and all of them, like the adjustment windows after, use the security as their only shuffle key.
+    Each side lies by security before it is stacked, so that the stack is not shuffled again.
     """
     base = quotes.where(F.col(DATE) > F.lit(first_date).cast("date")).join(
         universe.select(CODE, "security_board"), CODE
-    ).join(days.select(DATE, "prev_trade_date"), DATE, "left")
+    ).join(F.broadcast(days.select(DATE, "prev_trade_date")), DATE, "left")
     # The row on the previous trading day is the lagged row if that row has exactly that date.
     window = Window.partitionBy(CODE).orderBy(DATE)
     on_time = F.lag(DATE).over(window) == F.col("prev_trade_date")
@@ -195,7 +196,7 @@ def quotes_unadj(
     matched = asof_many(base, [CODE], DATE, [
         Side(shares, "effective_date", ("shares", "float_shares_a", "free_float_shares"), valid_to="expiry_date"),
         Side(
-            annual_dividends(events), "latest_ex_dividend_date", ("latest_annual_cash_dividend_per_share",),
+            annual_dividends(events).repartition(CODE), "latest_ex_dividend_date", ("latest_annual_cash_dividend_per_share",),
             tie_break=("report_date",), unique=False,
         ),
         *cumulative_sides(cumulative_dividends(events)),
